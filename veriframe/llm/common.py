@@ -30,11 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives a lost executor."""
+    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives a lost executor.
+
+    The shuffle files of the write are of no use once the table is there, so they are deleted as it ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/veriframe/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_SHUFFLES, "false")
+    spark.conf.set(_CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

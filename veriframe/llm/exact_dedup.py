@@ -86,8 +86,8 @@ def exact_dedup(
     entries = rows.groupBy("h").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     index, _ = build_index(entries, capacity)
 
-    shared = index.filter("n > 1")
-    texts = src.join(shared.select("h"), "h", "left_semi").groupBy("h", "t").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    shared = index.filter("n > 1").select("h").hint("shuffle_hash")  # grows with the input, so it is never broadcast
+    texts = src.join(shared, "h", "left_semi").groupBy("h", "t").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     links = texts.groupBy("h").agg(F.count(F.lit(1)).alias("links"), F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
     links = materialize(links, "links")
     chains = links.filter("links > 1").select("h")
