@@ -5,14 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .language_id import identify
+from .line_dedup import line_dedup
 from .simhash import simhash_dedup
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_dropped", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -31,6 +38,7 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
     "op3_decontamination": op3_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
@@ -38,6 +46,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": r"""
+WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, i AS no, ls[i] AS line FROM docs, unnest(range(1, len(ls) + 1)) AS u(i)),
+firsts AS (
+  SELECT line, min((doc_id, no)) AS pos, any_value(length(line)) AS n FROM lines WHERE trim(line, ' ') <> '' GROUP BY line),
+dels AS (
+  SELECT DISTINCT line, pos, substr(line, 1, CAST(p AS INTEGER) - 1) || substr(line, CAST(p AS INTEGER) + 1) AS v
+  FROM firsts, unnest(range(1, n + 1)) AS u(p) WHERE n >= 16),
+vars AS (SELECT line, pos, hash(v) AS k FROM dels UNION ALL SELECT line, pos, hash(line) FROM firsts WHERE n >= 16),
+near AS (
+  SELECT DISTINCT a.line FROM vars a JOIN vars b USING (k)
+  WHERE b.pos < a.pos AND levenshtein(a.line, b.line) <= 1),
+gone AS (
+  SELECT l.doc_id, l.no, n.line IS NOT NULL AND f.pos = (l.doc_id, l.no) AS by_near
+  FROM lines l JOIN firsts f USING (line) LEFT JOIN near n USING (line) WHERE n.line IS NOT NULL OR f.pos <> (l.doc_id, l.no)),
+per_doc AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.no) AS n_dropped, count_if(g.by_near) AS n_near,
+         coalesce(string_agg(l.line, chr(10) ORDER BY l.no) FILTER (WHERE g.no IS NULL), '') AS text
+  FROM lines l LEFT JOIN gone g USING (doc_id, no) GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near,
+       sha256(coalesce(p.text, '')) AS text_sha256
+FROM documents d LEFT JOIN per_doc p USING (doc_id)
+""",
     "op3_decontamination": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
