@@ -12,6 +12,9 @@ from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .language_id import identify
 from .line_dedup import line_dedup
+from .quality import classify
+from .secrets import digest, find_secrets
+from .sentencepiece import encode
 from .simhash import simhash_dedup
 
 
@@ -29,6 +32,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode(table(spark, sf_dir, "documents"), verify=True)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), "round_trip")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -37,12 +46,23 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
     "op3_decontamination": op3_decontamination,
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_quality": op9_quality,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {
