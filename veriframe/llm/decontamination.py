@@ -75,7 +75,8 @@ def decontaminate(
     min_items: int = 2,
     block_windows: int = 200_000,
 ) -> DataFrame:
-    """One row per row of docs: <id_col>, n_words, n_hit, n_items, items_sha256, contaminated, items, spans.
+    """One row per row of docs: <id_col>, n_words, n_hit, n_items, items_sha256, contaminated, items, spans,
+    text_hash (xxhash64 of the text).
 
     items are the item ids with an occurring window, sorted as strings; spans the (start, length) of occurrences in
     words. Null or wordless texts have no words and no hits; null or wordless items have no windows, and without any
@@ -111,6 +112,15 @@ def decontaminate(
         (F.size("items") >= min_items).alias("contaminated"),
         "items",
         F.array_sort("spans").alias("spans"),
+        F.col("h").alias("text_hash"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
     )
     return out.drop("_copy")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns, that aren't contaminated."""
+    found = decontaminate(docs, benchmark, id_col, text_col, **options).filter("contaminated")
+    gone = materialize(found.select(F.col(id_col).alias("_id"), "text_hash").distinct(), "contaminated").hint("shuffle_hash")
+    same = docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["text_hash"])
+    return docs.join(gone, same, "left_anti")

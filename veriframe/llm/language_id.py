@@ -322,3 +322,23 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         none = [F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected")]
         return docs.select(id_col, held_out, *none)
     return predict(docs, m, id_col, text_col, (held_out,))
+
+
+def keep_identified(docs: DataFrame, m: Models | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose language is told: rejected ones go. Without models only texts without a letter do."""
+    has_columns(docs, (text_col,))
+    if m is None:
+        return docs.filter(F.col(text_col).rlike(r"\p{L}"))
+    send = docs.sparkSession.sparkContext.broadcast(m)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Models = send.value
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            h, n = m.entropies(texts)
+            best = h.argmin(axis=1)
+            z = m.standardised(h[np.arange(len(h)), best], n, best)
+            yield batch.filter(pa.array((n > 0) & (z <= m.limit[best])))
+
+    return docs.mapInArrow(run, docs.schema)

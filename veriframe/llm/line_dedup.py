@@ -32,7 +32,7 @@ _SHORT, _LONG, _SAME = 0, 1, 2
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, dk, text): dk names a row; rows that repeat both id and text share it, and so share all decisions."""
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)).alias("dk"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)).alias("dk"), F.col(text_col).alias("text"))
 
 
 def _halves(line: Column, n: Column, b: Column) -> list[Column]:
@@ -123,7 +123,7 @@ def _near(candidates: DataFrame) -> DataFrame:
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, near, texts, keeps = (batch.column(k) for k in range(4))
+        texts, keeps = batch.column(2), batch.column(3)
         out, counts = [], []
         for text, keep in zip(texts.to_pylist(), keeps.to_pylist()):
             if text is None:
@@ -134,28 +134,33 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = [x for k, x in enumerate(lines) if k in first or not x.strip(" ")]
             out.append("\n".join(kept))
             counts.append((len(lines), len(lines) - len(kept)))
-        columns = [ids, near, pa.array(out, pa.string()), *(pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1))]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "n_near", "text", "n_lines", "n_dropped"])
+        columns = [*batch.columns[:2], pa.array(out, pa.string()), *(pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1)), *batch.columns[4:]]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "n_near", "text", "n_lines", "n_dropped", *batch.schema.names[4:]])
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_chars: int = NEAR_CHARS) -> DataFrame:
-    """One row per row of docs: <id_col>, <text_col> without the lines that go, n_lines, n_dropped, n_near, emptied.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_chars: int = NEAR_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: <id_col>, <text_col> without the lines that go, n_lines, n_dropped, n_near, emptied, and the
+    columns to carry.
 
     Lines are what '\\n' separates, compared as they are. Lines of spaces only always stay and are nobody's partner.
     emptied marks texts that lost lines and have none but such left. Null texts stay null with no lines; an empty text
     has one blank line. Null ids come before others. Rows that repeat both id and text share their decisions, so the
     earliest occurrence of a line stays in each of them. Other columns are not read; ids are taken as 64-bit integers.
     """
-    has_columns(docs, (id_col, text_col))
-    src = _source(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
+    has_columns(docs, (id_col, text_col, *carry))
+    src = _source(docs, id_col, text_col)
     distinct = materialize(_distinct_lines(src, near_chars), "lines")
     candidates = materialize(_candidates(src, distinct), "candidates")
     near = materialize(_near(candidates), "near")
     firsts = distinct.select("dk", "no").join(near, ["dk", "no"], "left_anti").groupBy("dk").agg(F.collect_list("no").alias("keep"))
     n_near = near.groupBy("dk").agg(F.count(F.lit(1)).alias("n_near"))
     decided = firsts.join(n_near, "dk", "full").hint("shuffle_hash")
-    held = src.join(decided, "dk", "left").select("id", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "text", "keep")
-    cut = held.mapInArrow(_cut, "id long, n_near long, text string, n_lines long, n_dropped long")
+    dk = F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col))
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), dk.alias("dk"), F.col(text_col).alias("text"), *(F.col(c).alias(f"c_{k}") for k, c in enumerate(carry)))
+    carried = [f"c_{k}" for k in range(len(carry))]
+    held = whole.join(decided, "dk", "left").select("id", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "text", "keep", *carried)
+    kept_types = "".join(f", {c} {whole.schema[c].dataType.simpleString()}" for c in carried)
+    cut = held.mapInArrow(_cut, "id long, n_near long, text string, n_lines long, n_dropped long" + kept_types)
     return cut.select(
         F.col("id").alias(id_col),
         F.col("text").alias(text_col),
@@ -163,4 +168,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "n_dropped",
         "n_near",
         ((F.col("n_dropped") > 0) & (F.trim(F.translate("text", "\n", " ")) == "")).alias("emptied"),
+        *(F.col(c).alias(name) for c, name in zip(carried, carry)),
     )

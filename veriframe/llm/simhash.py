@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
@@ -62,9 +62,9 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1)
+        texts = batch.column(2)
         fps = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps)], names=["id", "row", "fp"])
 
 
 def _groups(fp: np.ndarray, n: int) -> list[np.ndarray]:
@@ -112,19 +112,44 @@ def near_links(fps: DataFrame, threshold: int = 2, groups: int | None = None) ->
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, groups: int | None = None) -> DataFrame:
-    """One row per row of docs: <id_col>, fingerprint (16 hex digits), component_id (smallest id reachable over links).
+    """One row per row of docs: <id_col>, fingerprint (16 hex digits), component_id (smallest id reachable over links), row,
+    kept.
 
     Null, empty and wordless texts have fingerprint zero and link like any other. Null ids take part, but a component's
-    id is the smallest that isn't null (null if it has no other). Rows that repeat are returned as often. Other columns
-    are not read. An empty table gives an empty result.
+    id is the smallest that isn't null (null if it has no other). kept marks the row of that id; of rows without any id,
+    or of one id, that with the smallest `row`, a hash of id and text. Rows that repeat both are returned as often, with
+    one decision. Other columns are not read. An empty table gives an empty result.
     """
     has_columns(docs, (id_col, text_col))
-    marked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "id long, fp long")
-    marked = materialize(marked, "simhash")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")), "fingerprints")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), row_hash(docs, id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    marked = materialize(src.mapInArrow(_fingerprints, "id long, row long, fp long"), "simhash")
+    first = F.struct(F.isnull("id").alias("none"), "id", "row")
+    distinct = materialize(marked.groupBy("fp").agg(F.min(first).alias("least")), "fingerprints")
     nodes = components(near_links(distinct, threshold, groups))
     linked = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp")
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(ids, "root").select("fp", "component_id")
-    of_fp = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(of_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    leasts = linked.groupBy("root").agg(F.min("least").alias("of_all"))
+    named = linked.join(leasts, "root").select("fp", "of_all")
+    of_fp = distinct.join(named, "fp", "left").select("fp", F.coalesce("of_all", "least").alias("of_all"))
+    found = marked.join(of_fp, "fp")
+    return found.select(
+        F.col("id").alias(id_col),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("of_all.id").alias("component_id"),
+        "row",
+        (F.col("row") == F.col("of_all.row")).alias("kept"),
+    )
+
+
+def row_hash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    return F.xxhash64(F.lit("row"), docs[id_col], docs[text_col])
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2) -> DataFrame:
+    """The rows of docs, all columns, that are kept: one of each component."""
+    kept = simhash_dedup(docs, id_col, text_col, threshold).filter("kept").groupBy("row").count()
+    kept = materialize(kept, "kept")
+    marked = docs.withColumn("_row", row_hash(docs, id_col, text_col))
+    left = marked.join(kept.select(F.col("row").alias("_row")).hint("shuffle_hash"), "_row", "left_semi")
+    if not kept.filter("count > 1").isEmpty():
+        left = left.dropDuplicates(["_row"])
+    return left.drop("_row").select(*docs.columns)
