@@ -41,8 +41,7 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
 def rarest_words(docs: DataFrame, wins: DataFrame) -> DataFrame:
     """(win_key, win, token, at): every distinct window with the word of it that fewest documents hold, ties by position."""
     placed = wins.select("win_key", "win").distinct().select("win_key", "win", F.posexplode("win").alias("at", "token"))
-    vocabulary = placed.select("token").distinct()
-    counts = docs.select(F.explode(F.array_distinct("w")).alias("token")).join(vocabulary, "token", "left_semi").groupBy("token").count()
+    counts = docs.select(F.explode(F.array_distinct("w")).alias("token")).groupBy("token").count()  # combined map side, so common words don't move
     ranked = placed.join(counts, "token", "left").groupBy("win_key").agg(
         F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "at", "token")).alias("rare"), F.first("win").alias("win")
     )
