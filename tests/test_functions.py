@@ -79,11 +79,11 @@ def test_ed25519_vectors():
 def test_yolo_and_coco_boxes(spark):
     one = spark.range(1)
     lit = lambda *v: [F.lit(float(x)) for x in v]
-    assert one.select(boxes.yolo_box(*lit(0.5, 0.5, 0.2, 0.5), F.lit(100), F.lit(80))).first()[0] == [40.0, 20.0, 20.0, 40.0]
+    assert one.select(boxes.yolo_box(*lit(".5", ".5", ".2", ".5"), F.lit(100), F.lit(80))).first()[0] == [40, 20, 20, 40]
     assert one.select(boxes.yolo_box(*lit(0.05, 0.5, 0.2, 0.5), F.lit(100), F.lit(80))).first()[0] == [0.0, 20.0, 20.0, 40.0]  # overhang stays in the width
-    rows = [([4.0, 6.0, 10.0, 12.0],), ([-4.0, 6.0, 0.0, 12.0],), ([1.0, 1.0, -1.0, 2.0],), ([1.0, 2.0],), (None,), ([1.0, None, 2.0, 2.0],)]
+    rows = [([3.0, 6.0, 10.0, 12.0],), ([-4.0, 6.0, 0.0, 12.0],), ([1.0, 1.0, -1.0, 2.0],), ([1.0, 2.0],), (None,), ([1.0, None, 2.0, 2.0],)]
     got = [r[0] for r in spark.createDataFrame(rows, "b array<double>").select(boxes.coco_box(F.col("b"))).collect()]
-    assert got == [[4.0, 6.0, 10.0, 12.0], [0.0, 6.0, 0.0, 12.0], None, None, None, None]
+    assert got == [[3.0, 6.0, 10.0, 12.0], [0.0, 6.0, 0.0, 12.0], None, None, None, None]
 
 
 @settings(max_examples=30, deadline=None)
@@ -91,3 +91,10 @@ def test_yolo_and_coco_boxes(spark):
 def test_ed25519_round_trip(seed, text):
     sig = ed25519.sign(seed, text.encode("utf-8", "surrogatepass"))
     assert ed25519.verify(ed25519.public_key(seed), text.encode("utf-8", "surrogatepass"), sig)
+
+
+def test_cbor_vectors():
+    from veriframe.functions.canonical import canonical_cbor
+
+    for value, want in ((0, "00"), (23, "17"), (24, "1818"), (1000, "1903e8"), (-1, "20"), (-1000, "3903e7"), (1000000000000, "1b000000e8d4a51000"), (1.1, "fb3ff199999999999a"), (None, "f6"), (True, "f5"), ("ü", "62c3bc"), (b"\x01", "4101"), ([1, [2, 3]], "8201820203"), ({"b": 2, "a": 1, "aa": 3}, "a36161016162026261" + "6103")):
+        assert canonical_cbor(value).hex() == want

@@ -50,9 +50,9 @@ def test_matrix_gate():
 
 
 def test_placeholders(spark):
-    assert gate.OutputSignatureVerifier().run(assets(spark), gate.Matrix("T0")).first()["score"] == 0.99
-    assert gate.FragileWatermarkDetector().run(assets(spark), gate.Matrix("T1")).first()["status"] == "UNAVAILABLE"
-    assert gate.FragileWatermarkDetector().run(assets(spark), gate.Matrix("T2")).first()["score"] == 0.95
+    assert gate.output_signature_verifier().run(assets(spark), gate.Matrix("T0")).first()["score"] == 0.99
+    assert gate.fragile_watermark_detector().run(assets(spark), gate.Matrix("T1")).first()["status"] == "UNAVAILABLE"
+    assert gate.fragile_watermark_detector().run(assets(spark), gate.Matrix("T2")).first()["score"] == 0.95
     assert gate.Matrix("T2", metadata={"a": 1}).frame(spark).first()["metadata"] == '{"a": 1}'
 
 

@@ -26,15 +26,9 @@ def coco(tmp_path):
     png(tmp_path / "images" / "a.png", 64, 48)
     png(tmp_path / "images" / "b.png", 80, 60)
     doc = {
-        "images": [{"id": 7, "file_name": "a.png", "width": 64, "height": 48}, {"id": 8, "file_name": "b.png"}, {"id": 9, "file_name": "gone.png"}],
-        "categories": [{"id": 2, "name": "cat"}, {"id": 2, "name": "dog"}, {"id": 3}],
-        "annotations": [
-            {"id": 1, "image_id": 7, "category_id": 2, "bbox": [4, 6, 10, 12]},
-            {"id": 2, "image_id": 7, "category_id": 3, "bbox": [-4, 6, 0, 12]},
-            {"id": 3, "image_id": 7, "category_id": 5, "bbox": [1, 1, 2, 2]},
-            {"id": 4, "image_id": 7, "category_id": 2, "bbox": [1, 1, -2, 2]},
-            {"id": 5, "image_id": 7, "category_id": 2, "bbox": [1, 1]},
-        ],
+        "images": [dict(file_name=f"{n}.png", id=i) for i, n in ((7, "a"), (8, "b"), (9, "gone"))],
+        "annotations": [dict(bbox=b, category_id=c, image_id=7) for c, b in ((2, [4, 6, 10, 12]), (3, [-4, 6, 0, 12]), (5, [1, 1, 2, 2]), (2, [1, 1, -2, 2]), (2, [1, 1]))],
+        "categories": [dict(name="cat", id=2), dict(name="dog", id=2), dict(id=3)],
     }
     (tmp_path / "annotations").mkdir()
     (tmp_path / "annotations" / "inst.json").write_text(json.dumps(doc))
@@ -50,7 +44,8 @@ def yolo(tmp_path):
     (tmp_path / "labels" / "sub").mkdir(parents=True)
     (tmp_path / "labels" / "a.txt").write_text("# boxes\n0 0.5 0.5 0.2 0.5 0.9\n\n1.7 0.05 0.5 0.2 0.5\n0 0.5 0.5 0 0.5\n")
     (tmp_path / "labels" / "sub" / "b.txt").write_text("0 0.5 0.5 0.2\n")
-    (tmp_path / "data.yaml").write_text("names: {0: car}\ntrain: images\nval: images\n")
+    spec = "train: images\nval: images\nnames: {0: car}\n"
+    (tmp_path / "data.yaml").write_text(spec)
     return tmp_path
 
 

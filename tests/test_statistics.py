@@ -177,3 +177,22 @@ def test_stream_equals_batch(spark, tmp_path):
     assert run() == []
     batch("b1", [("x", 3, 3, "h3", "h4"), ("x", 2, 3, "bad", "h3"), ("y", 1, 2, "k1", "k2")])
     assert run() == [("x", 2, "CHAIN-BREAK"), ("x", 3, "SEQ-BREAK")]
+
+
+def test_trigger_effects(spark):
+    rows = [(t, "car", "bus" if t == 3 or k < t % 4 else "car") for t in range(9) for k in range(20)]
+    got = model_integrity.trigger_effects(spark.createDataFrame(rows, "trigger_id long, clean_class string, triggered_class string")).filter("suspect").collect()
+    assert [(r["trigger_id"], r["target"], r["hits"]) for r in got] == [(3, "bus", 20)]
+
+
+def test_module_entry_points(vectors):
+    from test_gate_probe import assets
+
+    from veriframe.plans import modules
+
+    found = modules.run_data_integrity(assets(vectors.sparkSession, 3), vectors)
+    assert {k: v.count() for k, v in found.items()}["exact_duplicates"] == 1 and found["ood"].count() == 300
+    x = vectors.select("vec_id", F.get("embedding", 0).alias("blur"), F.get("embedding", 1).alias("b"), (F.col("vec_id") < 150).alias("ref"))
+    assert {r["feature"]: r["family"] for r in modules.run_shift(x, ["blur", "b"], "ref").collect()} == {"blur": "physical", "b": "other"}
+    assert modules.run_fusion(x, "vec_id", ["blur", "b"]).count() == 300
+    assert modules.generate_all_attacks(vectors).count() > 1200

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Sequence
 
 from .session import session
 from .sources.datasets import ingest
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv: Sequence[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("dataset_path")
     p.add_argument("--format", default="auto")

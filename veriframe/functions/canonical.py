@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,8 +17,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def canonical_json(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"))
+_COMPACT = {"separators": (",", ":"), "sort_keys": True}
+
+
+def canonical_json(value: object, default=None) -> str:
+    return json.dumps(value, default=default, **_COMPACT)
+
+
+def canonical_cbor(value: object) -> bytes:
+    """Deterministic CBOR (RFC 8949, 4.2): shortest heads, map keys in the order of their bytes, doubles as they are."""
+
+    def head(major: int, n: int) -> bytes:
+        if n < 24:
+            return bytes([major << 5 | n])
+        size = next(k for k in range(4) if n < 1 << (8 << k))
+        return bytes([major << 5 | 24 + size]) + n.to_bytes(1 << size, "big")
+
+    if value is None or isinstance(value, bool):
+        return {None: b"\xf6", True: b"\xf5", False: b"\xf4"}[value]
+    if isinstance(value, int):
+        return head(0, value) if value >= 0 else head(1, -1 - value)
+    if isinstance(value, float):
+        return b"\xfb" + struct.pack(">d", value)
+    if isinstance(value, str):
+        return head(3, len(value.encode())) + value.encode()
+    if isinstance(value, bytes):
+        return head(2, len(value)) + value
+    if isinstance(value, dict):
+        pairs = sorted((canonical_cbor(k), canonical_cbor(v)) for k, v in value.items())
+        return head(5, len(pairs)) + b"".join(k + v for k, v in pairs)
+    return head(4, len(value)) + b"".join(map(canonical_cbor, value))
 
 
 def receipt_hash(payload: dict, prev: str) -> str:
@@ -26,8 +55,8 @@ def receipt_hash(payload: dict, prev: str) -> str:
 
 def entry_hash(event_type: str, payload: dict, prev: str) -> str:
     """Hash of an ingest-ledger entry; values that JSON has no form for count as their text."""
-    record = {"event_type": event_type, "payload": payload, "prev_hash": prev}
-    return hashlib.sha256(json.dumps(record, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
+    covered = canonical_json(dict(event_type=event_type, prev_hash=prev, payload=payload), default=str)
+    return hashlib.sha256(covered.encode()).hexdigest()
 
 
 def part_of_line(line: str | None, key: str) -> str | None:

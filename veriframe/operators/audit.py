@@ -2,7 +2,7 @@
 
 Receipts are rows (ledger, pos, payload_json, seq, prev, hash, signature, nonce, model, asset, output, image_path), as
 sources.ledger gives them, of any number of ledgers. A receipt meets its predecessor by an equi-join on the dense position,
-which is parallel within one ledger; replays meet the first use of their nonce by an aggregate; checkpoints meet their
+which is parallel within one ledger, and all checks of one row are made in one pass; replays meet the first use of their nonce by an aggregate; checkpoints meet their
 receipts on explode(sequence), not by a range condition.
 """
 
@@ -83,32 +83,81 @@ def with_previous(receipts: DataFrame) -> DataFrame:
     return joined.withColumns({"expected": F.coalesce("expected", F.lit(GENESIS)), "last_seq": F.coalesce("last_seq", F.lit(0))})
 
 
-def chain_breaks(linked: DataFrame) -> DataFrame:
+Check = tuple[Column, list[Column]]
+
+
+def _chain_break() -> Check:
     seq = F.coalesce("seq", F.col("pos") + 1).cast("string")
     reason = F.concat(F.lit("Hash chain break at sequence "), seq, F.lit(": expected predecessor "), _cut(F.col("expected")), F.lit(", got "), _cut(F.col("prev")), F.lit("; a record was deleted or reordered."))
-    return linked.filter("prev <> expected").select(
-        finding(_id("CHAIN-BREAK", seq), "hash_chain_verifier", 1.0, "critical", "quarantine", reason, check_no=1, asset=_asset(seq), evidence=(_file(seq),), pos=F.col("pos"))
+    return F.col("prev") != F.col("expected"), finding(
+        _id("CHAIN-BREAK", seq), "hash_chain_verifier", 1.0, "critical", "quarantine", reason, check_no=1, asset=_asset(seq), evidence=(_file(seq),), pos=F.col("pos")
     )
 
 
-def tampered(receipts: DataFrame) -> DataFrame:
+def _tampered() -> Check:
     seq = F.coalesce("seq", F.col("pos") + 1).cast("string")
-    computed = receipt_hash_column(F.col("payload_json"), F.col("prev"))
     reason = F.concat(F.lit("Receipt payload hash mismatch at sequence "), seq, F.lit(": computed "), _cut(F.col("computed")), F.lit(", recorded "), _cut(F.col("hash")), F.lit("."))
-    return receipts.withColumn("computed", computed).filter("computed <> hash").select(
-        finding(_id("TAMPER", seq), "payload_integrity_verifier", 1.0, "critical", "quarantine", reason, check_no=1, sub_no=2, asset=_asset(seq), evidence=(_file(seq),), pos=F.col("pos"))
+    return F.col("computed") != F.col("hash"), finding(
+        _id("TAMPER", seq), "payload_integrity_verifier", 1.0, "critical", "quarantine", reason, check_no=1, sub_no=2, asset=_asset(seq), evidence=(_file(seq),), pos=F.col("pos")
     )
 
 
-def sequence_breaks(linked: DataFrame) -> DataFrame:
+def _sequence_break() -> Check:
     n = F.coalesce("seq", F.lit(0))
     seq = n.cast("string")
     reason = F.concat(F.lit("Sequence number "), seq, F.lit(" does not rise above the one before it, "), F.col("last_seq").cast("string"), F.lit("."))
-    return linked.filter(n <= F.col("last_seq")).select(
-        finding(_id("SEQ-BREAK", seq), "sequence_monotonicity_checker", 0.95, "high", "quarantine", reason, check_no=2, asset=_asset(seq), evidence=(_file(seq),), pos=F.col("pos"))
+    return n <= F.col("last_seq"), finding(
+        _id("SEQ-BREAK", seq), "sequence_monotonicity_checker", 0.95, "high", "quarantine", reason, check_no=2, asset=_asset(seq), evidence=(_file(seq),), pos=F.col("pos")
+    )
+
+
+def _substituted_model(expected_digest: str) -> Check:
+    seq = F.coalesce("seq", F.lit(0)).cast("string")
+    reason = F.concat(F.lit("Model substitution at sequence "), seq, F.lit(": digest "), _cut(F.col("model")), F.lit(" is not that of the attested model, "), _cut(F.lit(expected_digest)), F.lit("."))
+    return F.lower("model") != expected_digest.lower(), finding(
+        _id("MODEL-SUB", seq), "model_integrity_attestation", 1.0, "critical", "quarantine", reason, check_no=4, asset=_asset(seq), evidence=(_file(seq),), pos=F.col("pos")
+    )
+
+
+def _unsigned() -> Check:
+    seq = F.coalesce("seq", F.lit(0)).cast("string")
+    reason = F.concat(F.lit("The receipt at sequence "), seq, F.lit(" is unsigned."))
+    return F.col("signature") == "", finding(
+        _id("UNSIGNED", seq), "ed25519_signature_verifier", 0.5, "warning", "review", reason, check_no=6, sub_no=2, asset=_asset(seq), pos=F.col("pos")
     )
 
 
+def row_checks(rows: DataFrame, checks: list[Check]) -> DataFrame:
+    """Findings of checks that look at one row: all of them in one pass over the rows."""
+    found = F.array(*(F.when(holds, F.struct(*columns)) for holds, columns in checks))
+    return rows.select(F.inline(F.filter(found, lambda f: f.isNotNull())))
+
+
+def _hashed(receipts: DataFrame) -> DataFrame:
+    return receipts.withColumn("computed", receipt_hash_column(F.col("payload_json"), F.col("prev")))
+
+
+def chain_breaks(linked: DataFrame) -> DataFrame:
+    return row_checks(linked, [_chain_break()])
+
+
+def tampered(receipts: DataFrame) -> DataFrame:
+    return row_checks(_hashed(receipts), [_tampered()])
+
+
+def sequence_breaks(linked: DataFrame) -> DataFrame:
+    return row_checks(linked, [_sequence_break()])
+
+
+def substituted_models(receipts: DataFrame, expected_digest: str) -> DataFrame:
+    return row_checks(receipts, [_substituted_model(expected_digest)])
+
+
+def unsigned_receipts(receipts: DataFrame) -> DataFrame:
+    """Opt-in: receipts without a signature, which bad_signatures passes over."""
+    return row_checks(receipts, [_unsigned()])
+
+
 def replays(receipts: DataFrame) -> DataFrame:
     """Receipts whose nonce an earlier one had, naming the first; empty nonces don't count."""
     used = receipts.filter("nonce <> ''")
@@ -139,14 +188,6 @@ def bad_signatures(receipts: DataFrame, public_key_pem: bytes | None) -> DataFra
     )
 
 
-def substituted_models(receipts: DataFrame, expected_digest: str) -> DataFrame:
-    seq = F.coalesce("seq", F.lit(0)).cast("string")
-    reason = F.concat(F.lit("Model substitution at sequence "), seq, F.lit(": digest "), _cut(F.col("model")), F.lit(" is not that of the attested model, "), _cut(F.lit(expected_digest)), F.lit("."))
-    return receipts.filter(F.lower("model") != expected_digest.lower()).select(
-        finding(_id("MODEL-SUB", seq), "model_integrity_attestation", 1.0, "critical", "quarantine", reason, check_no=4, asset=_asset(seq), evidence=(_file(seq),), pos=F.col("pos"))
-    )
-
-
 def checkpoint_leaves(receipts: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Checkpoints with `leaves`, the hashes of those sequences of the block that are there; of a repeated one the last's."""
     last = receipts.filter("seq is not null").groupBy("ledger", "seq").agg(F.max(F.struct("pos", "hash")).alias("last"))
@@ -185,13 +226,6 @@ def missing_blocks(receipts: DataFrame, checkpoints: DataFrame) -> DataFrame:
     )
 
 
-def unsigned_receipts(receipts: DataFrame) -> DataFrame:
-    seq = F.coalesce("seq", F.lit(0)).cast("string")
-    return receipts.filter("signature = ''").select(
-        finding(_id("UNSIGNED", seq), "ed25519_signature_verifier", 0.5, "warning", "review", F.concat(F.lit("The receipt at sequence "), seq, F.lit(" is unsigned.")), check_no=6, sub_no=2, asset=_asset(seq), pos=F.col("pos"))
-    )
-
-
 def bad_checkpoint_signatures(checkpoints: DataFrame, verifier_key_pem: bytes) -> DataFrame:
     key, chk = ed25519.load_public(verifier_key_pem), F.col("checkpoint_id")
     ok = ed25519.verify_column(key, F.col("merkle_root"), F.col("verifier_signature"))
@@ -212,20 +246,20 @@ def audit(
     """All findings, with the columns that order them (ORDER). strict adds the opt-in checks."""
     if receipts.isEmpty():
         return empty_ledger(receipts, "")
-    linked = with_previous(receipts)
-    parts = [chain_breaks(linked), tampered(receipts), sequence_breaks(linked), replays(receipts)]
+    checks = [_chain_break(), _tampered(), _sequence_break()]
+    if expected_model:
+        checks.append(_substituted_model(expected_model))
+    if strict:
+        checks.append(_unsigned())
+    parts = [row_checks(_hashed(with_previous(receipts)), checks), replays(receipts)]
     if check_signatures:
         parts.append(bad_signatures(receipts, public_key_pem))
-    if expected_model:
-        parts.append(substituted_models(receipts, expected_model))
     if checkpoints is not None:
         parts.append(merkle_mismatches(receipts, checkpoints))
-    if strict:
-        parts.append(unsigned_receipts(receipts))
-        if checkpoints is not None:
-            parts.append(missing_blocks(receipts, checkpoints))
-            if verifier_key_pem:
-                parts.append(bad_checkpoint_signatures(checkpoints, verifier_key_pem))
+    if strict and checkpoints is not None:
+        parts.append(missing_blocks(receipts, checkpoints))
+        if verifier_key_pem:
+            parts.append(bad_checkpoint_signatures(checkpoints, verifier_key_pem))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -17,6 +17,13 @@ from pyspark.sql import functions as F
 from ..schemas import DETECTOR_RESULT, MATRIX, TASKS, TIERS, satisfies
 
 RANK = {t: i for i, t in enumerate(TIERS)}
+NO_ID = "INVALID_DETECTOR_ID: detector_id must be non-empty"
+
+
+def _verdict(detector_id: str, problems: dict[str, bool]) -> tuple[bool, str]:
+    """The first problem that holds, or that there is none."""
+    reason = next((text for text, holds in problems.items() if holds), None)
+    return reason is None, reason or f"SUPPORTED: detector={detector_id}"
 
 
 @dataclass
@@ -51,20 +58,19 @@ class Matrix:
 
     def supports(self, detector_id: str, tier: str, tasks: Sequence[str]) -> tuple[bool, str]:
         """(allowed, reason), the task before the tier; reasons speak of tiers by their short values."""
-        if not detector_id:
-            return False, "INVALID_DETECTOR_ID: detector_id must be non-empty"
-        if self.task_type not in tasks:
-            return False, f"TASK_UNSUPPORTED: requires one of [{', '.join(tasks) or '<none>'}], found {self.task_type}"
-        if not self.satisfies(tier):
-            return False, f"UNAVAILABLE_AT_TIER: requires {tier}, found {self.access_tier}"
-        return True, f"SUPPORTED: detector={detector_id}"
+        problems = {
+            NO_ID: not detector_id,
+            f"TASK_UNSUPPORTED: requires one of [{', '.join(tasks) or '<none>'}], found {self.task_type}": self.task_type not in tasks,
+            f"UNAVAILABLE_AT_TIER: requires {tier}, found {self.access_tier}": not self.satisfies(tier),
+        }
+        return _verdict(detector_id, problems)
 
 
 def supports_column(detector_id: Column, tier: Column, tasks: Column, found_tier: Column, found_task: Column) -> Column:
     """The same over columns, tasks being an array: struct(allowed, reason)."""
     listed = F.when(F.size(tasks) > 0, F.array_join(tasks, ", ")).otherwise("<none>")
     reason = (
-        F.when(F.coalesce(F.length(detector_id), F.lit(0)) == 0, F.lit("INVALID_DETECTOR_ID: detector_id must be non-empty"))
+        F.when(F.coalesce(F.length(detector_id), F.lit(0)) == 0, F.lit(NO_ID))
         .when(~F.array_contains(tasks, found_task), F.concat(F.lit("TASK_UNSUPPORTED: requires one of ["), listed, F.lit("], found "), found_task))
         .when(~satisfies(found_tier, tier), F.concat(F.lit("UNAVAILABLE_AT_TIER: requires "), tier, F.lit(", found "), found_tier))
         .otherwise(F.concat(F.lit("SUPPORTED: detector="), detector_id))
@@ -96,12 +102,11 @@ def unavailable(spark: SparkSession, detector_id: str, reason: str) -> DataFrame
 def gated(method: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """For methods (self, assets, matrix, ...): an UNAVAILABLE row instead of the call where the matrix doesn't suffice."""
 
-    @functools.wraps(method)
-    def wrapper(self: Detector, assets: DataFrame, matrix: Matrix, *args, **kwargs) -> DataFrame:
+    def run(self: Detector, assets: DataFrame, matrix: Matrix, **kwargs) -> DataFrame:
         allowed, reason = self.available(matrix)
-        return method(self, assets, matrix, *args, **kwargs) if allowed else unavailable(assets.sparkSession, self.detector_id, reason)
+        return method(self, assets, matrix, **kwargs) if allowed else unavailable(assets.sparkSession, self.detector_id, reason)
 
-    return wrapper
+    return functools.update_wrapper(run, method)
 
 
 class Detector(ABC):
@@ -114,14 +119,13 @@ class Detector(ABC):
         self.supported_tasks, self.requires_reference = tuple(supported_tasks), requires_reference
 
     def available(self, matrix: Matrix) -> tuple[bool, str]:
-        name = self.detector_id.upper().replace("-", "_").replace(" ", "_")
-        if matrix.task_type not in self.supported_tasks:
-            return False, f"{name}_UNAVAILABLE_FOR_TASK_TYPE"
-        if not matrix.satisfies(self.required_tier):
-            return False, f"UNAVAILABLE_AT_TIER: requires {TIERS[self.required_tier]}, found {TIERS[matrix.access_tier]}"
-        if self.requires_reference and matrix.reference_mode == "UNREFERENCED":
-            return False, f"{name}_UNAVAILABLE_WITHOUT_REFERENCE"
-        return True, f"SUPPORTED: detector={self.detector_id}"
+        name = self.detector_id.upper().translate(str.maketrans("- ", "__"))
+        problems = {
+            name + "_UNAVAILABLE_FOR_TASK_TYPE": matrix.task_type not in self.supported_tasks,
+            f"UNAVAILABLE_AT_TIER: requires {TIERS[self.required_tier]}, found {TIERS[matrix.access_tier]}": not matrix.satisfies(self.required_tier),
+            name + "_UNAVAILABLE_WITHOUT_REFERENCE": self.requires_reference and matrix.reference_mode == "UNREFERENCED",
+        }
+        return _verdict(self.detector_id, problems)
 
     @gated
     def run(self, assets: DataFrame, matrix: Matrix, **kwargs) -> DataFrame:
@@ -131,21 +135,22 @@ class Detector(ABC):
     def _run(self, assets: DataFrame, matrix: Matrix, **kwargs) -> DataFrame: ...
 
 
-class OutputSignatureVerifier(Detector):
-    """Placeholder of constant result: runs with labels alone."""
+class Constant(Detector):
+    """Placeholder detector of a constant result."""
 
-    def __init__(self) -> None:
-        super().__init__("output_signature_verifier", "T0", TASKS)
+    def __init__(self, detector_id: str, tier: str, score: float, **details):
+        super().__init__(detector_id, tier, TASKS)
+        self.score, self.details = score, details
 
     def _run(self, assets: DataFrame, matrix: Matrix, **kwargs) -> DataFrame:
-        return result(assets.sparkSession, self.detector_id, "SUCCESS", score=0.99, details={"verified": True})
+        return result(assets.sparkSession, self.detector_id, "SUCCESS", None, self.score, self.details)
 
 
-class FragileWatermarkDetector(Detector):
-    """Placeholder of constant result: needs the weights."""
+def output_signature_verifier() -> Detector:
+    """Runs with labels alone."""
+    return Constant("output_signature_verifier", "T0", 0.99, verified=True)
 
-    def __init__(self) -> None:
-        super().__init__("fragile_watermark_detector", "T2", TASKS)
 
-    def _run(self, assets: DataFrame, matrix: Matrix, **kwargs) -> DataFrame:
-        return result(assets.sparkSession, self.detector_id, "SUCCESS", score=0.95, details={"tamper_detected": False})
+def fragile_watermark_detector() -> Detector:
+    """Needs the weights."""
+    return Constant("fragile_watermark_detector", "T2", 0.95, tamper_detected=False)

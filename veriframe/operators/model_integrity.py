@@ -60,3 +60,16 @@ def strip_entropy(predictions: DataFrame, item: str = "item_id", probabilities:
         cut = per.agg(F.percentile_approx("entropy", 0.01).alias("cut"))
         return per.crossJoin(F.broadcast(cut)).select(item, "copies", "entropy", (F.col("entropy") < F.col("cut")).alias("trojaned"))
     return per.withColumn("trojaned", F.col("entropy") < limit)
+
+
+def trigger_effects(predictions: DataFrame, trigger: str = "trigger_id", clean: str = "clean_class", triggered: str = "triggered_class", limit: float = 2.0) -> DataFrame:
+    """(trigger, target, hits, success, anomaly_index, suspect): for boxes predicted with and without each candidate trigger, the
+    share that it turns into one class; null classes are boxes that vanish or appear. Suspect are triggers whose best
+    target succeeds far more often than the others' (our design; the planned search itself has no published behaviour)."""
+    turned = predictions.withColumn("turned", ~F.col(clean).eqNullSafe(F.col(triggered)))
+    per = turned.groupBy(trigger, F.col(triggered).alias("target")).agg(F.count_if("turned").alias("hits"))
+    total = predictions.groupBy(trigger).agg(F.count(F.lit(1)).alias("n"))
+    best = per.groupBy(trigger).agg(F.max(F.struct("hits", "target")).alias("b"))
+    rate = best.join(total, trigger).select(trigger, F.col("b.target").alias("target"), F.col("b.hits").alias("hits"), (F.col("b.hits") / F.col("n")).alias("success"))
+    index = mad_outliers(rate.withColumn("low", -F.col("success")), trigger, "low", limit).select(trigger, "anomaly_index", F.col("outlier").alias("suspect"))
+    return rate.join(index, trigger)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 import logging
-import struct
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import UTC, datetime
 from pathlib import Path
 from urllib.parse import urlparse
@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import has_box, has_polygon
 from ..sources import profile as profiles
-from .gate import Matrix
+from .gate import RANK, Matrix
 
 log = logging.getLogger(__name__)
-WEIGHT_SUFFIXES = (".onnx", ".pt", ".pth", ".safetensors")
-LOGIT_WORDS = ("logit", "logits", "score", "scores", "confidence", "probabilities", "prob")
-WEIGHT_WORDS = ("weights", "state_dict", "parameters", "tensors")
+LOGIT_WORDS = "confidence logit logits prob probabilities score scores".split()
+WEIGHT_WORDS = "parameters state_dict tensors weights".split()
 MAX_HEADER = 100_000_000
 Tier = tuple[str, str | None, dict, str | None]
 
@@ -59,24 +58,18 @@ def access_tier(spec: str | None) -> Tier:
     if not spec:
         return "T0", "unknown", {"reason": "NO_MODEL"}, None
     if is_url(spec):
-        return "T1", "remote_api", {"reason": "API_ENDPOINT", "endpoint": spec}, None
+        return "T1", "remote_api", {"endpoint": spec, "reason": "API_ENDPOINT"}, None
     path = Path(spec).expanduser()
-    if not path.exists():
-        return "T0", "unknown", {"reason": "MISSING_MODEL"}, None
     if not path.is_file():
-        return "T0", "unknown", {"reason": "NOT_A_FILE"}, None
-    suffix, digest = path.suffix.lower(), _digest(path)
-    if suffix in (".json", ".yaml", ".yml"):
+        return "T0", "unknown", {"reason": "NOT_A_FILE" if path.exists() else "MISSING_MODEL"}, None
+    kind = path.suffix.lower()
+    if kind in _DESCRIPTORS:
         tier, details = descriptor_tier(path)
-        return tier, "local_file" if tier == "T2" else "remote_api", details, digest
-    if suffix not in WEIGHT_SUFFIXES:
-        return "T0", "local_file", {"reason": "UNSUPPORTED_ARTIFACT", "suffix": suffix}, digest
-    readable, details = has_weights(path)
-    if readable:
-        return "T2", "local_file", {"reason": "WEIGHTS_READABLE"} | details, digest
-    if shows_logits(path, details):
-        return "T1", "local_file", {"reason": "ONNX_LOGITS_WITHOUT_WEIGHTS"} | details, digest
-    return "T0", "local_file", {"reason": "WEIGHTS_UNREADABLE"} | details, digest
+        source = "remote_api" if RANK[tier] < RANK["T2"] else "local_file"
+    else:
+        source = "local_file"
+        tier, details = weights_tier(path) if kind in _FORMATS else ("T0", {"reason": "UNSUPPORTED_ARTIFACT", "suffix": kind})
+    return tier, source, details, _digest(path)
 
 
 def _digest(path: Path) -> str | None:
@@ -90,24 +83,23 @@ def _digest(path: Path) -> str | None:
 def descriptor_tier(path: Path) -> tuple[str, dict]:
     """Tier of an API's description: words of weights anywhere in it, then of logits, then an endpoint."""
     try:
-        text = path.read_text(encoding="utf-8")
-        data = json.loads(text) if path.suffix.lower() == ".json" else yaml.safe_load(text)
+        with open(path, encoding="utf-8") as f:
+            found = _DESCRIPTORS[path.suffix.lower()](f)
     except (OSError, ValueError, yaml.YAMLError) as e:
-        return "T0", {"reason": "API_DESCRIPTOR_UNREADABLE", "error": str(e)}
-    if not isinstance(data, dict):
+        return "T0", {"reason": "API_DESCRIPTOR_UNREADABLE", "problem": str(e)}
+    if not isinstance(found, dict):
         return "T0", {"reason": "API_DESCRIPTOR_NOT_AN_OBJECT"}
-    tier, reason = tier_of_text(json.dumps(data, default=str))
-    endpoint = data.get("endpoint") or data.get("url") or data.get("api")
-    if tier == "T0" and isinstance(endpoint, str) and is_url(endpoint):
-        return "T1", {"reason": "API_ENDPOINT", "endpoint": endpoint}
-    return tier, {"reason": reason, "descriptor": str(path)}
+    tier, reason = tier_of_text(json.dumps(found, default=str))
+    address = next((found[k] for k in ("endpoint", "url", "api") if found.get(k)), None)
+    if tier == "T0" and isinstance(address, str) and is_url(address):
+        tier, reason = "T1", "API_ENDPOINT"
+    return tier, {"descriptor": str(path), "reason": reason}
 
 
 def tier_of_text(text: str) -> tuple[str, str]:
     low = text.lower()
-    if any(w in low for w in WEIGHT_WORDS):
-        return "T2", "API_RETURNS_WEIGHTS"
-    return ("T1", "API_RETURNS_LOGITS") if any(w in low for w in LOGIT_WORDS) else ("T0", "API_LABELS_ONLY")
+    ranked = (("T2", "API_RETURNS_WEIGHTS", WEIGHT_WORDS), ("T1", "API_RETURNS_LOGITS", LOGIT_WORDS))
+    return next(((tier, reason) for tier, reason, words in ranked if any(w in low for w in words)), ("T0", "API_LABELS_ONLY"))
 
 
 def descriptor_tier_column(text: Column) -> Column:
@@ -119,64 +111,84 @@ def descriptor_tier_column(text: Column) -> Column:
     return F.when(some(WEIGHT_WORDS), "T2").when(some(LOGIT_WORDS) | endpoint, "T1").otherwise("T0")
 
 
-def has_weights(path: Path) -> tuple[bool, dict]:
-    suffix = path.suffix.lower()
+@dataclass
+class Artifact:
+    """What a weight file shows: whether its weights can be read, the names of its outputs, and details."""
+
+    readable: bool
+    outputs: list[str]
+    details: dict
+
+
+def weights_tier(path: Path) -> tuple[str, dict]:
     try:
-        if suffix == ".onnx":
-            return _onnx(path)
-        with path.open("rb") as f:
-            head = f.read(8)
-            if suffix == ".safetensors":
-                return safetensors(head, f.read)
-        return torch_container(head)
+        seen = _FORMATS[path.suffix.lower()](path)
     except OSError as e:
-        return False, {"error": str(e)}
+        seen = Artifact(False, [], {"problem": str(e)})
+    if seen.readable:
+        return "T2", {"reason": "WEIGHTS_READABLE", **seen.details}
+    rich = any(w in name.lower() for name in seen.outputs for w in LOGIT_WORDS)
+    return ("T1", {"reason": "ONNX_LOGITS_WITHOUT_WEIGHTS", **seen.details}) if rich else ("T0", {"reason": "WEIGHTS_UNREADABLE", **seen.details})
 
 
-def _onnx(path: Path) -> tuple[bool, dict]:
+def _runtime_outputs(path: str) -> list[str]:
+    """Output names by the ONNX runtime; none if it doesn't take the file."""
     try:
-        import onnx
-    except ImportError:
-        size = path.stat().st_size
-        return size > 0, {"format": "onnx", "onnx_available": False, "bytes": size}
+        import onnxruntime
+
+        return [x.name for x in onnxruntime.InferenceSession(path, None, ["CPUExecutionProvider"]).get_outputs()]
+    except Exception:  # any failure means that nothing can be said
+        return []
+
+
+def _graph(path: str):
+    import onnx
+
+    return onnx.load(path).graph
+
+
+def onnx_artifact(path: Path) -> Artifact:
+    """Readable with initialisers; where the ONNX library is missing, if it isn't empty."""
     try:
-        graph = onnx.load(str(path)).graph
+        graph = _graph(str(path))
+    except ImportError:
+        return Artifact(path.stat().st_size > 0, _runtime_outputs(str(path)), {"parsed": False})
     except Exception as e:  # whatever the parser raises, the probe goes on
-        return False, {"format": "onnx", "error": str(e)}
-    return len(graph.initializer) > 0, {"format": "onnx", "initializer_count": len(graph.initializer), "outputs": [x.name for x in graph.output]}
+        return Artifact(False, _runtime_outputs(str(path)), {"problem": str(e)})
+    return Artifact(len(graph.initializer) > 0, [x.name for x in graph.output], {"initializers": len(graph.initializer)})
 
 
-def shows_logits(path: Path, details: dict) -> bool:
-    named = [str(x).lower() for x in details.get("outputs") or []]
-    if not named and path.suffix.lower() == ".onnx":
-        try:
-            import onnxruntime
+def torch_artifact(path: Path) -> Artifact:
+    """Readable if it begins as a zip or as a pickle of protocol 2 to 5."""
+    with open(path, "rb") as f:
+        head = f.read(2)
+    container = "zip" if head == b"PK" else "pickle" if head[:1] == b"\x80" and head[1:] in (b"\2", b"\3", b"\4", b"\5") else "unknown"
+    return Artifact(container != "unknown", [], {"container": container})
 
-            named = [x.name.lower() for x in onnxruntime.InferenceSession(str(path), providers=["CPUExecutionProvider"]).get_outputs()]
-        except Exception:  # not a model that the runtime takes
-            return False
-    return any(w in n for n in named for w in LOGIT_WORDS)
 
+def safetensors_artifact(path: Path) -> Artifact:
+    """Readable if its header, of a length that comes first, is a JSON object with a tensor."""
 
-def torch_container(head: bytes) -> tuple[bool, dict]:
-    zipped, pickled = head[:2] == b"PK", len(head) > 1 and head[0] == 0x80 and head[1] in (2, 3, 4, 5)
-    return zipped or pickled, {"format": "pytorch", "container": "zip" if zipped else "pickle" if pickled else "unknown"}
+    def broken(why: str) -> Artifact:
+        return Artifact(False, [], {"problem": why})
 
-
-def safetensors(head: bytes, read: Callable[[int], bytes]) -> tuple[bool, dict]:
-    if len(head) < 8:
-        return False, {"format": "safetensors", "error": "truncated_header"}
-    (n,) = struct.unpack("<Q", head)
-    if not 0 < n <= MAX_HEADER:
-        return False, {"format": "safetensors", "error": "invalid_header_length"}
-    try:
-        header = json.loads(read(n).decode("utf-8"))
-    except ValueError as e:
-        return False, {"format": "safetensors", "error": f"header_json: {e}"}
+    with open(path, "rb") as f:
+        size = f.read(8)
+        n = int.from_bytes(size, "little")
+        if len(size) < 8 or not 0 < n <= MAX_HEADER:
+            return broken("no header length")
+        try:
+            header = json.loads(f.read(n))
+        except ValueError as e:
+            return broken(f"no JSON header: {e}")
     if not isinstance(header, dict):
-        return False, {"format": "safetensors", "error": "header_not_object"}
-    count = sum(k != "__metadata__" and isinstance(v, dict) for k, v in header.items())
-    return count > 0, {"format": "safetensors", "tensor_count": count}
+        return broken("the header is no object")
+    tensors = [k for k, v in header.items() if isinstance(v, dict) and k != "__metadata__"]
+    return Artifact(bool(tensors), [], {"tensors": len(tensors)})
+
+
+_DESCRIPTORS = {".json": json.load, ".yaml": yaml.safe_load, ".yml": yaml.safe_load}
+_FORMATS = {".onnx": onnx_artifact, ".pt": torch_artifact, ".pth": torch_artifact, ".safetensors": safetensors_artifact}
 
 
 def torch_container_column(content: Column) -> Column:
@@ -205,17 +217,17 @@ def cohort(assets: DataFrame) -> DataFrame:
 
 
 def reference_mode(profile_path: str | None, contributors: int, default_key_path: str | None = None) -> tuple[str, str | None, dict]:
-    if profile_path and Path(profile_path).expanduser().is_file():
-        path = str(Path(profile_path).expanduser())
-        digest = profiles.file_digest(path)
-        if profiles.is_attested(path, default_key_path=default_key_path):
-            return "ATTESTED", digest, {"reason": "ATTESTATION_VALID", "profile": path}
-        if profiles.is_bootstrap(path) or contributors:
-            return "BOOTSTRAPPED", digest, {"reason": "PROFILE_UNSIGNED_BOOTSTRAP_FROM_COHORTS", "profile": path, "contributor_count": contributors}
-        return "UNREFERENCED", digest, {"reason": "PROFILE_PRESENT_BUT_NOT_ATTESTED_OR_BOOTSTRAPPABLE", "profile": path}
-    if contributors:
-        return "BOOTSTRAPPED", None, {"reason": "BOOTSTRAPPED_FROM_CONTRIBUTOR_COHORTS", "contributor_count": contributors}
-    return "UNREFERENCED", None, {"reason": "NO_REFERENCE_PROFILE"}
+    """(mode, profile digest, details): a profile that verifies, else one to bootstrap from or any contributor, else none."""
+    path = Path(profile_path).expanduser() if profile_path else None
+    known = path is not None and path.is_file()
+    details: dict = {"profile": str(path)} if known else {}
+    digest = profiles.file_digest(str(path)) if known else None
+    if known and profiles.is_attested(str(path), default_key_path=default_key_path):
+        return "ATTESTED", digest, details | {"reason": "ATTESTATION_VALID"}
+    if contributors or known and profiles.is_bootstrap(str(path)):
+        reason = "PROFILE_UNSIGNED_BOOTSTRAP_FROM_COHORTS" if known else "BOOTSTRAPPED_FROM_CONTRIBUTOR_COHORTS"
+        return "BOOTSTRAPPED", digest, details | {"contributor_count": contributors, "reason": reason}
+    return "UNREFERENCED", digest, details | {"reason": "PROFILE_PRESENT_BUT_NOT_ATTESTED_OR_BOOTSTRAPPABLE" if known else "NO_REFERENCE_PROFILE"}
 
 
 def probe(assets: DataFrame, model: str | Path | None = None, profile_path: str | None = None, default_key_path: str | None = None) -> Matrix:
@@ -230,14 +242,11 @@ def probe(assets: DataFrame, model: str | Path | None = None, profile_path: str
 def inspect_file(path: str) -> Matrix:
     """The older file probe: weights by the initializers, logits by the outputs' names, T0 without reference on any failure."""
     try:
-        import onnx
-        import onnxruntime
-
-        weights = len(onnx.load(path).graph.initializer)
-        outputs = [x.name for x in onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"]).get_outputs()]
+        weights = len(_graph(path).initializer)
     except Exception as e:
         log.warning("%s can't be inspected, so it counts as T0: %s", path, e)
         return Matrix("T0", reference_mode="UNREFERENCED", source="local_file", probe_timestamp=now())
+    outputs = _runtime_outputs(path)
     rich = any(w in n.lower() for n in outputs for w in ("logit", "raw", "embedding", "feature"))
     tier = "T2" if weights else "T1" if rich else "T0"
     return Matrix(tier, source="local_file", probe_timestamp=now(), metadata={"output_nodes": outputs, "num_initializers": weights})

@@ -14,7 +14,10 @@ from .audit import ORDER
 
 MODULE, CLAUSE = "M3_INFERENCE_PROVENANCE", "2.2.3 / 2.2.5"
 SEVERITIES = ("critical", "high", "warning", "info")
-SUPPORTED = ("receipt_payload_tampering", "record_replay_attack", "record_deletion_or_reordering", "hash_chain_discontinuity", "model_substitution", "merkle_checkpoint_inconsistency", "invalid_ed25519_signature")
+SUPPORTED = tuple(
+    """receipt_payload_tampering record_replay_attack record_deletion_or_reordering hash_chain_discontinuity
+    model_substitution merkle_checkpoint_inconsistency invalid_ed25519_signature""".split()
+)
 PARTIAL, UNSUPPORTED = ("host_fabricated_results",), ("dishonest_signer_at_generation_time",)
 ASSUMPTIONS = ("reference_profile_is_clean", "signing_keys_uncompromised", "verifier_key_held_in_dual_custody")
 CAVEAT = "A manifest is a form of serialisation, not a security guarantee: without trusted hardware or proofs of computation it can't show that the execution was honest."

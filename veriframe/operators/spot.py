@@ -81,3 +81,12 @@ def spot_findings(executed: DataFrame, runner: bool = False) -> DataFrame:
 
 def spot_check(receipts: DataFrame, evaluate: Evaluator | None = None, rate: float = RATE, least: int = LEAST, seed: int = SEED) -> DataFrame:
     return spot_findings(reexecute(sample_receipts(receipts, rate, least, seed), evaluate))
+
+
+def spot_check_images(receipts: DataFrame, outputs: DataFrame, rate: float = RATE, least: int = LEAST, seed: int = SEED) -> DataFrame:
+    """The same against real inference: outputs(path, output_bytes) of the images at hand, as encoder.infer gives them. A
+    receipt whose image has no row there is `unavailable`."""
+    actual = outputs.select(F.col("path").alias("image_path"), F.sha2("output_bytes", 256).alias("actual"))
+    joined = sample_receipts(receipts, rate, least, seed).join(actual, "image_path", "left")
+    ran = joined.withColumns({"error": F.lit(None).cast("string"), "ran": F.col("actual").isNotNull()})
+    return spot_findings(ran, runner=True)

@@ -91,6 +91,18 @@ def checkpoints_of(chained: DataFrame, interval: int = 10, chain: str = "chain",
     return blocks.select(chain, F.format_string("CHK-%04d", F.col("block") + 1).alias("checkpoint_id"), "start_sequence", "end_sequence", "receipt_count", merkle_root(F.col("leaves")).alias("merkle_root"))
 
 
+def _read(path: Path) -> Iterator[str]:
+    if path.exists():
+        with open(path, encoding="utf-8") as f:
+            yield from f
+
+
+def _append(path: Path, lines: Iterable[str]) -> None:
+    path.parent.mkdir(exist_ok=True, parents=True)
+    with open(path, encoding="utf-8", mode="a") as out:
+        out.writelines(x + "\n" for x in lines)
+
+
 class LedgerFile:
     """Append-only receipt ledger and its checkpoints on a driver-side file system.
 
@@ -114,28 +126,22 @@ class LedgerFile:
 
     @staticmethod
     def _lines(path: Path, kind: str) -> Iterator[dict]:
-        if path.exists():
-            with path.open(encoding="utf-8") as f:
-                for line in f:
-                    try:
-                        record = json.loads(line)
-                    except ValueError:
-                        continue
-                    if isinstance(record, dict) and record.get("record_type") == kind:
-                        yield record
-
-    def _write(self, path: Path, records: list[dict]) -> None:
-        path.parent.mkdir(parents=True, exist_ok=True)
-        with path.open("a", encoding="utf-8") as f:
-            f.writelines(json.dumps(r) + "\n" for r in records)
+        for line in _read(path):
+            try:
+                record = json.loads(line)
+            except ValueError:
+                continue
+            if isinstance(record, dict) and record.get("record_type") == kind:
+                yield record
 
     def append(self, payload: dict, signature: str = "", sign_with: bytes | None = None) -> dict:
         """Number, chain and write one receipt; sign_with signs the final hash, after numbering."""
         self.sequence += 1
         payload = payload | {"sequence_number": self.sequence}
         digest = receipt_hash(payload, self.tip)
-        record = {"record_type": "receipt", "payload": payload, "prev_receipt_hash": self.tip, "receipt_hash": digest, "signature": ed25519.sign_hex(sign_with, digest) if sign_with else signature}
-        self._write(self.path, [record])
+        signature = ed25519.sign_hex(sign_with, digest) if sign_with else signature
+        record = dict(record_type="receipt", payload=payload, prev_receipt_hash=self.tip, receipt_hash=digest, signature=signature)
+        _append(self.path, [json.dumps(record)])
         self.tip = digest
         self.pending.append(digest)
         if len(self.pending) >= self.interval:
@@ -148,17 +154,17 @@ class LedgerFile:
             return None
         self.count += 1
         root = root_of(self.pending)
-        record = {
-            "record_type": "checkpoint",
-            "checkpoint_id": f"CHK-{self.count:04d}",
-            "start_sequence": self.sequence - len(self.pending) + 1,
-            "end_sequence": self.sequence,
-            "receipt_count": len(self.pending),
-            "merkle_root": root,
-            "timestamp_utc": datetime.now(UTC).isoformat(),
-            "verifier_signature": self._sign(root),
-        }
-        self._write(self.checkpoint_path, [record])
+        record = dict(
+            record_type="checkpoint",
+            checkpoint_id="CHK-%04d" % self.count,
+            start_sequence=self.sequence - len(self.pending) + 1,
+            end_sequence=self.sequence,
+            receipt_count=len(self.pending),
+            merkle_root=root,
+            timestamp_utc=datetime.now(UTC).isoformat(),
+            verifier_signature=self._sign(root),
+        )
+        _append(self.checkpoint_path, [json.dumps(record)])
         self.pending.clear()
         return record
 
@@ -177,10 +183,8 @@ class EntryFile:
     def __init__(self, path: str):
         self.path = Path(path)
         last = ""
-        if self.path.is_file():
-            with self.path.open(encoding="utf-8") as f:
-                for line in f:
-                    last = line.strip() or last
+        for line in _read(self.path):
+            last = line.strip() or last
         self.tip = GENESIS
         if last:
             try:
@@ -194,13 +198,10 @@ class EntryFile:
         """Write events in one go; their hashes."""
         out, lines = [], []
         for kind, payload in events:
-            record = {"event_type": kind, "payload": payload, "prev_hash": self.tip}
-            self.tip = entry_hash(kind, payload, self.tip)
+            before, self.tip = self.tip, entry_hash(kind, payload, self.tip)
             out.append(self.tip)
-            lines.append(json.dumps(record | {"entry_hash": self.tip}, sort_keys=True, default=str) + "\n")
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        with self.path.open("a", encoding="utf-8") as f:
-            f.writelines(lines)
+            lines.append(json.dumps(dict(entry_hash=self.tip, event_type=kind, payload=payload, prev_hash=before), default=str, sort_keys=True))
+        _append(self.path, lines)
         return out
 
     def append(self, event_type: str, payload: dict) -> str:

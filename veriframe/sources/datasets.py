@@ -22,7 +22,8 @@ from ..schemas import ANNOTATION
 from .images import EXTENSIONS, image_metadata
 from .profile import file_digest
 
-COCO_HINTS, YOLO_HINTS = {"coco", "ms-coco", "mscoco"}, {"yolo", "yolov5", "yolov8", "ultralytics"}
+HINTS = {"COCO": "coco mscoco ms-coco".split(), "YOLO": "ultralytics yolo yolov5 yolov8".split()}
+IMAGE_FOLDERS, SPLITS, YAML_NAMES = "images train val test".split(), "train val test images".split(), "data.yaml data.yml dataset.yaml".split()
 LEDGER_NAME = ".veriframe_ingest_ledger.jsonl"
 _YAML = (".yaml", ".yml")
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
@@ -32,35 +33,32 @@ ASSET_COLUMNS = ("asset_id", "file_path", "sha256", "format", "image_metadata",
 def detect_format(path: str | Path, hint: str = "auto") -> str:
     """COCO or YOLO, by the hint or else by the layout."""
     word, p = (hint or "auto").strip().lower(), Path(path)
-    if word in COCO_HINTS:
-        return "COCO"
-    if word in YOLO_HINTS:
-        return "YOLO"
-    if word not in ("auto", "detect"):
+    named = next((kind for kind, words in HINTS.items() if word in words), None)
+    if named is None and word not in ("auto", "detect"):
         raise IngestError(f"unknown format hint {hint!r}")
-    if p.is_file():
-        kind = p.suffix.lower()
-        if kind == ".json" or kind in _YAML:
-            return "COCO" if kind == ".json" else "YOLO"
-    elif any((p / n).is_file() for n in ("data.yaml", "data.yml")) or (p / "labels").is_dir() and (p / "images").is_dir():
-        return "YOLO"
-    elif any((p / "annotations").glob("*.json")) or any(p.glob("*.json")):
-        return "COCO"
-    raise IngestError(f"{p} has neither a COCO nor a YOLO layout")
-
-
-def coco_inputs(path: str | Path) -> tuple[Path, Path]:
-    """(annotations file, image folder) of a COCO data set given as folder or as file."""
+    if named is None and p.is_file():
+        named = "COCO" if p.suffix.lower() == ".json" else "YOLO" if p.suffix.lower() in _YAML else None
+    elif named is None:
+        here = {x.name for x in p.iterdir()} if p.is_dir() else set()
+        if here & set(YAML_NAMES[:2]) or (p / "labels").is_dir() and (p / "images").is_dir():
+            named = "YOLO"
+        elif any(f for folder in (p / "annotations", p) for f in folder.glob("*.json")):
+            named = "COCO"
+    if named is None:
+        raise IngestError(f"{p} has neither a COCO nor a YOLO layout")
+    return named
+
+
+def coco_inputs(path: str | Path) -> list[Path]:
+    """The annotations file and the image folder of a COCO data set given as folder or as file."""
     p = Path(path)
     if p.is_file():
-        for folder in (p.parent / "images", p.parent.parent / "images"):
-            if folder.is_dir() and any(f.suffix.lower() in EXTENSIONS for f in folder.rglob("*")):
-                return p, folder
-        return p, p.parent
+        near = [d / "images" for d in p.parents[:2]]
+        return [p, next((d for d in near if any(f.suffix.lower() in EXTENSIONS for f in d.rglob("*"))), p.parent)]
     files = [*sorted((p / "annotations").glob("*.json")), *sorted(p.glob("*.json"))]
     if not files:
         raise MissingAssetError(f"no annotations under {p}")
-    return files[0], next((p / n for n in ("images", "train", "val", "test") if (p / n).is_dir()), p)
+    return [files[0], next((p / n for n in IMAGE_FOLDERS if (p / n).is_dir()), p)]
 
 
 def _images(spark: SparkSession, folder: Path) -> DataFrame:
@@ -136,10 +134,10 @@ def read_coco(spark: SparkSession, annotations_json: str | Path, image_root: str
 
 
 def find_yaml(root: Path) -> Path:
-    for name in ("data.yaml", "data.yml", "dataset.yaml"):
-        if (root / name).is_file():
-            return root / name
-    raise MissingAssetError(f"no data.yaml under {root}")
+    found = [root / n for n in YAML_NAMES if (root / n).is_file()]
+    if not found:
+        raise MissingAssetError(f"no data.yaml under {root}")
+    return found[0]
 
 
 def load_yaml(path: Path) -> dict:
@@ -155,7 +153,7 @@ def load_yaml(path: Path) -> dict:
 
 
 def class_names(spec: dict) -> dict[int, str]:
-    names = spec.get("names", spec.get("nc_names"))
+    names = spec["names"] if "names" in spec else spec.get("nc_names")
     if isinstance(names, dict):
         return {int(k): str(v) for k, v in names.items()}
     if isinstance(names, list):
@@ -170,7 +168,7 @@ def image_folders(root: Path, yaml_path: Path, spec: dict) -> list[Path]:
     """Folders of the splits and the default one, in order, each once."""
     base = (yaml_path.parent / str(spec.get("path") or root)).resolve()
     found = []
-    for value in (spec.get(k) for k in ("train", "val", "test", "images")):
+    for value in map(spec.get, SPLITS):
         if not value or not isinstance(value, str):
             continue
         folder = (base / value).resolve()
@@ -208,7 +206,7 @@ def read_yolo(spark: SparkSession, root: str | Path, contributor: str, data_yaml
     """Assets of a YOLO data set, with `label_sha256`. An image in several split folders counts once, as of the first. One
     line that can't be read makes its whole image unusable; boxes without area are dropped."""
     root = Path(root).resolve()
-    if root.is_file() and root.suffix.lower() in _YAML:
+    if root.suffix.lower() in _YAML and not root.is_dir():
         yaml_path, root = root, root.parent
     else:
         if not root.is_dir():

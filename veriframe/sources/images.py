@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import IMAGE_METADATA
 
-EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".webp", ".tif", ".tiff")
+EXTENSIONS = tuple("." + x for x in "bmp jpeg jpg png tif tiff webp".split())
 _PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 Size = tuple[int, int, int]
 

@@ -10,18 +10,19 @@ from pathlib import Path
 import yaml
 
 from ..functions import ed25519
+from ..functions.canonical import canonical_json
 
 BOOTSTRAP_WORDS = {"bootstrap", "bootstrapped", "scaffold"}
 
 
 def load_profile(path: str) -> dict:
     """The document; ValueError unless it is a mapping."""
-    p = Path(path)
-    text = p.read_text(encoding="utf-8")
-    data = json.loads(text) if p.suffix.lower() == ".json" else yaml.safe_load(text)
-    if not isinstance(data, dict):
-        raise ValueError(f"{path} is no mapping")
-    return data
+    parse = json.load if path.lower().endswith(".json") else yaml.safe_load
+    with open(path, encoding="utf-8") as f:
+        found = parse(f)
+    if isinstance(found, dict):
+        return found
+    raise ValueError(f"{path} is no mapping")
 
 
 def signed_text(profile: dict) -> str:
@@ -29,7 +30,7 @@ def signed_text(profile: dict) -> str:
     bare = copy.deepcopy(profile)
     if isinstance(bare.get("attestation"), dict):
         bare["attestation"].pop("signature", None)
-    return json.dumps(bare, sort_keys=True, separators=(",", ":"), default=str)
+    return canonical_json(bare, default=str)
 
 
 def is_attested(path: str, public_key_path: str | None = None, default_key_path: str | None = None) -> bool:
@@ -42,7 +43,7 @@ def is_attested(path: str, public_key_path: str | None = None, default_key_path:
     claim = claim if isinstance(claim, dict) else {}
     signature, detached = claim.get("signature"), p.with_name(p.name + ".sig")
     if not signature and detached.is_file():
-        signature = detached.read_text(encoding="utf-8").strip()
+        signature = detached.read_text("utf-8").strip()
     named = public_key_path or claim.get("public_key_path") or claim.get("public_key") or default_key_path
     if not signature or not named:
         return False
@@ -62,10 +63,10 @@ def is_bootstrap(path: str) -> bool:
         profile = load_profile(path)
     except (OSError, ValueError, yaml.YAMLError):
         return False
-    if str(profile.get("status") or profile.get("mode") or "").lower() in BOOTSTRAP_WORDS:
-        return True
+    word = next((profile[k] for k in ("status", "mode") if profile.get(k)), "")
+    marks = [profile.get(k) for k in ("bootstrap", "cohorts", "contributor_cohorts")]
     clean = profile.get("clean_set")
-    return any(bool(profile.get(k)) for k in ("bootstrap", "cohorts", "contributor_cohorts")) or isinstance(clean, list) and bool(clean)
+    return str(word).lower() in BOOTSTRAP_WORDS or any(marks) or isinstance(clean, list) and len(clean) > 0
 
 
 def file_digest(path: str) -> str:
