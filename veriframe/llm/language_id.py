@@ -33,8 +33,9 @@ SPACE = 32
 FOLDS = 5
 DOCS_PER_LANG = 1500
 FALSE_REJECT = 0.0005
-#: Never reject below this many standard deviations, however tight the calibration documents are.
-LEAST_LIMIT = 6.0
+#: The limit is so many times the calibrated level, and never below so many standard deviations: texts that mix two
+#: languages or repeat themselves are odd, but no reason to give them up.
+LIMIT_FACTOR, LEAST_LIMIT = 2.0, 10.0
 
 
 @cache
@@ -222,7 +223,7 @@ def calibrate(m: Models, lang: np.ndarray, entropy: np.ndarray, count: np.ndarra
         b = max(float(((square[~long] - a) * n[~long]).mean()) if (~long).any() else 0.0, 0.1)
         m.spread[k] = a, b
         z = (h - mean) / np.sqrt(a + b / n)
-        m.limit[k] = max(LEAST_LIMIT, 1.25 * float(np.quantile(z, 1 - false_reject)))
+        m.limit[k] = max(LEAST_LIMIT, LIMIT_FACTOR * float(np.quantile(z, 1 - false_reject)))
 
 
 def fit(
