@@ -2,7 +2,12 @@
 
 Language ID drops what it rejects, line dedup cuts repeated lines (and drops texts of which nothing is left), SimHash keeps
 one document of each group, decontamination drops documents with passages of the benchmark, and what stays is encoded.
-All stages but the last return the columns of documents; rows without a doc_id go through as rows of their own.
+All stages but the last return the columns of documents.
+
+Rows without a doc_id go through as rows of their own. Texts that are null, empty or without a letter are rejected by the
+first stage; lang teaches where it isn't null, and where it always is, only texts without a letter go. Rows that repeat
+doc_id and text share the decisions of line dedup, and one of them stays after SimHash. An empty table gives an empty
+result, an empty benchmark drops nothing, columns beyond those of documents are carried along.
 """
 
 from __future__ import annotations

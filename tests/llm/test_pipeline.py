@@ -68,3 +68,19 @@ def test_a_query_for_each_operator():
     for n in range(1, 11):
         assert sum(q.startswith(f"op{n}_") for q in queries.QUERIES) == 1
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_shared_folder_is_the_sessions(spark, tmp_path):
+    from veriframe.llm import common
+
+    class Conf:
+        def get(self, key, default=None):
+            return str(tmp_path) if key == "spark.checkpoint.dir" else spark.conf.get(key, default)
+
+    class Session:
+        conf, sparkContext, _jvm, _jsc = Conf(), spark.sparkContext, spark._jvm, spark._jsc
+
+    assert common.shared_dir(Session) == str(tmp_path)
+    (tmp_path / "veriframe" / "x").mkdir(parents=True)
+    common.clear_scratch(Session)
+    assert not (tmp_path / "veriframe").exists() and common.shared_dir(spark) == common.shared_dir(spark)

@@ -44,7 +44,7 @@ def contaminated_by_hand(pairs, items, window=8):
 _COLS = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-@pytest.mark.parametrize("block", [200_000, 7])
+@pytest.mark.parametrize("block", [200_000, 400])
 def test_decontamination_against_brute_force(spark, docs, odd, sf, block):
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     items += [(100, "alpha BETA"), (101, "beta gamma, delta"), (102, ""), (103, None), (None, "alpha"), (104, "xyzzy"), (105, "x x x x x x x x x x"), (105, "gamma"), (9, "gamma")]

@@ -18,18 +18,27 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK_CHARS = 1 << 20
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="veriframe-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = tempfile.mkdtemp(prefix="veriframe-")
+            atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
+        path = _own_dirs[app]
     return path
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables that materialize() has written to the shared folder; no result made before is readable after."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/veriframe")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
