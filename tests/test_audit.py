@@ -7,6 +7,7 @@ from veriframe.functions import ed25519
 from veriframe.functions.canonical import receipt_hash
 from veriframe.operators import attacks, audit, report, spot
 from veriframe.operators.writer import EntryFile, LedgerFile, chain_long, chain_short
+from veriframe.plans.queries import QUERIES
 from veriframe.schemas import GENESIS
 from veriframe.sources.ledger import read_checkpoints, read_entries, read_lines, read_receipts, receipts_of
 
@@ -145,6 +146,12 @@ def test_both_chain_folds_agree(spark):
     assert a == b and a[0][3] == receipt_hash({"n": 1}, GENESIS)
 
 
+def test_native_fold_keeps_every_receipt(spark, tmp_path):
+    spark.range(700).selectExpr("id AS event_id", "IF(id < 500, 1, id % 3 + 2) AS user_id").write.parquet(str(tmp_path / "events.parquet"))
+    a, b = (sorted(map(tuple, QUERIES[q](spark, str(tmp_path)).collect())) for q in ("derived_chain_folded", "derived_chain"))
+    assert a == b and len(a) == 700 and max(r[1] for r in a) == 500
+
+
 def test_spot_checks(ledger):
     receipts, _, _ = ledger
     assert spot.sample_positions(5, 0.4) == [0, 4] and spot.sample_size(5, 0.0) == 1 and spot.sample_size(0) == 0

@@ -60,6 +60,12 @@ def derived_chain_native(spark: SparkSession, d: str) -> DataFrame:
     return writer.chain_short(ledgers.numbered(spark, d).filter("seq <= 50"), chain="user_id").select("user_id", "seq", "prev", "hash")
 
 
+@query(ORACLES["derived_chain"])
+def derived_chain_folded(spark: SparkSession, d: str) -> DataFrame:
+    """The fold inside the JVM, over every receipt of every chain."""
+    return writer.chain_short(ledgers.numbered(spark, d), chain="user_id").select("user_id", "seq", "prev", "hash")
+
+
 @query(ledgers.SQL + "SELECT ledger, checkpoint_id, start_sequence, end_sequence, receipt_count, merkle_root FROM chk")
 def checkpoint_blocks(spark: SparkSession, d: str) -> DataFrame:
     return ledgers.checkpoints(spark, d).drop("pos")
