@@ -306,6 +306,19 @@ def test_collisions_draw_again_and_stay_distinct(spark):
     assert len(set(new)) == len(new) and not set(new) & {m for *_, m in real} and draws
 
 
+def test_full_spaces_grow_until_all_are_distinct(spark):
+    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+    real = [("email", f"{c}@mail.example.com", f"{c}@mail.example.com") for c in [*letters, "_", "-_"]]
+    real += [("phone", f"4930{k:02d}", f"+49 30 {k:02d}") for k in range(100)] + [("surname", f"name{k}", f"name{k}") for k in range(66_000)]
+    draws = {(r["kind"], r["entity"]): r["draw"] for r in pii.assign(spark.createDataFrame(real, "kind string, entity string, mention string"), b"k").collect()}
+    for kind in ("email", "phone", "surname"):
+        own = [(e, m) for k, e, m in real if k == kind]
+        new = [pii._surname(e, b"k", draws.get((kind, e), 0)).casefold() if kind == "surname" else pii.canonical(kind, pii.surrogate(kind, m, b"k", draws.get((kind, e), 0))) for e, m in own]
+        assert len(set(new)) == len(own) and not set(new) & {e for e, _ in own}
+    for kind, m in (("ip", "192.168.0.1"), ("ip", "10.0.0.1"), ("ssn", "123-45-6789"), ("card", "4111111111111111")):
+        assert len({pii.surrogate(kind, m, b"k", d) for d in range(40)}) == 40 and len(pii.surrogate(kind, m, b"k", 40)) > len(m)
+
+
 @pytest.mark.parametrize("limit", [50_000, 0])
 def test_replacement_over_documents(docs, odd, empty, limit):
     both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(

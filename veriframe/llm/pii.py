@@ -7,8 +7,9 @@ code, a card its Luhn validity, an address its class, a local part its letters'
 title, its script and its number of words; a surname maps alone, so 'Mrs Ada Byron' and 'Mrs Byron' stay one person.
 
 Distinctness: the distinct entities of the corpus are given their surrogates, and where two share one, or one is itself an
-entity of the corpus, all but the first in order draw again, until none does. Those that drew again are exceptions; they
-are broadcast up to EXCEPTIONS rows and joined by document beyond that.
+entity of the corpus, all but the first in order draw again, until none does. The space grows with the draw, by syllables,
+letters or digits, so this ends for any number of entities; only what draws again often loses the length or class of its
+form. Those that drew again are exceptions; they are broadcast up to EXCEPTIONS rows and joined by document beyond that.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from .common import has_columns, materialize
 
 KINDS = ("email", "phone", "ssn", "card", "ip", "name")
 EXCEPTIONS = 50_000
-MAX_DRAWS = 50
+#: Names and local parts grow by one step every GROW draws, numbers and addresses, whose form tells more, every GROW_FORM.
+GROW, GROW_FORM = 2, 8
 _EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]*\w@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 _NUMBER = re.compile(
     r"(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}(?!\w)|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?!\w)|(?<![\w.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-]))"
@@ -145,7 +147,7 @@ def _shape(old: str, s: Stream) -> str:
 def _surname(old: str, key: bytes, draw: int) -> str:
     s, kind = Stream(key, "surname", old.casefold(), draw), script(old)
     syllables = _SYLLABLES[kind]
-    return "".join(syllables[s.below(len(syllables))] for _ in range(3)).capitalize() + _ENDING[kind]
+    return "".join(syllables[s.below(len(syllables))] for _ in range(3 + draw // GROW)).capitalize() + _ENDING[kind]
 
 
 def _cased(new: str, old: str) -> str:
@@ -161,14 +163,19 @@ def surrogate(kind: str, mention: str, key: bytes, draw: int = 0) -> str:
         local, _, domain = mention.rpartition("@")
         host, _, tld = domain.rpartition(".")
         base = _shape(local.casefold(), s)
+        longer = _shape("a0" * (draw // GROW), s)
         place = _shape(host.casefold(), Stream(key, "domain", host.casefold(), 0))
-        return f"{''.join(b.upper() if a.isupper() else b for a, b in zip(local, base)) if len(base) == len(local) else base}@{place}.{tld}"
+        return f"{''.join(b.upper() if a.isupper() else b for a, b in zip(local, base)) if len(base) == len(local) else base}{longer}@{place}.{tld}"
     if kind == "ip":
         a = [int(x) for x in mention.split(".")]
         head = 1 if a[0] in (10, 127) else 2 if a[:2] == [192, 168] else 0
         new = a[:head] + [1 + s.below(254) if k == 3 else s.below(256) for k in range(head, 4)]
         if not head:
             new[0] = [x for x in range(11, 224) if x not in (127, 172, 192)][s.below(210)]
+        if draw >= GROW_FORM and head == 2:  # another private network, then reserved addresses, then more parts than an address has
+            new = [10, *(s.below(256) for _ in range(3))]
+        if draw >= 2 * GROW_FORM:
+            new = [240 + s.below(15), *(s.below(256) for _ in range(1 + draw // GROW_FORM))]
         return ".".join(map(str, new))
     if kind == "name":
         words = re.split(r"([  -])", mention)
@@ -185,15 +192,16 @@ def surrogate(kind: str, mention: str, key: bytes, draw: int = 0) -> str:
     keep = 0
     if kind == "phone" and mention.startswith("+"):
         keep = len(re.match(r"\+([0-9]{1,3}?)(?![0-9])|\+([0-9])", mention)[0]) - 1
+    longer = "0" * (draw // GROW_FORM)
     if kind == "card":
-        new = _digits(entity[:-1], s)
+        new = _digits(entity[:-1] + longer, s)
         valid = _luhn(entity) == 0
         check = (10 - _luhn(new + "0")) % 10
         new += str(check if valid else (check + 1 + s.below(9)) % 10)
     else:
-        new = _digits(entity, s, keep)
+        new = _digits(entity + longer, s, keep)
     fill = iter(new)
-    return "".join(next(fill) if "0" <= c <= "9" else c for c in mention)
+    return "".join(next(fill) if "0" <= c <= "9" else c for c in mention) + "".join(fill)
 
 
 def _entity(kind: str, mention: str) -> tuple[str, str]:
@@ -238,11 +246,11 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, entity, draw) of entities (kind, entity, mention) whose first surrogate collided, with the draw that doesn't.
 
     A collision is a surrogate that another entity of the kind has or is. The entity that comes first of those that share
-    one keeps it. Raises RuntimeError after MAX_DRAWS rounds.
+    one keeps it. Rounds go on until there is none.
     """
     shape = "kind string, entity string, mention string, draw int, surrogate string"
     drawn = materialize(entities.withColumn("draw", F.lit(0)).mapInArrow(_draw(key), shape), "surrogates")
-    for _ in range(MAX_DRAWS):
+    while True:
         first = drawn.groupBy("kind", "surrogate").agg(F.min("entity").alias("first"), F.count(F.lit(1)).alias("n"))
         real = drawn.select("kind", F.col("entity").alias("surrogate")).withColumn("real", F.lit(True))
         checked = drawn.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
@@ -252,7 +260,6 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
             return drawn.filter("draw > 0").select("kind", "entity", "draw")
         again = marked.filter("bad").select("kind", "entity", "mention", (F.col("draw") + 1).alias("draw")).mapInArrow(_draw(key), shape)
         drawn = materialize(marked.filter("not bad").drop("bad").unionByName(again), "surrogates")
-    raise RuntimeError(f"surrogates still collide after {MAX_DRAWS} draws")
 
 
 def _replacer(key: bytes, draws: Callable[[], dict] | None):
