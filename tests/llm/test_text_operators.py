@@ -344,6 +344,22 @@ def test_replacement_over_documents(docs, odd, empty, limit):
     assert pii.pseudonymise(empty, b"k").isEmpty()
 
 
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_persons_of_one_surname_stay_apart_and_whole(spark, limit):
+    given = ["A" + x + y for x in "bcdfghklmn" for y in "aeiou"]
+    texts = [f"Mr {g} Smith and Mrs {g} Byron." for g in given] + [f"Dr {g} Byron, Dr {g} Smith." for g in given] + ["Mr Smith, Mr ABA SMITH", "Mr Sam Doe, Mrs Sam Doe, Dr Sam Doe"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(df, b"k", exceptions_limit=limit).collect()}
+    n = len(given)
+    men, women = zip(*(re.fullmatch(r"Mr (\w+ \w+) and Mrs (\w+ \w+)\.", got[k]).groups() for k in range(n)))
+    assert len(set(men)) == len(set(women)) == n and len({x.split()[1] for x in men}) == 1
+    assert [got[n + k] for k in range(n)] == [f"Dr {w}, Dr {m}." for m, w in zip(men, women)]
+    first = men[given.index("Aba")]
+    assert got[2 * n] == f"Mr {first.split()[1]}, Mr {first.upper()}"
+    m, f, d = re.fullmatch(r"Mr (\w+ \w+), Mrs (\w+ \w+), Dr (\w+ \w+)", got[2 * n + 1]).groups()
+    assert m != f and d in (m, f)
+
+
 # URL filters
 
 

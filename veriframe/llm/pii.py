@@ -5,9 +5,12 @@ receive replacements derived from a secret key and the entity alone, so a mentio
 without any state: coreference across the corpus. A mention's form is kept: a number keeps its length, signs and country
 code, a card its Luhn validity, an address its class, a local part its letters' script and case, a name the gender of its
 title, its script and its number of words; a surname maps alone, so 'Mrs Ada Byron' and 'Mrs Byron' stay one person.
+Given names and surname make a person, whose gender is that of the titles it has anywhere in the corpus: 'Dr Ada Byron' is
+the same person, unless the corpus has both genders or none for the name, where the key decides.
 
 Distinctness: the distinct entities of the corpus are given their surrogates, and where two share one, or one is itself an
-entity of the corpus, all but the first in order draw again, until none does. The space grows with the draw, by syllables,
+entity of the corpus, all but the first in order draw again, until none does. Surnames are told apart first, and given
+names within a surname by draws of their own. The space grows with the draw, by syllables,
 letters or digits, so this ends for any number of entities; only what draws again often loses the length or class of its
 form. Those that drew again are exceptions; they are broadcast up to EXCEPTIONS rows and joined by document beyond that.
 """
@@ -150,12 +153,32 @@ def _surname(old: str, key: bytes, draw: int) -> str:
     return "".join(syllables[s.below(len(syllables))] for _ in range(3 + draw // GROW)).capitalize() + _ENDING[kind]
 
 
+def _split(name: str) -> list[str]:
+    return re.split(r"[ \xa0-]", name)
+
+
+def _person(name: str) -> str:
+    """Given names and surname without case, whatever stands between them."""
+    return " ".join(_split(name)).casefold()
+
+
+def _guess(person: str, key: bytes) -> str:
+    """The gender of a person of whom no title tells it."""
+    return "fm"[Stream(key, "gender", person.split(" ")[0], 0).below(2)]
+
+
+def _given(old: str, gender: str, key: bytes, draw: int) -> str:
+    s, kind = Stream(key, "first", old.casefold(), draw), script(old)
+    pool, syllables = _FIRST[kind, gender], _SYLLABLES[kind]
+    return pool[s.below(len(pool))] + "".join(syllables[s.below(len(syllables))] for _ in range(draw // GROW))
+
+
 def _cased(new: str, old: str) -> str:
     return new.upper() if old.isupper() and len(old) > 1 else new
 
 
-def surrogate(kind: str, mention: str, key: bytes, draw: int = 0) -> str:
-    """The replacement of a mention, in its form."""
+def surrogate(kind: str, mention: str, key: bytes, draw: int = 0, given: int = 0) -> str:
+    """The replacement of a mention, in its form; `given` is the draw of a person's given names."""
     kind, _, gender = kind.partition(":")
     entity = canonical(kind, mention)
     s = Stream(key, kind, entity, draw)
@@ -186,8 +209,7 @@ def surrogate(kind: str, mention: str, key: bytes, draw: int = 0) -> str:
             elif k == n - 1:
                 kept.append(_cased(_surname(w, key, draw), w))
             else:
-                pool = _FIRST[script(w), gender or "fm"[Stream(key, "gender", w.casefold(), 0).below(2)]]
-                kept.append(_cased(pool[Stream(key, "first" + gender, w.casefold(), draw).below(len(pool))], w))
+                kept.append(_cased(_given(w, gender or _guess(_person(mention), key), key, given), w))
         return "".join(kept)
     keep = 0
     if kind == "phone" and mention.startswith("+"):
@@ -204,17 +226,40 @@ def surrogate(kind: str, mention: str, key: bytes, draw: int = 0) -> str:
     return "".join(next(fill) if "0" <= c <= "9" else c for c in mention) + "".join(fill)
 
 
-def _entity(kind: str, mention: str) -> tuple[str, str]:
-    """The unit whose surrogate must be distinct: of names the surname, for each person's full name is told by it."""
-    if kind.startswith("name"):
-        return "surname", re.split(r"[  -]", mention)[-1].casefold()
-    return kind, canonical(kind, mention)
+def _parts(kind: str, mention: str) -> list[tuple[str, str]]:
+    """The units whose surrogates must be distinct: of names the surname, and the person if there is a given name, as gender
+    of the title ("-" without), colon, person."""
+    if not kind.startswith("name"):
+        return [(kind, canonical(kind, mention))]
+    words = _split(mention)
+    surname = [("surname", words[-1].casefold())]
+    return surname if len(words) == 1 else [*surname, ("given", f"{kind.partition(':')[2] or '-'}:{_person(mention)}")]
+
+
+def _keys(kind: str, mention: str) -> list[tuple[str, str]]:
+    """The exceptions that a mention's surrogate may depend on."""
+    parts = _parts(kind, mention)
+    if parts[-1][1].startswith("-:") and parts[-1][0] == "given":
+        person = parts.pop()[1][2:]
+        parts += [("gender", person), ("given", f"f:{person}"), ("given", f"m:{person}")]
+    return parts
+
+
+def _replaced(kind: str, mention: str, key: bytes, draws: dict[tuple[str, str], int]) -> str:
+    part, *rest = _parts(kind, mention)
+    if not rest:
+        return surrogate(kind, mention, key, draws.get(part, 0))
+    gender, person = rest[0][1][0], rest[0][1][2:]
+    if gender == "-":
+        known = draws.get(("gender", person))
+        gender = _guess(person, key) if known is None else "fm"[known]
+    return surrogate(f"name:{gender}", mention, key, draws.get(part, 0), draws.get(("given", f"{gender}:{person}"), 0))
 
 
 def replace(text: str, key: bytes, draws: dict[tuple[str, str], int]) -> tuple[str, list[Mention]]:
     out, at, found = [], 0, mentions(text)
     for a, b, kind, mention in found:
-        out += [text[at:a], surrogate(kind, mention, key, draws.get(_entity(kind, mention), 0) if draws else 0)]
+        out += [text[at:a], _replaced(kind, mention, key, draws)]
         at = b
     return "".join([*out, text[at:]]) if found else text, found
 
@@ -225,18 +270,28 @@ def _entities(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {}
         for text in batch.column(0):
             for _, _, kind, mention in mentions(text.as_py() or ""):
-                e = _entity(kind, mention)
-                if e not in seen or mention < seen[e]:
-                    seen[e] = mention if e[0] != "surname" else re.split(r"[  -]", mention)[-1]
+                for e in _parts(kind, mention):
+                    if e[0] in ("surname", "given"):
+                        seen[e] = e[1]
+                    elif e not in seen or mention < seen[e]:
+                        seen[e] = mention
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.string()) for rows in [[(*e, m) for e, m in seen.items()]] for k in range(3)], names=["kind", "entity", "mention"])
 
 
+def _new(kind: str, entity: str, mention: str, key: bytes, draw: int) -> str:
+    """What the surrogate of an entity is compared by: of a person the new given names beside the old surname."""
+    if kind == "surname":
+        return _surname(entity, key, draw).casefold()
+    if kind == "given":
+        *given, surname = entity[2:].split(" ")
+        return " ".join([*(_given(w, entity[0], key, draw).casefold() for w in given), surname])
+    return canonical(kind, surrogate(kind, mention, key, draw))
+
+
 def _draw(key: bytes):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = []
-            for kind, entity, mention, draw in zip(*(c.to_pylist() for c in batch.columns)):
-                new.append(_surname(entity, key, draw).casefold() if kind == "surname" else canonical(kind, surrogate(kind, mention, key, draw)))
+            new = [_new(kind, entity, mention, key, draw) for kind, entity, mention, draw in zip(*(c.to_pylist() for c in batch.columns))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=[*batch.schema.names, "surrogate"])
 
     return run
@@ -262,6 +317,23 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
         drawn = materialize(marked.filter("not bad").drop("bad").unionByName(again), "surrogates")
 
 
+def _persons(key: bytes):
+    """Of persons and the genders of their titles: the entities `given`, and as `gender` what differs from the key's guess."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for person, genders in zip(*(c.to_pylist() for c in batch.columns)):
+                known, guess = [g for g in "fm" if g in genders], _guess(person, key)
+                untold = known[0] if len(known) == 1 else guess
+                if "-" in genders and untold != guess:
+                    rows.append(("gender", person, person, "fm".index(untold)))
+                rows += [("given", f"{g}:{person}", f"{g}:{person}", 0) for g in sorted({*known, *([untold] if "-" in genders else [])})]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32()))], names=["kind", "entity", "mention", "draw"])
+
+    return run
+
+
 def _replacer(key: bytes, draws: Callable[[], dict] | None):
     spans_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -294,7 +366,12 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     has_columns(docs, (id_col, text_col))
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     entities = src.select("text").mapInArrow(_entities, "kind string, entity string, mention string").groupBy("kind", "entity").agg(F.min("mention").alias("mention"))
-    exceptions = materialize(assign(entities, key), "exceptions")
+    entities = materialize(entities, "entities")
+    named = entities.filter("kind = 'given'").select(F.expr("substring(entity, 3)").alias("person"), F.expr("substring(entity, 1, 1)").alias("gender"))
+    persons = named.groupBy("person").agg(F.collect_set("gender").alias("genders")).mapInArrow(_persons(key), "kind string, entity string, mention string, draw int")
+    given = persons.filter("kind = 'given'").select("kind", "entity", "mention")
+    drawn = assign(entities.filter("kind <> 'given'").unionByName(given), key)
+    exceptions = materialize(drawn.unionByName(persons.filter("kind = 'gender'").select("kind", "entity", "draw")), "exceptions")
     schema = f"id {src.schema['id'].dataType.simpleString()}, text string, spans array<struct<kind:string,start:int,end:int>>"
     few = exceptions.limit(exceptions_limit + 1).collect()
     if len(few) <= exceptions_limit:
@@ -305,7 +382,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
 
         def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                pairs = {(r, *_entity(m[2], m[3])) for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in mentions(t or "")}
+                pairs = {(r, *e) for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in mentions(t or "") for e in _keys(m[2], m[3])}
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["row", "kind", "entity"])
 
         of_row = src.select(row.alias("row"), "text").mapInArrow(held, "row long, kind string, entity string").distinct()
