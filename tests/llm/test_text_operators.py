@@ -97,6 +97,21 @@ def test_language_of_odd_texts(odd, empty, docs):
     assert language_id.keep_identified(odd, None).filter("doc_id in (2, 3, 7, 9)").isEmpty()
 
 
+@pytest.mark.parametrize("keep", [60, 3])
+def test_a_rare_language_rejects_foreign_text(spark, sf, keep):
+    docs = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    rare = docs.filter("lang = 'es'").orderBy("doc_id")
+    m = language_id.fit(docs.filter("lang <> 'es'").unionByName(rare.limit(keep)), F.lit(True))
+    assert np.isfinite(m.limit).all()
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. "
+    italian = "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza. "
+    df = spark.createDataFrame([(0, polish * 4), (1, italian * 4)], "doc_id long, text string")
+    if keep == 60:
+        assert language_id.predict(df, m).filter("rejected").count() == 2
+        own = language_id.predict(rare, m)
+        assert own.filter("rejected").count() <= 0.02 * rare.count()
+
+
 def test_models_are_distributions_and_match_plain_kneser_ney():
     texts = {"a": ["abra cadabra abba", "bad cab"], "b": ["xyz zyx", "yyy xzx"]}
     m = language_id.build({k: (c, n.astype(float)) for k, t in texts.items() for c, n in [language_id.count_grams(t)]})

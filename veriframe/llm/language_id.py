@@ -7,7 +7,8 @@ text costs one binary search for all languages; only grams that no language has
 
 A text gets the language of the lowest cross-entropy per character. Rejection is calibrated on documents that were not
 counted: the winner's cross-entropy, standardised by a mean and by a variance that shrinks with length, must not exceed
-the level that all but `false_reject` of those documents stay under.
+the level that all but `false_reject` of those documents stay under. A language with fewer than LEAST_CHECKS of them is
+cross-validated on all its documents, in pieces if there are few.
 
 The models are fitted on a bounded sample: of each language about `docs_per_lang` documents, chosen by a hash of the id.
 """
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,7 @@ FALSE_REJECT = 0.0005
 #: The limit is so many times the calibrated level, and never below so many standard deviations: texts that mix two
 #: languages or repeat themselves are odd, but no reason to give them up.
 LIMIT_FACTOR, LEAST_LIMIT = 2.0, 10.0
+LEAST_CHECKS = 20
 
 
 @cache
@@ -163,12 +166,13 @@ def _kneser_ney(codes: np.ndarray, counts: np.ndarray) -> list[dict]:
     return out[::-1]
 
 
-def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
-    """Models of {language: (distinct codes of ORDER symbols, their counts)}; calibration is left open."""
+def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], unseen: float | None = None) -> Models:
+    """Models of {language: (distinct codes of ORDER symbols, their counts)}; calibration is left open. `unseen` is the
+    log-probability below all orders, by default that of the alphabet of these languages."""
     langs = sorted(counts)
     parts = {x: _kneser_ney(*counts[x]) for x in langs}
     alphabet = {int(c) for x in langs for c in parts[x][0]["codes"]}
-    unseen = float(-np.log(len(alphabet) + 1))
+    unseen = float(-np.log(len(alphabet) + 1)) if unseen is None else unseen
     m = Models(langs, [], [], [], [], unseen, np.zeros(len(langs)), np.ones((len(langs), 2)), np.full(len(langs), np.inf))
     for order in range(1, ORDER + 1):
         union = np.unique(np.concatenate([parts[x][order - 1]["codes"] for x in langs]))
@@ -209,21 +213,44 @@ def count_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return codes, counts
 
 
-def calibrate(m: Models, lang: np.ndarray, entropy: np.ndarray, count: np.ndarray, false_reject: float = FALSE_REJECT) -> None:
-    """Mean, variance a + b / symbols and limit of each language from texts that were not counted."""
+def cross_validate(texts: list[str], unseen: float) -> tuple[np.ndarray, np.ndarray]:
+    """Cross-entropies and numbers of symbols of one language's texts, each by a model of the other folds."""
+    texts = sorted(t for t in texts if t)
+    parts = -(-LEAST_CHECKS // max(len(texts), 1))
+    pieces = [t[len(t) * k // parts : len(t) * (k + 1) // parts] for t in texts for k in range(parts)]
+    h, n = [np.zeros(0)], [np.zeros(0, np.int64)]
+    for f in range(FOLDS):
+        codes, counts = count_grams([t for i, t in enumerate(pieces) if i % FOLDS != f])
+        if len(codes) and pieces[f::FOLDS]:
+            entropy, count = build({"": (codes, counts.astype(np.float64))}, unseen).entropies(pieces[f::FOLDS])
+            h.append(entropy[:, 0])
+            n.append(count)
+    h, n = np.concatenate(h), np.concatenate(n)
+    return h[n > 0], n[n > 0]
+
+
+def _set_limit(m: Models, k: int, h: np.ndarray, n: np.ndarray, false_reject: float) -> None:
+    m.mean[k] = mean = float(np.median(h))
+    square = (h - mean) ** 2
+    long = n >= np.median(n)
+    a = max(float(square[long].mean()), 1e-4)
+    b = max(float(((square[~long] - a) * n[~long]).mean()) if (~long).any() else 0.0, 0.1)
+    m.spread[k] = a, b
+    z = (h - mean) / np.sqrt(a + b / n)
+    m.limit[k] = max(LEAST_LIMIT, LIMIT_FACTOR * float(np.quantile(z, 1 - false_reject)))
+
+
+def calibrate(m: Models, lang: np.ndarray, entropy: np.ndarray, count: np.ndarray, false_reject: float = FALSE_REJECT) -> list[str]:
+    """Mean, variance a + b / symbols and limit of each language from texts that were not counted; returns the languages
+    with too few of them, whose limits are left open."""
+    few = []
     for k, x in enumerate(m.langs):
         own = (lang == x) & (count > 0)
-        h, n = entropy[own, k], count[own]
-        if len(h) < 20:
-            continue
-        m.mean[k] = mean = float(np.median(h))
-        square = (h - mean) ** 2
-        long = n >= np.median(n)
-        a = max(float(square[long].mean()), 1e-4)
-        b = max(float(((square[~long] - a) * n[~long]).mean()) if (~long).any() else 0.0, 0.1)
-        m.spread[k] = a, b
-        z = (h - mean) / np.sqrt(a + b / n)
-        m.limit[k] = max(LEAST_LIMIT, LIMIT_FACTOR * float(np.quantile(z, 1 - false_reject)))
+        if own.sum() < LEAST_CHECKS:
+            few.append(x)
+        else:
+            _set_limit(m, k, entropy[own, k], count[own], false_reject)
+    return few
 
 
 def fit(
@@ -238,7 +265,7 @@ def fit(
     """Fit on rows where `learn` holds and lang is not null, about docs_per_lang a language.
 
     Counting is distributed; what reaches the driver is distinct grams with counts of that bounded sample, and three
-    numbers for each of its calibration documents (every fifth by hash). Raises ValueError without any such row.
+    numbers for each of its calibration documents (every fifth by hash), or of the pieces of a rare language. Raises ValueError without any such row.
     """
     has_columns(docs, (id_col, text_col, lang_col))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), learn.alias("learn"))
@@ -272,8 +299,23 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(h), pa.list_(pa.float64())), pa.array(n)], names=["lang", "h", "n"])
 
     checks = picked.filter("check").select("text", "lang").mapInArrow(measure, "lang string, h array<double>, n long").toPandas()
-    if len(checks):
-        calibrate(m, checks["lang"].to_numpy(object), np.stack(checks["h"].to_list()), checks["n"].to_numpy(np.int64), false_reject)
+    few = calibrate(m, checks["lang"].to_numpy(object), np.stack(checks["h"].to_list()), checks["n"].to_numpy(np.int64), false_reject) if len(checks) else m.langs
+    if few:
+        unseen = m.unseen
+
+        def validate(group: pd.DataFrame) -> pd.DataFrame:
+            h, n = cross_validate(group["text"].to_list(), unseen)
+            return pd.DataFrame({"lang": group["lang"].iloc[:1], "h": [h.tolist()], "n": [n.tolist()]})
+
+        found = picked.filter(F.col("lang").isin(few)).select("text", "lang").groupBy("lang").applyInPandas(validate, "lang string, h array<double>, n array<long>").collect()
+        for r in found:
+            if r["h"]:
+                _set_limit(m, m.langs.index(r["lang"]), np.array(r["h"]), np.array(r["n"]), false_reject)
+    open_ = ~np.isfinite(m.limit)
+    if open_.any():  # a language of a few letters: as far out as the others' texts may be
+        told = ~open_
+        m.mean[open_], m.limit[open_] = (m.mean[told].max(), m.limit[told].max()) if told.any() else (0.0, LEAST_LIMIT)
+        m.spread[open_] = m.spread[told].max(axis=0) if told.any() else 1.0
     return m
 
 
