@@ -20,7 +20,7 @@ def odd(spark):
         (7, "!!! 123 ???", "en", "s"), (8, "alpha beta gamma delta epsilon zeta eta theta iota kappa", "en", "s"), (8, "alpha beta gamma delta epsilon zeta eta theta iota kappa", "en", "s"), (9, "  \n\t ", "fr", "s"), (None, None, None, None),
         (10, "été ça où 日本語 😀 ▁ x", "fr", "s"), (11, "x" * 120_000, "en", "s"),
     ]
-    clash = ["id", "row", "h", "t", "n", "dk", "key", "fp", "text_hash", "keep", "kept", "pos", "line", "token", "w", "p", "start", "score", "spans", "slice", "salt", "pattern"]
+    clash = ["id", "row", "h", "t", "n", "dk", "key", "fp", "text_hash", "keep", "kept", "pos", "line", "token", "w", "p", "start", "score", "spans", "slice", "salt", "pattern", "emptied", "carried", "lines", "n_lines", "_row", "stay"]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
     for c in clash:
         df = df.withColumn(c, F.lit("clash"))

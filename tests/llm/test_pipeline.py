@@ -64,6 +64,16 @@ def test_odd_and_empty_tables_pass_through(spark, sf, odd, empty):
         assert docs.count() <= start.count()
 
 
+def test_stages_carry_columns_of_any_name(spark, sf):
+    names = ["n_lines", "n_near", "n_dropped", "emptied", "carried", "_row", "row", "fp", "text_hash", "_id", "at", "id", "lines"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    docs = docs.select("*", *(F.lit(n).alias(n) for n in names))
+    for name, fn in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(fn(spark, docs, sf), f"names-{name}")
+        assert docs.columns[-len(names) :] == names and docs.filter(" or ".join(f"`{n}` <> '{n}'" for n in names)).isEmpty()
+    assert docs.count() > 0
+
+
 def test_a_query_for_each_operator():
     for n in range(1, 11):
         assert sum(q.startswith(f"op{n}_") for q in queries.QUERIES) == 1

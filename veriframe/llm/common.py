@@ -101,3 +101,11 @@ def has_columns(df: DataFrame, names: Iterable[str]) -> None:
     missing = [x for x in names if x not in df.columns]
     if missing:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it as long as a column of df has it, whatever the case."""
+    taken = {c.casefold() for c in df.columns}
+    while name.casefold() in taken:
+        name = f"_{name}"
+    return name

@@ -123,8 +123,8 @@ firsts AS (
   SELECT line, min((doc_id, no)) AS pos, any_value(length(line)) AS n FROM lines WHERE trim(line, ' ') <> '' GROUP BY line),
 dels AS (
   SELECT DISTINCT line, pos, substr(line, 1, CAST(p AS INTEGER) - 1) || substr(line, CAST(p AS INTEGER) + 1) AS v
-  FROM firsts, unnest(range(1, n + 1)) AS u(p) WHERE n >= 16),
-vars AS (SELECT line, pos, hash(v) AS k FROM dels UNION ALL SELECT line, pos, hash(line) FROM firsts WHERE n >= 16),
+  FROM firsts, unnest(range(1, n + 1)) AS u(p) WHERE n >= 5),
+vars AS (SELECT line, pos, hash(v) AS k FROM dels UNION ALL SELECT line, pos, hash(line) FROM firsts WHERE n >= 5),
 near AS (
   SELECT DISTINCT a.line FROM vars a JOIN vars b USING (k)
   WHERE b.pos < a.pos AND levenshtein(a.line, b.line) <= 1),

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import has_columns, materialize
+from .common import has_columns, materialize, unused
 from .components import components
 
 BITS = 64
@@ -28,6 +28,7 @@ SHINGLE = 3
 #: From this many distinct fingerprints on, anchors come from two groups of 23 bits (16.8 million anchors) instead of one.
 TWO_GROUPS_FROM = 500_000
 SEED = 42
+_ROW_TYPE = "struct<a:bigint,b:bigint>"
 
 
 def shingle_hashes(text: str, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -113,16 +114,17 @@ def near_links(fps: DataFrame, threshold: int = 2, groups: int | None = None) ->
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, groups: int | None = None) -> DataFrame:
     """One row per row of docs: <id_col>, fingerprint (16 hex digits), component_id (smallest id reachable over links), row,
-    kept.
+    kept. Ids are of any type that has an order.
 
     Null, empty and wordless texts have fingerprint zero and link like any other. Null ids take part, but a component's
     id is the smallest that isn't null (null if it has no other). kept marks the row of that id; of rows without any id,
-    or of one id, that with the smallest `row`, a hash of id and text. Rows that repeat both are returned as often, with
+    or of one id, that with the smallest `row`, 128 bits of hashes of id and text. Rows that repeat both are returned as often, with
     one decision. Other columns are not read. An empty table gives an empty result.
     """
     has_columns(docs, (id_col, text_col))
-    src = docs.select(F.col(id_col).cast("long").alias("id"), row_hash(docs, id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    marked = materialize(src.mapInArrow(_fingerprints, "id long, row long, fp long"), "simhash")
+    src = docs.select(F.col(id_col).alias("id"), row_hash(docs, id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    id_type = src.schema["id"].dataType.simpleString()
+    marked = materialize(src.mapInArrow(_fingerprints, f"id {id_type}, row {_ROW_TYPE}, fp long"), "simhash")
     first = F.struct(F.isnull("id").alias("none"), "id", "row")
     distinct = materialize(marked.groupBy("fp").agg(F.min(first).alias("least")), "fingerprints")
     nodes = components(near_links(distinct, threshold, groups))
@@ -141,15 +143,16 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def row_hash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
-    return F.xxhash64(F.lit("row"), docs[id_col], docs[text_col])
+    return F.struct(*(F.xxhash64(F.lit(f"row {k}"), docs[id_col], docs[text_col]).alias(k) for k in "ab"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2) -> DataFrame:
     """The rows of docs, all columns, that are kept: one of each component."""
     kept = simhash_dedup(docs, id_col, text_col, threshold).filter("kept").groupBy("row").count()
     kept = materialize(kept, "kept")
-    marked = docs.withColumn("_row", row_hash(docs, id_col, text_col))
-    left = marked.join(kept.select(F.col("row").alias("_row")).hint("shuffle_hash"), "_row", "left_semi")
+    name = unused(docs, "row")
+    marked = docs.withColumn(name, row_hash(docs, id_col, text_col))
+    left = marked.join(kept.select(F.col("row").alias(name)), name, "left_semi")
     if not kept.filter("count > 1").isEmpty():
-        left = left.dropDuplicates(["_row"])
-    return left.drop("_row").select(*docs.columns)
+        left = left.dropDuplicates([name])
+    return left.select(*docs.columns)
