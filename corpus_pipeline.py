@@ -34,9 +34,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated lines, n_chars counted anew; texts that consisted of repeated lines go."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = line_dedup(docs, carry=tuple(others)).filter(~F.coalesce("emptied", F.lit(False)))
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    others = tuple(c for c in docs.columns if c not in own)
+    cut = line_dedup(docs, carry=others).filter(~F.coalesce("emptied", F.lit(False)))
+    return cut.select(*((own[c] if c in own else F.col("carried").getField(c)).alias(c) for c in docs.columns))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
