@@ -19,15 +19,18 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, has_columns, materialize
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words; it is the same to cut there as to look for words, but three times as fast.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 8
+#: Up to so many different words of the benchmark are sent to the executors, so that no others are counted.
+BROADCAST_WORDS = 500_000
 #: A word no text has: it stands for the document itself, so one pass gives matches and a row for every document.
 _END = "\x00"
 
 
 def words(text: Column) -> Column:
     """Array of words; empty for null."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(ascii_lower(text), BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
@@ -41,7 +44,11 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
 def rarest_words(docs: DataFrame, wins: DataFrame) -> DataFrame:
     """(win_key, win, token, at): every distinct window with the word of it that fewest documents hold, ties by position."""
     placed = wins.select("win_key", "win").distinct().select("win_key", "win", F.posexplode("win").alias("at", "token"))
-    counts = docs.select(F.explode(F.array_distinct("w")).alias("token")).groupBy("token").count()  # combined map side, so common words don't move
+    held = docs.select(F.explode(F.array_distinct("w")).alias("token"))
+    wanted = placed.select("token").distinct()
+    if wanted.count() <= BROADCAST_WORDS:  # else all words are counted; the result is the same
+        held = held.join(F.broadcast(wanted), "token", "left_semi")
+    counts = held.groupBy("token").count()  # combined map side, so common words don't move
     ranked = placed.join(counts, "token", "left").groupBy("win_key").agg(
         F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "at", "token")).alias("rare"), F.first("win").alias("win")
     )
@@ -93,7 +100,10 @@ def decontaminate(
         _occurrences(source, table.filter(F.pmod(F.xxhash64("win_key"), F.lit(n_blocks)) == b) if n_blocks > 1 else table, b == 0)
         for b in range(n_blocks)
     ]
-    found = reduce(DataFrame.unionByName, parts).join(wins.select("win_key", "item"), "win_key", "left")
+    all_ = reduce(DataFrame.unionByName, parts)
+    # rows that only stand for documents have a key each, so that they are spread however the join is done
+    keyed = all_.withColumn("win_key", F.coalesce("win_key", F.concat(F.lit(_END), F.col("h").cast("string"))))
+    found = keyed.join(wins.select("win_key", "item"), "win_key", "left")
     ended = F.col("m") == 0
     per_doc = found.groupBy("id", "h").agg(
         F.max("n").alias("n_words"),
@@ -120,6 +130,6 @@ def decontaminate(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, all columns, that aren't contaminated."""
     found = decontaminate(docs, benchmark, id_col, text_col, **options).filter("contaminated")
-    gone = materialize(found.select(F.col(id_col).alias("_id"), "text_hash").distinct(), "contaminated").hint("shuffle_hash")
+    gone = materialize(found.select(F.col(id_col).alias("_id"), "text_hash").distinct(), "contaminated")
     same = docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["text_hash"])
     return docs.join(gone, same, "left_anti")
