@@ -1,12 +1,14 @@
 """Personal data: detection and surrogates.
 
-Entities (e-mail addresses, phone and card numbers, social-security numbers, IPv4 addresses, and names after a title)
-receive replacements derived from a secret key and the entity alone, so a mention gets the same one in every document
+Entities (e-mail addresses, phone and card numbers, social-security numbers, IPv4 addresses, and names) receive replacements derived from a secret key and the entity alone, so a mention gets the same one in every document
 without any state: coreference across the corpus. A mention's form is kept: a number keeps its length, signs and country
 code, a card its Luhn validity, an address its class, a local part its letters' script and case, a name the gender of its
 title, its script and its number of words; a surname maps alone, so 'Mrs Ada Byron' and 'Mrs Byron' stay one person.
 Given names and surname make a person, whose gender is that of the titles it has anywhere in the corpus: 'Dr Ada Byron' is
 the same person, unless the corpus has both genders or none for the name, where the key decides.
+A name is told by a title before it. Once one is told, the same text's other mentions of that full name, or of the surname
+alone, are replaced too: 'Ada Byron' and 'Byron' after 'Mrs Ada Byron'. Particles ('von', 'de la') and the O' of O'Brien
+stay as they are.
 
 Distinctness: the distinct entities of the corpus are given their surrogates, and where two share one, or one is itself an
 entity of the corpus, all but the first in order draw again, until none does. Surnames are told apart first, and given
@@ -21,13 +23,16 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import has_columns, materialize
+from .common import has_columns, materialize, release
 
 KINDS = ("email", "phone", "ssn", "card", "ip", "name")
 EXCEPTIONS = 50_000
@@ -35,19 +40,28 @@ EXCEPTIONS = 50_000
 GROW, GROW_FORM = 2, 8
 _EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]*\w@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 _NUMBER = re.compile(
-    r"(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}(?!\w)|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?!\w)|(?<![\w.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-]))"
+    r"(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}(?!\w)|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?!\w)|(?<![\w.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-])"
+    r"|(?<![\w./-])0[1-9][0-9]{0,3}[ /-][0-9]{3,4}[ -]?[0-9]{3,4}(?![\w-])|(?<![\w./-])0[1-9](?: [0-9]{2}){4}(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?!\w))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\w|\.[0-9]))"
 )
 _DIGIT = re.compile("[0-9]")
 _TITLES = {
-    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "г-жа", "Г-жа", "κυρία", "Κυρία"),
-    "m": ("Mr", "Herr", "Monsieur", "Señor", "Signor", "г-н", "Г-н", "κύριος", "Κύριος"),
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "г-жа", "Г-жа", "κυρία", "Κυρία", "السيدة"),
+    "m": ("Mr", "Herr", "Monsieur", "Señor", "Signor", "г-н", "Г-н", "κύριος", "Κύριος", "السيد"),
     "": ("Dr", "Prof"),
 }
 _GENDER = {t: g for g, titles in _TITLES.items() for t in titles}
-_NAME = re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(_GENDER, key=len, reverse=True))})\.?[  ](?P<name>[^\W\d_a-zà-ÿа-яё][^\W\d_]+(?:[  -][^\W\d_a-zà-ÿа-яё][^\W\d_]+){{0,2}})")
+PARTICLES = frozenset("von van der den de del della di da dos das du la le bin ibn al el ter zu zum zur af av".split())
+_CAPITAL = r"\p{Lu}(?:['’]\p{Lu})?\p{L}+"
+_WITH = rf"(?:(?:{'|'.join(sorted(PARTICLES))})[ \xa0])*{_CAPITAL}"
+#: Scripts without capitals have no end of a name but a number of letters or words.
+_NAME = regex.compile(
+    rf"(?<!\w)(?P<title>{'|'.join(sorted(_GENDER, key=len, reverse=True))})\.?[ \xa0]"
+    rf"(?P<name>{_WITH}(?:[ \xa0-]{_WITH}){{0,2}}|\p{{Han}}{{2,3}}|\p{{Arabic}}{{2,}}(?:[ \xa0]\p{{Arabic}}{{2,}})?)"
+)
+_TOKEN = regex.compile(r"\p{L}(?:['’]\p{Lu})?\p{L}*")
 _FIRST = {
     ("LATIN", "f"): "Alma Berta Clara Dora Edna Flora Greta Hilda Irma Julia Klara Lydia Marta Nora Olga Paula Rita Sara Thea Vera".split(),
     ("LATIN", "m"): "Arno Bruno Carl Dirk Egon Felix Georg Hugo Ivan Jonas Kurt Lars Max Nils Otto Paul Rolf Sven Theo Viktor".split(),
@@ -55,43 +69,90 @@ _FIRST = {
     ("CYRILLIC", "m"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Олег".split(),
     ("GREEK", "f"): "Άννα Βασιλική Δάφνη Ελένη Ζωή Ειρήνη Κατερίνα Μαρία".split(),
     ("GREEK", "m"): "Άρης Βασίλης Γιώργος Δήμος Ηλίας Κώστας Νίκος Πέτρος".split(),
+    ("ARABIC", "f"): "أمل بدرية ثريا جميلة حنان خديجة دلال رانيا".split(),
+    ("ARABIC", "m"): "أحمد باسم جمال حسن خالد داود رامي سامي".split(),
+    ("HAN", "f"): list("芳娟敏静丽燕玲梅"),
+    ("HAN", "m"): list("伟强磊军勇杰涛刚"),
 }
 _SYLLABLES = {
     "LATIN": "ba be bi bo da de di do fa fe ga ge ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se ta te ti to va ve".split(),
     "CYRILLIC": "ба бе би бо да де ди до га ге ка ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се та те ти то ва ве".split(),
     "GREEK": "βα βε βι βο δα δε δι γα γε κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο ρα ρε ρι ρο σα σε τα τε τι το".split(),
+    "ARABIC": "با بي بو دا دي دو كا كي كو لا لي لو ما مي مو نا ني نو را ري رو سا سي سو تا تي تو فا في فو".split(),
+    "HAN": list("安白常程邓丁范方冯傅高葛顾郭韩郝何贺洪胡黄江姜孔雷黎李林刘卢罗马孟潘彭钱秦任邵沈石宋苏孙谭唐田汪王韦魏吴武夏"),
 }
-_ENDING = {"LATIN": "nson", "CYRILLIC": "нко", "GREEK": "κης"}
+_ENDING = {"LATIN": "nson", "CYRILLIC": "нко", "GREEK": "κης", "ARABIC": "اوي", "HAN": ""}
 
 Mention = tuple[int, int, str, str]
 
 
 def script(text: str) -> str:
-    """LATIN, CYRILLIC or GREEK by the first letter that is one of them; LATIN otherwise."""
+    """LATIN, CYRILLIC, GREEK, ARABIC or HAN by the first letter that is one of them; LATIN otherwise."""
     for ch in text:
         name = unicodedata.name(ch, "").split(" ")[0]
+        name = "HAN" if name == "CJK" else name
         if name in _SYLLABLES:
             return name
     return "LATIN"
 
 
 def mentions(text: str) -> list[Mention]:
-    """(start, end, kind, mention) of entities, in order and without overlap: e-mail addresses first, then numbers, then names."""
+    """(start, end, kind, mention) of entities, in order and without overlap. Of those that begin together the order is that
+    of KINDS; names without a title give way to all others."""
     found: list[Mention] = []
     if "@" in text:
         found += [(*m.span(), "email", m[0]) for m in _EMAIL.finditer(text)]
     if _DIGIT.search(text):
         found += [(*m.span(), m.lastgroup, m[0]) for m in _NUMBER.finditer(text)]
     if any(t in text for t in _GENDER):
-        found += [(*m.span("name"), "name:" + _GENDER[m["title"]], m["name"]) for m in _NAME.finditer(text)]
-    if len(found) < 2:
-        return found
+        named = [(*m.span("name"), "name:" + _GENDER[m["title"]], m["name"]) for m in _NAME.finditer(text)]
+        if named:
+            return _apart(_apart(found + named), _untitled(text, named))
+    return _apart(found) if len(found) > 1 else found
+
+
+def _apart(found: list[Mention], more: Iterable[Mention] = ()) -> list[Mention]:
+    """The mentions that don't begin inside one that is taken before them; then those of `more` that touch none of these."""
     rank = {k: i for i, k in enumerate(KINDS)}
     taken: list[Mention] = []
     for m in sorted(found, key=lambda m: (m[0], rank[m[2].split(":")[0]])):
         if not taken or m[0] >= taken[-1][1]:
             taken.append(m)
-    return taken
+    starts, added = [m[0] for m in taken], []
+    for m in sorted(more):
+        k = bisect_left(starts, m[1])
+        if (k == 0 or taken[k - 1][1] <= m[0]) and (not added or added[-1][1] <= m[0]):
+            added.append(m)
+    return sorted(taken + added) if added else taken
+
+
+def _in_word(ch: str) -> bool:
+    return ch.isalnum() or ch == "_"
+
+
+def _fold(word: str) -> str:
+    """A part of a name without case and kind of apostrophe."""
+    return word.casefold().replace("’", "'")
+
+
+def _untitled(text: str, named: list[Mention]) -> Iterator[Mention]:
+    """Mentions without a title, or again, of the full names and surnames that `named` has, the longest at each surname."""
+    full = {_person(name) for *_, name in named}
+    surnames = {_fold(_split(name)[-1]) for *_, name in named}
+    longest = max(len(x.split(" ")) for x in full)
+    for name in {name for *_, name in named if script(name) == "HAN"}:  # words aren't told apart there
+        at = text.find(name)
+        while at >= 0:
+            yield at, at + len(name), "name:", name
+            at = text.find(name, at + len(name))
+    before: list[int] = []  # starts of the last words
+    for m in _TOKEN.finditer(text):
+        if _fold(m[0]) in surnames and not m[0].islower() and script(m[0]) != "HAN":
+            end = m.end()
+            start = next((s for s in before if _person(text[s:end]) in full), m.start())
+            if not (_in_word(text[end : end + 1]) or start and (_in_word(text[start - 1]) or text[start - 1] in "@.")):
+                yield start, end, "name:", text[start:end]
+        before = [*before, m.start()][-(longest - 1) :] if longest > 1 else []
 
 
 def canonical(kind: str, mention: str) -> str:
@@ -148,18 +209,20 @@ def _shape(old: str, s: Stream) -> str:
 
 
 def _surname(old: str, key: bytes, draw: int) -> str:
-    s, kind = Stream(key, "surname", old.casefold(), draw), script(old)
+    s, kind = Stream(key, "surname", _fold(old), draw), script(old)
     syllables = _SYLLABLES[kind]
-    return "".join(syllables[s.below(len(syllables))] for _ in range(3 + draw // GROW)).capitalize() + _ENDING[kind]
+    new = "".join(syllables[s.below(len(syllables))] for _ in range(3 + draw // GROW)).capitalize() + _ENDING[kind]
+    return old[:2] + new if old[1:2] in ("'", "’") else new
 
 
 def _split(name: str) -> list[str]:
-    return re.split(r"[ \xa0-]", name)
+    """Given names and surname; particles are no part of either."""
+    return [w for w in re.split(r"[ \xa0-]", name) if w not in PARTICLES]
 
 
 def _person(name: str) -> str:
     """Given names and surname without case, whatever stands between them."""
-    return " ".join(_split(name)).casefold()
+    return _fold(" ".join(_split(name)))
 
 
 def _guess(person: str, key: bytes) -> str:
@@ -168,7 +231,7 @@ def _guess(person: str, key: bytes) -> str:
 
 
 def _given(old: str, gender: str, key: bytes, draw: int) -> str:
-    s, kind = Stream(key, "first", old.casefold(), draw), script(old)
+    s, kind = Stream(key, "first", _fold(old), draw), script(old)
     pool, syllables = _FIRST[kind, gender], _SYLLABLES[kind]
     return pool[s.below(len(pool))] + "".join(syllables[s.below(len(syllables))] for _ in range(draw // GROW))
 
@@ -206,6 +269,8 @@ def surrogate(kind: str, mention: str, key: bytes, draw: int = 0, given: int = 0
         for k, w in enumerate(words):
             if k % 2:
                 kept.append(w)
+            elif w in PARTICLES:
+                kept.append(w)
             elif k == n - 1:
                 kept.append(_cased(_surname(w, key, draw), w))
             else:
@@ -214,6 +279,8 @@ def surrogate(kind: str, mention: str, key: bytes, draw: int = 0, given: int = 0
     keep = 0
     if kind == "phone" and mention.startswith("+"):
         keep = len(re.match(r"\+([0-9]{1,3}?)(?![0-9])|\+([0-9])", mention)[0]) - 1
+    elif kind == "phone" and mention.startswith("0"):
+        keep = 1
     longer = "0" * (draw // GROW_FORM)
     if kind == "card":
         new = _digits(entity[:-1] + longer, s)
@@ -232,7 +299,7 @@ def _parts(kind: str, mention: str) -> list[tuple[str, str]]:
     if not kind.startswith("name"):
         return [(kind, canonical(kind, mention))]
     words = _split(mention)
-    surname = [("surname", words[-1].casefold())]
+    surname = [("surname", _fold(words[-1]))]
     return surname if len(words) == 1 else [*surname, ("given", f"{kind.partition(':')[2] or '-'}:{_person(mention)}")]
 
 
@@ -264,9 +331,15 @@ def replace(text: str, key: bytes, draws: dict[tuple[str, str], int]) -> tuple[s
     return "".join([*out, text[at:]]) if found else text, found
 
 
+def _sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _entities(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct entities of each batch, with one mention to draw for."""
-    for batch in batches:
+    for batch in _sliced(batches):
         seen = {}
         for text in batch.column(0):
             for _, _, kind, mention in mentions(text.as_py() or ""):
@@ -301,20 +374,30 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, entity, draw) of entities (kind, entity, mention) whose first surrogate collided, with the draw that doesn't.
 
     A collision is a surrogate that another entity of the kind has or is. The entity that comes first of those that share
-    one keeps it. Rounds go on until there is none.
+    one keeps it, and what is settled stays so. Rounds go on until there is none; a round writes only what it draws anew.
     """
+    spark = entities.sparkSession
     shape = "kind string, entity string, mention string, draw int, surrogate string"
-    drawn = materialize(entities.withColumn("draw", F.lit(0)).mapInArrow(_draw(key), shape), "surrogates")
+    real = entities.select("kind", F.col("entity").alias("surrogate"))
+    settled: list[DataFrame] = []
+    again = entities.withColumn("draw", F.lit(0))
     while True:
-        first = drawn.groupBy("kind", "surrogate").agg(F.min("entity").alias("first"), F.count(F.lit(1)).alias("n"))
-        real = drawn.select("kind", F.col("entity").alias("surrogate")).withColumn("real", F.lit(True))
-        checked = drawn.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
-        bad = ((F.col("n") > 1) & (F.col("entity") != F.col("first"))) | F.col("real")
-        marked = materialize(checked.select("kind", "entity", "mention", "draw", "surrogate", F.coalesce(bad, F.lit(False)).alias("bad")), "checked")
+        drawn = again.mapInArrow(_draw(key), shape)
+        first = F.min("entity").over(Window.partitionBy("kind", "surrogate"))  # each draw shares its space by chance alone
+        taken = reduce(DataFrame.unionByName, [t.filter("not bad").select("kind", "surrogate") for t in settled], real).withColumn("taken", F.lit(True))
+        checked = drawn.withColumn("first", first).join(taken.distinct(), ["kind", "surrogate"], "left")
+        bad = (F.col("entity") != F.col("first")) | F.coalesce("taken", F.lit(False))
+        marked = materialize(checked.select("kind", "entity", "mention", "draw", "surrogate", bad.alias("bad")), "surrogates")
+        settled.append(marked)
         if marked.filter("bad").isEmpty():
-            return drawn.filter("draw > 0").select("kind", "entity", "draw")
-        again = marked.filter("bad").select("kind", "entity", "mention", (F.col("draw") + 1).alias("draw")).mapInArrow(_draw(key), shape)
-        drawn = materialize(marked.filter("not bad").drop("bad").unionByName(again), "surrogates")
+            break
+        again = marked.filter("bad").select("kind", "entity", "mention", (F.col("draw") + 1).alias("draw"))
+    none = spark.createDataFrame([], "kind string, entity string, draw int")
+    again = reduce(DataFrame.unionByName, [t.filter("not bad").select("kind", "entity", "draw") for t in settled[1:]], none)
+    kept = materialize(again, "draws")
+    for t in settled:
+        release(spark, t)
+    return kept
 
 
 def _persons(key: bytes):
@@ -339,7 +422,7 @@ def _replacer(key: bytes, draws: Callable[[], dict] | None):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = draws() if draws else None
-        for batch in batches:
+        for batch in _sliced(batches):
             own = batch.column(2).to_pylist() if known is None else None
             texts, spans = [], []
             for k, text in enumerate(batch.column(1)):
@@ -373,6 +456,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     drawn = assign(entities.filter("kind <> 'given'").unionByName(given), key)
     exceptions = materialize(drawn.unionByName(persons.filter("kind = 'gender'").select("kind", "entity", "draw")), "exceptions")
     schema = f"id {src.schema['id'].dataType.simpleString()}, text string, spans array<struct<kind:string,start:int,end:int>>"
+    release(docs.sparkSession, entities)
     few = exceptions.limit(exceptions_limit + 1).collect()
     if len(few) <= exceptions_limit:
         send = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["entity"]): r["draw"] for r in few})
@@ -381,7 +465,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
         row = F.xxhash64("id", "text")
 
         def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _sliced(batches):
                 pairs = {(r, *e) for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in mentions(t or "") for e in _keys(m[2], m[3])}
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["row", "kind", "entity"])
 
