@@ -1,10 +1,12 @@
 """SimHash near-dedup by anchor-point covering.
 
-Anchors are the codewords of a covering code: the perfect Golay code over 23 fingerprint bits, or over two such groups of
-bits where there are many fingerprints. A fingerprint's home is the one anchor within the code's covering radius (3). It
-is replicated to every anchor within radius plus threshold, so of two fingerprints that differ in `threshold` bits or
-fewer, each reaches the other's home; they are compared there, an equi-join on the anchor. Over two groups the excess
-over the radius is shared between the groups, as the differing bits are.
+Anchors are the codewords of perfect codes over groups of fingerprint bits: of the Golay code over 23 bits, over two such
+groups where there are many fingerprints, and of the Hamming code over 15 more bits beyond that. A fingerprint's home is the
+one anchor within the codes' covering radii (3, 3, 1). It is replicated to every anchor within radius plus threshold, so of
+two fingerprints that differ in `threshold` bits or fewer, each reaches the other's home; they are compared there, an
+equi-join on the anchor. Over several groups the excess over the radii is shared between them, as the differing bits are.
+A further group multiplies replicas by 2.5 to 3 and divides the fingerprints that an anchor is home to by its number of
+codewords, so comparisons stay in proportion to the fingerprints.
 
 Equal fingerprints are one row before any of that, and links go through large-star/small-star components.
 """
@@ -19,14 +21,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import golay
 from .common import has_columns, materialize, unused
 from .components import components
+from .golay import GOLAY, HAMMING
 
 BITS = 64
 SHINGLE = 3
-#: From this many distinct fingerprints on, anchors come from two groups of 23 bits (16.8 million anchors) instead of one.
-TWO_GROUPS_FROM = 500_000
+#: (first bit, code) of the groups, and the number of distinct fingerprints from which so many of them are used: 4,096
+#: anchors, 2**24, 2**35. A comparison costs about a fiftieth of a replica, so each is the cheapest up to the next.
+GROUPS = ((0, GOLAY), (23, GOLAY), (46, HAMMING))
+GROUPS_FROM = (0, 400_000, 1_000_000_000)
 SEED = 42
 _ROW_TYPE = "struct<a:bigint,b:bigint>"
 
@@ -62,23 +66,17 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in batches:  # a text is taken from the batch only when its turn comes
         texts = batch.column(2)
         fps = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64)
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps)], names=["id", "row", "fp"])
 
 
-def _groups(fp: np.ndarray, n: int) -> list[np.ndarray]:
-    u = fp.view(np.uint64)
-    return [((u >> np.uint64(shift)) & np.uint64((1 << golay.LENGTH) - 1)).astype(np.int64) for shift in (0, golay.LENGTH)[:n]]
-
-
 def anchor_rows(fp: np.ndarray, groups: int, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, anchor, home) over fingerprints: every anchor within radius plus threshold; home marks those within the radius."""
-    first, *more = _groups(fp, groups)
-    row, anchor, excess = golay.anchors(first, threshold)
-    for other in more:
-        r, a, e = golay.anchors(other, threshold)
+    row, anchor, excess = np.arange(len(fp)), np.zeros(len(fp), np.int64), np.zeros(len(fp), np.int64)
+    for shift, code in GROUPS[:groups]:
+        r, a, e = code.anchors(((fp.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << code.length) - 1)).astype(np.int64), threshold)
         start = np.searchsorted(r, np.arange(len(fp) + 1))
         n = (start[1:] - start[:-1])[row]
         left = np.repeat(np.arange(len(row)), n)
@@ -86,7 +84,7 @@ def anchor_rows(fp: np.ndarray, groups: int, threshold: int) -> tuple[np.ndarray
         both = excess[left] + e[right]
         ok = both <= threshold
         left, right = left[ok], right[ok]
-        row, anchor, excess = row[left], anchor[left] << golay.LENGTH | a[right], both[ok]
+        row, anchor, excess = row[left], anchor[left] << code.length | a[right], both[ok]
     return row, anchor, excess == 0
 
 
@@ -94,8 +92,8 @@ def _replicas(groups: int, threshold: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_fp = batch.column(0).to_numpy(zero_copy_only=False)
-            for i in range(0, len(all_fp), 2048):
-                fp = all_fp[i : i + 2048]
+            for i in range(0, len(all_fp), 1024):
+                fp = all_fp[i : i + 1024]
                 row, anchor, home = anchor_rows(fp, groups, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[row]), pa.array(home)], names=["anchor", "fp", "home"])
 
@@ -105,7 +103,8 @@ def _replicas(groups: int, threshold: int):
 def near_links(fps: DataFrame, threshold: int = 2, groups: int | None = None) -> DataFrame:
     """(u, v), u < v as signed numbers, for all pairs of the distinct fingerprints fps(fp) that differ in 1..threshold bits."""
     if groups is None:
-        groups = 2 if fps.count() >= TWO_GROUPS_FROM else 1
+        n = fps.count()
+        groups = sum(n >= least for least in GROUPS_FROM)
     reps = fps.select("fp").mapInArrow(_replicas(groups, threshold), "anchor long, fp long, home boolean")
     at_home = reps.filter("home").select("anchor", F.col("fp").alias("u"))
     pairs = at_home.join(reps.select("anchor", F.col("fp").alias("v")), "anchor")
