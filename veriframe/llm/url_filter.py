@@ -20,7 +20,7 @@ from .common import has_columns
 
 DAY = 86_400
 SLICE_DAYS = 64
-HOT_SHARE, HOT_ROWS, MAX_SALTS = 1000, 200_000, 64
+HOT_SHARE, HOT_ROWS = 1000, 200_000
 #: Lists by what a match means; a match on an allowing list overrides blocking ones.
 BLOCK, ALLOW = "block", "allow"
 
@@ -75,7 +75,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     one decision. Other columns are not read.
     """
     has_columns(captures, (id_col, url_col, time_col))
-    src = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("at")).withColumn("row", F.xxhash64("id", "url", "at"))
+    src = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("at"))
+    src = src.withColumn("row", F.struct(*(F.xxhash64(F.lit(k), "id", "url", "at").alias(k) for k in "ab")))
     times = src.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
     spans = validity(entries)
     if times["lo"] is None:
@@ -89,8 +90,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     counts = wide.groupBy("pattern").count()
     total = F.lit(counts.agg(F.sum("count")).first()[0] or 0)
     limit = F.greatest(F.lit(HOT_ROWS), total / HOT_SHARE)
-    hot = F.broadcast(counts.filter(F.col("count") > limit).select("pattern", F.least(F.ceil(F.col("count") / limit), F.lit(MAX_SALTS)).cast("int").alias("salts")))
-    salted = wide.join(hot, "pattern", "left").withColumn("salt", F.coalesce(F.pmod("row", F.col("salts")), F.lit(0)).cast("int")).withColumn("slice", _slice(F.col("at")))
+    hot = F.broadcast(counts.filter(F.col("count") > limit).select("pattern", F.ceil(F.col("count") / limit).cast("int").alias("salts")))
+    salted = wide.join(hot, "pattern", "left").withColumn("salt", F.coalesce(F.pmod("row.a", F.col("salts")), F.lit(0)).cast("int")).withColumn("slice", _slice(F.col("at")))
     spread = cut.join(hot, "pattern", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
     hit = salted.join(spread.select("pattern", "slice", "salt", "list", "effect", "from", "to"), ["pattern", "slice", "salt"])
     hit = hit.filter((F.col("at") >= F.col("from")) & (F.col("to").isNull() | (F.col("at") < F.col("to"))))
