@@ -148,7 +148,7 @@ def test_both_chain_folds_agree(spark):
 
 def test_native_fold_keeps_every_receipt(spark, tmp_path):
     spark.range(700).selectExpr("id AS event_id", "IF(id < 500, 1, id % 3 + 2) AS user_id").write.parquet(str(tmp_path / "events.parquet"))
-    a, b = (sorted(map(tuple, QUERIES[q](spark, str(tmp_path)).collect())) for q in ("derived_chain_folded", "derived_chain"))
+    a, b = (sorted(map(tuple, QUERIES[q](spark, str(tmp_path)).collect())) for q in ("derived_chain_native", "derived_chain"))
     assert a == b and len(a) == 700 and max(r[1] for r in a) == 500
 
 

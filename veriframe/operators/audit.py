@@ -3,7 +3,7 @@
 Receipts are rows (ledger, pos, payload_json, seq, prev, hash, signature, nonce, model, asset, output, image_path), as
 sources.ledger gives them, of any number of ledgers. A receipt meets its predecessor by an equi-join on the dense position,
 which is parallel within one ledger, and all checks of one row are made in one pass; replays meet the first use of their nonce by an aggregate; checkpoints meet their
-receipts on explode(sequence), not by a range condition.
+receipts on slices of their range, so they are joined by equality, however wide a range a checkpoint claims.
 """
 
 from __future__ import annotations
@@ -17,8 +17,11 @@ from ..functions import ed25519
 from ..functions.canonical import receipt_hash_column
 from ..functions.merkle import merkle_root
 from ..schemas import GENESIS
+from ..scratch import materialize
 
 VERSION, CONTRIBUTOR = "1.2", "C-07"
+#: A checkpoint's range is joined in so many slices at most.
+SLICES = 1024
 ORDER = ("ledger", "check_no", "pos", "sub_no")
 
 
@@ -191,8 +194,17 @@ def bad_signatures(receipts: DataFrame, public_key_pem: bytes | None) -> DataFra
 def checkpoint_leaves(receipts: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Checkpoints with `leaves`, the hashes of those sequences of the block that are there; of a repeated one the last's."""
     last = receipts.filter("seq is not null").groupBy("ledger", "seq").agg(F.max(F.struct("pos", "hash")).alias("last"))
-    blocks = checkpoints.filter("end_sequence >= start_sequence").select("ledger", F.col("pos").alias("chk"), F.explode(F.sequence("start_sequence", "end_sequence")).alias("seq"))
-    held = blocks.join(last, ["ledger", "seq"]).groupBy("ledger", "chk").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("last.hash").alias("hash")))).alias("leaves"))
+    extent = last.groupBy("ledger").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    shift = lambda c, by: F.call_function("shiftright", F.col(c), F.col(by))
+    lo, hi = F.greatest("start_sequence", "lo"), F.least("end_sequence", "hi")
+    ranges = checkpoints.join(extent, "ledger").select("ledger", F.col("pos").alias("chk"), lo.alias("a"), hi.alias("b")).filter("b >= a")
+    span = F.col("b").cast("double") - F.col("a").cast("double") + 1
+    sliced = ranges.withColumn("level", F.greatest(F.ceil(F.log2(span / SLICES)), F.lit(0)).cast("int"))  # slices of 2**level numbers
+    levels = [r["level"] for r in sliced.select("level").distinct().collect()] or [0]  # 55 at most
+    blocks = sliced.withColumn("slice", F.explode(F.sequence(shift("a", "level"), shift("b", "level"))))
+    placed = last.withColumn("level", F.explode(F.array(*map(F.lit, sorted(levels))))).withColumn("slice", shift("seq", "level"))
+    met = blocks.join(placed, ["ledger", "level", "slice"]).filter("seq between a and b")
+    held = met.groupBy("ledger", "chk").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("last.hash").alias("hash")))).alias("leaves"))
     named = held.select("ledger", F.col("chk").alias("pos"), F.transform("leaves", lambda x: x["hash"]).alias("leaves"))
     return checkpoints.join(named, ["ledger", "pos"], "left")
 
@@ -242,8 +254,16 @@ def audit(
     verifier_key_pem: bytes | None = None,
     strict: bool = False,
     check_signatures: bool = True,
+    store: bool = True,
 ) -> DataFrame:
-    """All findings, with the columns that order them (ORDER). strict adds the opt-in checks."""
+    """All findings, with the columns that order them (ORDER). strict adds the opt-in checks.
+
+    The checks read the receipts several times, so with store they are first written to the shared folder; without,
+    receipts should be a table already.
+    """
+    if store:
+        receipts = materialize(receipts, "receipts")
+        checkpoints = None if checkpoints is None else materialize(checkpoints, "checkpoints")
     if receipts.isEmpty():
         return empty_ledger(receipts, "")
     checks = [_chain_break(), _tampered(), _sequence_break()]

@@ -141,12 +141,19 @@ def features(images: DataFrame, reference: bytes | Callable, subject: bytes | Ca
 
 
 def infer(images: DataFrame, model: bytes, config: dict, magic: bytes | None = None) -> DataFrame:
-    """(path, output_bytes): the model's output tensor of each image, as bytes."""
+    """(path, output_bytes, error): the model's output tensor of each image, as bytes, or why there is none."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoder(model, magic)
         for f in frames:
-            outs = [np.ascontiguousarray(encode(preprocess_with(pixels(*r), config))).tobytes() for r in zip(f["data"], f["width"], f["height"], f["channels"])]
-            yield pd.DataFrame({"path": f["path"], "output_bytes": outs})
-
-    return images.mapInPandas(run, "path string, output_bytes binary")
+            outs, errors = [], []
+            for r in zip(f["data"], f["width"], f["height"], f["channels"]):
+                try:
+                    outs.append(np.ascontiguousarray(encode(preprocess_with(pixels(*r), config))).tobytes())
+                    errors.append(None)
+                except Exception as e:  # one image that can't be run is a result of its own, not the end of the job
+                    outs.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pd.DataFrame({"path": f["path"], "output_bytes": outs, "error": errors})
+
+    return images.mapInPandas(run, "path string, output_bytes binary, error string")

@@ -6,7 +6,7 @@ set against all rows in blocks and merge top-k lists; near-duplicate hashes meet
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize, release
+from .components import components
+
 QUERY_BLOCK = 2048
 
 
@@ -128,7 +131,11 @@ def class_moments(rows: DataFrame, vector_col: str = "embedding", label_col: str
 def _score(rows: DataFrame, fn, name: str, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     @F.pandas_udf("double")
     def score(v: pd.Series, label: pd.Series) -> pd.Series:
-        return pd.Series([float("nan") if x is None else fn(np.asarray(x, np.float64), y) for x, y in zip(v, label)])
+        known = v.notna().to_numpy()
+        out = np.full(len(v), np.nan)
+        if known.any():  # a batch at a time: fn takes a matrix and its rows' labels
+            out[known] = fn(np.stack(v[known].to_list()).astype(np.float64), label[known].to_numpy())
+        return pd.Series(out)
 
     return rows.select(id_col, label_col, score(vector_col, label_col).alias(name))
 
@@ -137,16 +144,28 @@ def mahalanobis(rows: DataFrame, moments: dict, id_col: str = "vec_id", vector_c
     """Distance of each row to the nearest class mean under the shared covariance (Lee et al. 2018)."""
     total = sum(n for n, *_ in moments.values())
     shared = sum(n * c for n, _, c in moments.values()) / total
-    inverse = np.linalg.inv(shared + ridge * np.eye(len(shared)))
-    means = np.stack([m for _, m, _ in moments.values()])
+    white = np.linalg.cholesky(np.linalg.inv(shared + ridge * np.eye(len(shared))))
+    means = np.stack([m for _, m, _ in moments.values()]) @ white
 
-    def fn(x: np.ndarray, _) -> float:
-        d = x - means
-        return float(np.sqrt(np.einsum("ij,jk,ik->i", d, inverse, d).min()))
+    def fn(x: np.ndarray, _) -> np.ndarray:
+        x = x @ white
+        return np.sqrt(np.min([((x - m) ** 2).sum(axis=1) for m in means], axis=0))
 
     return _score(rows, fn, "distance", id_col, vector_col, label_col)
 
 
+def _projected(tops: dict[int, tuple[np.ndarray, np.ndarray]]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Projections of rows, centred by their class's mean, on its direction; nan for classes without one."""
+
+    def fn(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), np.nan)
+        for k in set(y.tolist()) & tops.keys():
+            out[y == k] = (x[y == k] - tops[k][0]) @ tops[k][1]
+        return out
+
+    return fn
+
+
 def _top_direction(cov: np.ndarray) -> np.ndarray:
     v = np.linalg.eigh(cov)[1][:, -1]
     return v * np.sign(v[np.abs(v).argmax()])
@@ -155,8 +174,8 @@ def _top_direction(cov: np.ndarray) -> np.ndarray:
 def spectral_signatures(rows: DataFrame, moments: dict, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Squared projection of each centred row on its class's top direction (Tran et al. 2018)."""
     tops = {k: (m, _top_direction(c)) for k, (_, m, c) in moments.items()}
-    fn = lambda x, y: float(((x - tops[y][0]) @ tops[y][1]) ** 2) if y in tops else float("nan")
-    return _score(rows, fn, "score", id_col, vector_col, label_col)
+    along = _projected(tops)
+    return _score(rows, lambda x, y: along(x, y) ** 2, "score", id_col, vector_col, label_col)
 
 
 def activation_clusters(rows: DataFrame, moments: dict, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", rounds: int = 12) -> DataFrame:
@@ -165,8 +184,9 @@ def activation_clusters(rows: DataFrame, moments: dict, id_col: str = "vec_id",
     All classes move in one aggregate a round. A small minority far from the rest points at poisoning.
     """
     tops = {k: (m, _top_direction(c), float(np.sqrt(np.linalg.eigvalsh(c)[-1]))) for k, (_, m, c) in moments.items()}
-    fn = lambda x, y: float((x - tops[y][0]) @ tops[y][1]) if y in tops else float("nan")
-    line = _score(rows, fn, "p", id_col, vector_col, label_col).select(F.col(label_col).alias("label"), "p").filter("not isnan(p)").cache()
+    fn = _projected({k: top[:2] for k, top in tops.items()})
+    scored = _score(rows, fn, "p", id_col, vector_col, label_col).select(F.col(label_col).alias("label"), "p").filter("not isnan(p)")
+    line = materialize(scored, "projections")
     centres = {k: (-s, s) for k, (_, _, s) in tops.items()}
     for _ in range(rounds):
         cut = F.create_map(*(F.lit(x) for k, (a, b) in centres.items() for x in (k, (a + b) / 2)))
@@ -180,7 +200,7 @@ def activation_clusters(rows: DataFrame, moments: dict, id_col: str = "vec_id",
     sizes: dict = {}
     for r in got:
         sizes.setdefault(r["label"], [0, 0])[r["high"]] = r["n"]
-    line.unpersist()
+    release(rows.sparkSession, line)
     out = [(k, sum(n), min(n) / sum(n), (centres[k][1] - centres[k][0]) / (tops[k][2] or 1.0)) for k, n in sorted(sizes.items())]
     return rows.sparkSession.createDataFrame(out, "label int, n long, minority_share double, separation double")
 
@@ -219,13 +239,20 @@ def sybil_pairs(items: DataFrame, contributor: str, item: Column, least: float =
     Only signatures, one row for each contributor and hash, are joined; equal minima are the shared ones.
     """
     keyed = items.select(F.col(contributor).alias("who"), item.alias("item")).filter("who is not null and item is not null")
-    mins = keyed.groupBy("who").agg(*(F.min(F.xxhash64(F.lit(k), "item")).alias(f"m{k}") for k in range(hashes)))
+    salted = lambda k: F.md5(F.concat(F.lit(f"{k}:"), F.col("item").cast("string")))
+    mins = keyed.groupBy("who").agg(*(F.min(salted(k)).alias(f"m{k}") for k in range(hashes)))
     rows = mins.select("who", F.posexplode(F.array(*(f"m{k}" for k in range(hashes)))).alias("k", "m"))
     a, b = rows.withColumnRenamed("who", "a"), rows.withColumnRenamed("who", "b")
     same = a.join(b, ["k", "m"]).filter("a < b").groupBy("a", "b").agg((F.count(F.lit(1)) / hashes).alias("similarity"))
     return same.filter(F.col("similarity") >= least)
 
 
+def sybil_clusters(pairs: DataFrame) -> DataFrame:
+    """(contributor, cluster) for the contributors of pairs (a, b): whom they reach by pairs, named by the least of them."""
+    linked = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return linked.select(F.col("node").alias("contributor"), F.col("root").alias("cluster"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections.abc import Callable, Iterable, Iterator
+from inspect import Parameter, signature
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from .audit import finding
 
 RATE, LEAST, SEED = 0.05, 1, 42
-Evaluator = Callable[[str], bytes]
+#: Takes the path of an image, or the path, the model and its configuration.
+Evaluator = Callable[..., bytes]
 
 
 def sample_size(n: int, rate: float = RATE, least: int = LEAST) -> int:
@@ -37,17 +39,21 @@ def sample_receipts(receipts: DataFrame, rate: float = RATE, least: int = LEAST,
     return receipts.withColumn("draw", order).orderBy("draw").limit(sample_size(n, rate, least))
 
 
-def reexecute(sample: DataFrame, evaluate: Evaluator | None) -> DataFrame:
-    """The sample with `actual` (SHA-256 of the evaluator's bytes for the image path), `error`, and `ran`."""
+def reexecute(sample: DataFrame, evaluate: Evaluator | None, model: object = None, config: dict | None = None) -> DataFrame:
+    """The sample with `actual` (SHA-256 of the evaluator's bytes), `error`, and `ran`."""
     if evaluate is None:
         return sample.withColumns({"actual": F.lit(None).cast("string"), "error": F.lit(None).cast("string"), "ran": F.lit(False)})
 
+    kinds = (Parameter.POSITIONAL_ONLY, Parameter.POSITIONAL_OR_KEYWORD)
+    all_three = sum(p.kind in kinds for p in signature(evaluate).parameters.values()) >= 3
+    more = (model, config) if all_three else ()
+
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             actual, error = [], []
             for path in f["image_path"]:
                 try:
-                    actual.append(hashlib.sha256(evaluate(path or "")).hexdigest())
+                    actual.append(hashlib.sha256(evaluate(path or "", *more)).hexdigest())
                     error.append(None)
                 except Exception as e:  # any failure of the caller's function is a finding
                     actual.append(None)
@@ -84,9 +90,9 @@ def spot_check(receipts: DataFrame, evaluate: Evaluator | None = None, rate: flo
 
 
 def spot_check_images(receipts: DataFrame, outputs: DataFrame, rate: float = RATE, least: int = LEAST, seed: int = SEED) -> DataFrame:
-    """The same against real inference: outputs(path, output_bytes) of the images at hand, as encoder.infer gives them. A
-    receipt whose image has no row there is `unavailable`."""
-    actual = outputs.select(F.col("path").alias("image_path"), F.sha2("output_bytes", 256).alias("actual"))
+    """The same against real inference: outputs(path, output_bytes, error) of the images at hand, as encoder.infer gives
+    them. A receipt whose image has no row there is `unavailable`, one whose inference failed is EXEC-FAILED."""
+    error = F.col("error") if "error" in outputs.columns else F.lit(None).cast("string")
+    actual = outputs.select(F.col("path").alias("image_path"), F.sha2("output_bytes", 256).alias("actual"), error.alias("error"))
     joined = sample_receipts(receipts, rate, least, seed).join(actual, "image_path", "left")
-    ran = joined.withColumns({"error": F.lit(None).cast("string"), "ran": F.col("actual").isNotNull()})
-    return spot_findings(ran, runner=True)
+    return spot_findings(joined.withColumn("ran", F.col("actual").isNotNull() | F.col("error").isNotNull()), runner=True)

@@ -210,15 +210,20 @@ class EntryFile:
             if not isinstance(self.tip, str) or len(self.tip) != 64:
                 raise ValueError(f"the last entry of {self.path} has no hash")
 
-    def extend(self, events: Iterable[tuple[str, dict]]) -> list[str]:
-        """Write events in one go; their hashes."""
-        out, lines = [], []
-        for kind, payload in events:
-            before, self.tip = self.tip, entry_hash(kind, payload, self.tip)
-            out.append(self.tip)
-            lines.append(json.dumps(dict(entry_hash=self.tip, event_type=kind, payload=payload, prev_hash=before), default=str, sort_keys=True))
-        _append(self.path, lines)
-        return out
+    def extend(self, events: Iterable[tuple[str, dict]]) -> int:
+        """Write events as they come, one held at a time; their number."""
+        n = 0
+
+        def lines() -> Iterator[str]:
+            nonlocal n
+            for kind, payload in events:
+                before, self.tip = self.tip, entry_hash(kind, payload, self.tip)
+                n += 1
+                yield json.dumps(dict(entry_hash=self.tip, event_type=kind, payload=payload, prev_hash=before), default=str, sort_keys=True)
+
+        _append(self.path, lines())
+        return n
 
     def append(self, event_type: str, payload: dict) -> str:
-        return self.extend([(event_type, payload)])[0]
+        self.extend([(event_type, payload)])
+        return self.tip

@@ -54,14 +54,8 @@ def derived_chain(spark: SparkSession, d: str) -> DataFrame:
     return ledgers.honest(spark, d).select("user_id", "seq", "prev", "hash")
 
 
-@query(ledgers.SQL + "SELECT user_id, seq, prev, hash FROM chain WHERE seq <= 50")
-def derived_chain_native(spark: SparkSession, d: str) -> DataFrame:
-    """The fold inside the JVM, for chains kept short."""
-    return writer.chain_short(ledgers.numbered(spark, d).filter("seq <= 50"), chain="user_id").select("user_id", "seq", "prev", "hash")
-
-
 @query(ORACLES["derived_chain"])
-def derived_chain_folded(spark: SparkSession, d: str) -> DataFrame:
+def derived_chain_native(spark: SparkSession, d: str) -> DataFrame:
     """The fold inside the JVM, over every receipt of every chain."""
     return writer.chain_short(ledgers.numbered(spark, d), chain="user_id").select("user_id", "seq", "prev", "hash")
 
@@ -454,9 +448,29 @@ def contributor_binomial(spark: SparkSession, d: str) -> DataFrame:
     return found.select("contributor", "n", "bad", F.round("rate", 9).alias("rate"), F.round("z", 6).alias("z"))
 
 
-@query()
+_SYBIL = """
+WITH RECURSIVE i AS (SELECT DISTINCT source AS who, md5(coalesce(text, '')) AS item FROM documents WHERE source IS NOT NULL),
+m AS (SELECT who, k, min(md5(k || ':' || item)) AS m FROM i, range(64) AS t(k) GROUP BY who, k),
+p AS (SELECT x.who AS a, y.who AS b, count(*) / 64 AS similarity FROM m x JOIN m y ON x.k = y.k AND x.m = y.m AND x.who < y.who GROUP BY ALL)
+"""
+
+
+def _sybils(spark: SparkSession, d: str, least: float) -> DataFrame:
+    return integrity.sybil_pairs(table(spark, d, "documents"), "source", F.md5(F.coalesce("text", F.lit(""))), least)
+
+
+@query(_SYBIL + "SELECT a, b, similarity FROM p")
 def sybil_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return integrity.sybil_pairs(table(spark, d, "documents"), "source", F.md5("text"), least=0.0)
+    return _sybils(spark, d, 0.0)
+
+
+@query(_SYBIL + """, e AS (SELECT a, b FROM p WHERE similarity >= 0.05 UNION SELECT b, a FROM p WHERE similarity >= 0.05),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT a AS contributor, min(least(a, b)) AS cluster FROM r GROUP BY a
+""")
+def sybil_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Contributors linked by shares of common texts, and whom those reach."""
+    return integrity.sybil_clusters(_sybils(spark, d, 0.05))
 
 
 @query("""
@@ -588,11 +602,21 @@ def fused_risk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(ledgers.SQL + """
-, fs AS (SELECT finding_id, detector, CASE WHEN check_no IN (3, 5) THEN 'unknown' END AS asset_ref, check_no FROM found)
-SELECT 'raised_by' AS kind, count(DISTINCT finding_id || detector) AS n FROM fs
+, fs AS (
+  SELECT f.finding_id, f.detector, CASE WHEN f.check_no IN (3, 5) THEN 'unknown' ELSE a.asset END AS asset_ref,
+         CASE f.finding_id WHEN 'FINDING-M3-SIG-UNAVAILABLE' THEN [] ELSE CASE WHEN f.check_no = 5 THEN ['checkpoint_' || c.checkpoint_id || '.json']
+           WHEN f.finding_id LIKE '%REPLAY%' THEN ['receipt_seq_' || a.seq || '.json', 'receipt_seq_' || r.first_seq || '.json'] ELSE ['receipt_seq_' || a.seq || '.json'] END END AS files
+  FROM found f LEFT JOIN att a ON a.ledger = f.ledger AND a.pos = f.pos AND f.check_no <> 5 LEFT JOIN rep r ON r.ledger = f.ledger AND r.pos = f.pos AND f.check_no = 2
+  LEFT JOIN chk c ON c.ledger = f.ledger AND c.pos = f.pos AND f.check_no = 5),
+edges AS (
+  SELECT 'raised_by' AS kind, 'finding:' || finding_id AS source, 'detector:' || detector AS target FROM fs
+  UNION SELECT 'about', 'finding:' || finding_id, 'asset:' || asset_ref FROM fs
+  UNION SELECT 'contributed_by', 'asset:' || asset_ref, 'contributor:C-07' FROM fs
+  UNION SELECT 'evidenced_by', 'finding:' || finding_id, 'artifact:' || unnest(files) FROM fs)
+SELECT kind, source, target FROM edges
 """)
 def evidence_graph(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.evidence_edges(_audit(spark, d)).filter("kind = 'raised_by'").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return fusion.evidence_edges(_audit(spark, d)).select("kind", "source", "target")
 
 
 @query("""

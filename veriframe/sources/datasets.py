@@ -19,6 +19,7 @@ from ..functions.boxes import coco_box, yolo_box
 from ..operators.probe import now
 from ..operators.writer import EntryFile
 from ..schemas import ANNOTATION
+from ..scratch import materialize
 from .images import EXTENSIONS, image_metadata
 from .profile import file_digest
 
@@ -94,13 +95,16 @@ def read_coco(spark: SparkSession, annotations_json: str | Path, image_root: str
         raise MissingAssetError(f"no annotations file {path}")
     if not root.is_dir():
         raise MissingAssetError(f"no image folder {root}")
+    # the document is parsed once; what it lists is a table of rows from then on
     doc = spark.read.text(str(path), wholetext=True).select(F.try_parse_json("value").alias("v"))
-    parts = doc.select(*(F.try_variant_get("v", f"$.{k}", "array<variant>").alias(k) for k in ("images", "annotations", "categories")), F.col("v").isNull().alias("corrupt")).first()
-    if parts["corrupt"]:
+    lists = F.array(*(F.struct(F.lit(k).alias("part"), F.try_variant_get("v", f"$.{k}", "array<variant>").alias("rows")) for k in ("images", "annotations", "categories")))
+    listed = doc.select(F.col("v").isNotNull().alias("json"), F.explode(lists).alias("l")).select("json", "l.part", F.posexplode_outer("l.rows").alias("at", "r"))
+    every = materialize(listed.select("json", "part", "at", F.to_json("r").alias("r")), "coco")
+    if every.filter("json").isEmpty():
         raise CorruptAnnotationError(f"{path} is no JSON")
-    if not parts["images"]:
+    if every.filter("part = 'images' and at is not null").isEmpty():
         raise CorruptAnnotationError(f"{path} lists no images")
-    rows = lambda key: doc.select(F.posexplode(F.try_variant_get("v", f"$.{key}", "array<variant>")).alias("at", "r"))
+    rows = lambda key: every.filter((F.col("part") == key) & F.col("at").isNotNull()).select("at", F.try_parse_json("r").alias("r"))
     get = lambda k, kind: F.try_variant_get("r", f"$.{k}", kind)
     names = rows("categories").select(get("id", "int").alias("category_id"), F.struct("at", F.coalesce(get("name", "string"), F.concat(F.lit("class_"), get("id", "string"))).alias("name")).alias("n"))
     names = names.filter("category_id is not null").groupBy("category_id").agg(F.max("n").alias("n")).select("category_id", F.col("n.name").alias("class_name"))
