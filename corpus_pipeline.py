@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriframe.llm import language_id
-from veriframe.llm.common import fold, materialize, table
+from veriframe.llm.common import fold, table
 from veriframe.llm.decontamination import drop_contaminated
 from veriframe.llm.line_dedup import line_dedup
 from veriframe.llm.sentencepiece import encode
 from veriframe.llm.simhash import keep_one
+from veriframe.scratch import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
