@@ -6,8 +6,9 @@ from test_dedup import cut_by_hand, fingerprint_by_hand
 from test_text_operators import contaminated_by_hand
 
 from veriframe.llm import language_id, queries
-from veriframe.llm.common import fold, materialize
+from veriframe.llm.common import fold
 from veriframe.llm.sentencepiece import decode
+from veriframe.scratch import materialize
 
 
 @pytest.fixture(scope="module")
@@ -81,7 +82,7 @@ def test_a_query_for_each_operator():
 
 
 def test_shared_folder_is_the_sessions(spark, tmp_path):
-    from veriframe.llm import common
+    from veriframe import scratch as common
 
     class Conf:
         def get(self, key, default=None):

@@ -1,13 +1,8 @@
-"""Helpers that the training-data operators share: scratch tables in the cluster's shared folder, text blocks, folds."""
+"""Helpers that the training-data operators share: text blocks, folds, tables, names of columns."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
-from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,55 +10,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Python-side work runs over blocks of about this many characters, so its temporaries stay small however long a text is.
-BLOCK_CHARS = 1 << 20
-
-
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        app = spark.sparkContext.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = tempfile.mkdtemp(prefix="veriframe-")
-            atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
-        path = _own_dirs[app]
-    return path
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete all tables that materialize() has written to the shared folder; no result made before is readable after."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/veriframe")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives a lost executor.
-
-    The shuffle files of the write are of no use once the table is there, so they are deleted as it ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/veriframe/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN_SHUFFLES, "false")
-    spark.conf.set(_CLEAN_SHUFFLES, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEAN_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a table that materialize() wrote; call it once nothing reads the table any more."""
-    for name in df.inputFiles():
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
-        break
+BLOCK_CHARS = 1 << 18
 
 
 def ascii_lower(text: Column) -> Column:
@@ -76,10 +23,6 @@ def fold(doc_id: Column, n: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n).cast("int")
 
 
-def local_path(path: str) -> str:
-    return urlparse(path).path if path.startswith("file:") else path
-
-
 def blocks(texts: list[str | None], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
     """Index ranges [i, j) over texts, each of at most `limit` characters or of a single text."""
     i = size = 0

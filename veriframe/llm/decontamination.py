@@ -17,7 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, has_columns, materialize
+from ..scratch import materialize
+from .common import ascii_lower, has_columns
 
 #: What stands between words; it is the same to cut there as to look for words, but three times as fast.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"

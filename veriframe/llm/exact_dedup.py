@@ -18,10 +18,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import has_columns, materialize, release
+from ..scratch import materialize, release
+from .common import has_columns
 
 #: Load of a bucket: rows, and a row more for each BLOCK bytes of a text.
-CAPACITY, BLOCK = 1 << 14, 4096
+CAPACITY, BLOCK = 1 << 12, 4096
 #: Ranges whose loads the driver takes: 2**MAX_DEPTH at most.
 MAX_DEPTH = 20
 HOT_SHARE, HOT_ROWS = 1000, 10_000

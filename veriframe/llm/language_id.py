@@ -7,8 +7,10 @@ text costs one binary search for all languages; only grams that no language has
 
 A text gets the language of the lowest cross-entropy per character. Rejection is calibrated on documents that were not
 counted: the winner's cross-entropy, standardised by a mean and by a variance that shrinks with length, must not exceed
-the level that all but `false_reject` of those documents stay under. A language with fewer than LEAST_CHECKS of them is
-cross-validated on all its documents, in pieces if there are few.
+the level that a share of `false_reject` of the language's own documents exceeds. That share is far smaller than one in
+the number of those documents, so the level is carried on from their upper tenth as an exponential tail, whose mean excess
+is raised by one standard error: the fewer documents, the further out the level. A language with fewer than LEAST_CHECKS of
+them is cross-validated on all its documents, in pieces if there are few.
 
 The models are fitted on a bounded sample: of each language about `docs_per_lang` documents, chosen by a hash of the id.
 """
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, fold, has_columns
+from .common import BLOCK_CHARS, blocks, fold, has_columns
 
 ORDER = 4
 UNDETERMINED = "und"
@@ -34,26 +36,36 @@ EDGE = 1
 SPACE = 32
 FOLDS = 5
 DOCS_PER_LANG = 1500
-FALSE_REJECT = 0.0005
-#: The limit is so many times the calibrated level, and never below so many standard deviations: texts that mix two
-#: languages or repeat themselves are odd, but no reason to give them up.
-LIMIT_FACTOR, LEAST_LIMIT = 2.0, 10.0
+FALSE_REJECT = 1e-6
+#: A tail has so many documents at least, and a mean excess of half a standard deviation, about that of a normal one.
+LEAST_TAIL, LEAST_EXCESS = 5, 0.5
 LEAST_CHECKS = 20
 
 
 @cache
 def _letters() -> np.ndarray:
-    """Code point (above the BMP: 0xFFFF, a letter of its own) to lower-case letter or space."""
+    """Code point of the BMP to lower-case letter or space."""
     low = np.full(1 << 16, SPACE, np.uint64)
     for c in range(1 << 16):
         ch = chr(c)
         if ch.isalpha():
             x = ch.lower()
             low[c] = ord(x) if len(x) == 1 else c
-    low[0xFFFF] = 0xFFFF
     return low
 
 
+def _folded(points: np.ndarray) -> np.ndarray:
+    """Symbols of 16 bits of code points. Letters above the BMP share its 8,448 places of surrogates and private use."""
+    out = _letters()[np.minimum(points, 0xFFFF)]
+    astral = np.flatnonzero(points > 0xFFFF)
+    if len(astral):
+        chars, inverse = np.unique(points[astral], return_inverse=True)
+        lower = [(ch, ch.lower()) for ch in map(chr, chars.tolist())]
+        places = [0xD800 + ord(x[0]) * 40_503 % 0x2100 if ch.isalpha() else SPACE for ch, x in lower]
+        out[astral] = np.array(places, np.uint64)[inverse]
+    return out
+
+
 def normalise(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All texts' symbols in one array, each text after ORDER - 1 edges and ended by a space; and the texts' starts, one more than texts."""
     gap = "\x00" * (ORDER - 1)
@@ -61,7 +73,7 @@ def normalise(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts)) + ORDER
     starts = np.concatenate([[0], np.cumsum(lengths)])
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = _letters()[np.minimum(points, 0xFFFF)]
+    out = _folded(points)
     edge = np.zeros(len(out), bool)
     for k in range(ORDER - 1):
         edge[starts[:-1] + k] = True
@@ -135,12 +147,12 @@ class Models:
             first, last = starts[:-1], starts[1:] - (ORDER - 1)  # codes of a text's own symbols
             # a trailing gram of a text that reaches into the next one's edges ends at an edge: it is not the text's own
             n = last - first
-            logs = self.log_probs(codes)
-            bounds = np.stack([first, last], 1).ravel()
-            bounds[-1] = min(bounds[-1], len(codes))
-            for k in range(len(self.langs)):
-                sums = np.add.reduceat(np.append(logs[k], np.float32(0)).astype(np.float64), bounds)[::2]
-                total[i:j, k] = -np.where(n > 0, sums, 0)
+            for at in range(0, len(codes), BLOCK_CHARS):  # a text of any length takes the memory of one such part
+                logs = self.log_probs(codes[at : at + BLOCK_CHARS])
+                lo, hi = (np.clip(x - at, 0, logs.shape[1]) for x in (first, last))
+                for k in range(len(self.langs)):
+                    sums = np.concatenate([[0.0], np.cumsum(logs[k], dtype=np.float64)])
+                    total[i:j, k] -= sums[hi] - sums[lo]
             count[i:j] = n
         return total / np.maximum(count, 1)[:, None], count
 
@@ -229,6 +241,15 @@ def cross_validate(texts: list[str], unseen: float) -> tuple[np.ndarray, np.ndar
     return h[n > 0], n[n > 0]
 
 
+def tail_level(z: np.ndarray, share: float) -> float:
+    """The level that a share of values exceeds, by the exponential tail above the upper tenth of z."""
+    down = np.sort(z)[::-1]
+    tail = min(max(LEAST_TAIL, len(z) // 10), len(z) - 1)
+    above = down[tail]
+    excess = max(float((down[:tail] - above).mean()) * (1 + tail**-0.5) if tail else 0.0, LEAST_EXCESS)
+    return float(above + excess * np.log(max(tail, 1) / len(z) / share))
+
+
 def _set_limit(m: Models, k: int, h: np.ndarray, n: np.ndarray, false_reject: float) -> None:
     m.mean[k] = mean = float(np.median(h))
     square = (h - mean) ** 2
@@ -236,8 +257,7 @@ def _set_limit(m: Models, k: int, h: np.ndarray, n: np.ndarray, false_reject: fl
     a = max(float(square[long].mean()), 1e-4)
     b = max(float(((square[~long] - a) * n[~long]).mean()) if (~long).any() else 0.0, 0.1)
     m.spread[k] = a, b
-    z = (h - mean) / np.sqrt(a + b / n)
-    m.limit[k] = max(LEAST_LIMIT, LIMIT_FACTOR * float(np.quantile(z, 1 - false_reject)))
+    m.limit[k] = tail_level((h - mean) / np.sqrt(a + b / n), false_reject)
 
 
 def calibrate(m: Models, lang: np.ndarray, entropy: np.ndarray, count: np.ndarray, false_reject: float = FALSE_REJECT) -> list[str]:
@@ -314,7 +334,7 @@ def fit(
     open_ = ~np.isfinite(m.limit)
     if open_.any():  # a language of a few letters: as far out as the others' texts may be
         told = ~open_
-        m.mean[open_], m.limit[open_] = (m.mean[told].max(), m.limit[told].max()) if told.any() else (0.0, LEAST_LIMIT)
+        m.mean[open_], m.limit[open_] = (m.mean[told].max(), m.limit[told].max()) if told.any() else (0.0, LEAST_EXCESS * -np.log(false_reject))
         m.spread[open_] = m.spread[told].max(axis=0) if told.any() else 1.0
     return m
 

@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import has_columns, materialize
+from ..scratch import materialize, release
+from .common import has_columns
 
 NEAR_CHARS = 5
 _ROW = ("d1", "d2")
@@ -171,6 +172,7 @@ def line_dedup(
     distinct = materialize(_distinct_lines(src, near_chars), "lines")
     candidates = materialize(_candidates(src, distinct), "candidates")
     near = materialize(_near(candidates), "near")
+    release(docs.sparkSession, candidates)
     marked = distinct.select(*_ROW, "no").join(near.withColumn("near", F.lit(True)), [*_ROW, "no"], "left")
     first = F.when(F.isnull("near"), F.col("no"))
     decided = marked.groupBy(*_ROW).agg(F.collect_list(first).alias("firsts"), F.count("near").alias("n_near"))

@@ -5,8 +5,9 @@ characters, case kept. Unigrams and bigrams are hashed to 2**BITS weights; a big
 first word comes again after its second, share a slot each, so that repetition of any word is seen. A text's features are
 its n-gram frequencies, so its score is a sparse dot product: the mean weight over its n-grams, times SCALE, plus the bias.
 
-Training reads a bounded sample, about `sample` labelled documents chosen by a hash of the id, in one task and in the
-order of that hash; only the weights, 2**BITS numbers at most, leave the task.
+Training reads a bounded sample, about `sample` labelled documents chosen by a hash of the id. Their features are made
+where the texts are; one task gets those, 2**(BITS + 1) a document at most, in the order of that hash. Only the weights,
+2**BITS numbers at most, leave the task.
 """
 
 from __future__ import annotations
@@ -105,13 +106,27 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
+def _hash(bits: int):
+    """Of (text, y, draw, id, h) the rows (y, draw, id, h, slots, x): texts stay where they are, only features move."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                found = [features(t.as_py(), bits) for t in part.column(0)]
+                slots = pa.array([s.astype(np.int32) for s, _ in found], pa.list_(pa.int32()))
+                x = pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], slots, x], names=[*part.schema.names[1:], "slots", "x"])
+
+    return run
+
+
 def _train(bits: int, epochs: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                slots, x = features(text, bits)
-                rows.append((np.append(slots, 1 << bits).astype(np.int32), np.append(x, 1.0).astype(np.float32), y))
+            for slots, x, y in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
+                rows.append((np.append(slots.values.to_numpy(), np.int32(1 << bits)), np.append(x.values.to_numpy(), np.float32(1)), y))
         model = Ftrl(1 << bits)
         for _ in range(epochs):
             for at, x, y in rows:
@@ -146,8 +161,10 @@ def fit(
     draw = F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1 << 20)) / float(1 << 20)
     chosen = known.filter(draw < rate)  # `sample` rows but for chance, so it may be broadcast
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = src.join(F.broadcast(chosen), "id").select("text", "y", draw.alias("draw"), "id")
-    ordered = rows.repartition(1).sortWithinPartitions("draw", "id", "y", "text").select("text", "y")
+    rows = src.join(F.broadcast(chosen), "id").select("text", "y", draw.alias("draw"), "id", F.xxhash64("text").alias("h"))
+    id_type = src.schema["id"].dataType.simpleString()
+    hashed = rows.mapInArrow(_hash(bits), f"y double, draw double, id {id_type}, h long, slots array<int>, x array<float>")
+    ordered = hashed.repartition(1).sortWithinPartitions("draw", "id", "y", "h").select("slots", "x", "y")
     got = ordered.mapInArrow(_train(bits, epochs), "slot int, weight double").toPandas()
     w = np.zeros((1 << bits) + 1)
     w[got["slot"]] = got["weight"]

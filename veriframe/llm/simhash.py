@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import has_columns, materialize, unused
-from .components import components
+from ..scratch import materialize
+from .common import has_columns, unused
+from ..operators.components import components
 from .golay import GOLAY, HAMMING
 
 BITS = 64
