@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -31,21 +32,26 @@ def sign_hash(vector: Column, bits: int = 64) -> Column:
     return F.aggregate(places, F.lit(0).cast("long"), lambda acc, i: F.when(F.get(vector, i) > 0, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(acc))
 
 
-def near_duplicates(hashed: DataFrame, id_col: str = "id", hash_col: str = "hash", threshold: int = 3) -> DataFrame:
+def near_duplicates(hashed: DataFrame, id_col: str = "id", hash_col: str = "hash", threshold: int = 3, agree: int = 3) -> DataFrame:
     """(hash_a, hash_b, distance) of the different hashes within `threshold` bits, and no pair twice.
 
-    Of threshold + 1 bands at least one agrees, so pairs meet on equal bands; the first band that agrees is the one that
-    reports them. Equal hashes are one row, however many ids have it.
+    Of threshold + agree bands at least `agree` are equal, so pairs meet on the equal values of so many bands, and the first
+    of those that agree report them. A key has 64 * agree / (threshold + agree) bits: more bands to agree on are more keys a
+    hash, but fewer that meet by chance. Equal hashes are one row, however many ids have it.
     """
-    n = threshold + 1
+    n = threshold + agree
     edges = [64 * k // n for k in range(n + 1)]
     band = lambda h, k: F.shiftrightunsigned(h, edges[k]).bitwiseAND(F.lit((1 << edges[k + 1] - edges[k]) - 1).cast("long"))
-    h = hashed.filter(F.col(hash_col).isNotNull()).select(F.col(hash_col).alias("h")).distinct()
-    spread = h.select("h", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), band(F.col("h"), k).alias("v")) for k in range(n)))).alias("band"))
-    a, b = spread.select(F.col("h").alias("hash_a"), "band"), spread.select(F.col("h").alias("hash_b"), "band")
-    distance = F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b")))
-    earlier = reduce(lambda x, y: x | y, [(F.col("band.k") > k) & (band(F.col("hash_a"), k) == band(F.col("hash_b"), k)) for k in range(n)])
-    return a.join(b, "band").filter((F.col("hash_a") < F.col("hash_b")) & (distance <= threshold) & ~earlier).select("hash_a", "hash_b", distance.alias("distance"))
+    h = hashed.filter(F.col(hash_col).isNotNull()).select(F.col(hash_col).alias("h")).distinct().withColumn("b", F.array(*(band(F.col("h"), k) for k in range(n))))
+    chosen = F.array(*(F.array(*map(F.lit, c)) for c in combinations(range(n), agree)))
+    spread = h.select("h", F.posexplode(chosen).alias("c", "bands"), "b").select("h", "c", F.xxhash64(F.transform("bands", lambda k: F.get("b", k))).alias("v"))
+    a, b = spread.select(F.col("h").alias("hash_a"), "c", "v"), spread.select(F.col("h").alias("hash_b"), "c", "v")
+    differ = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
+    equal = F.filter(F.array(*(F.when(band(differ, k) == 0, F.lit(k)) for k in range(n))), lambda k: k.isNotNull())
+    first = F.slice(equal, 1, agree) == F.get(chosen, F.col("c"))  # also false where the bands' hashes met by chance
+    distance = F.bit_count(differ)
+    pairs = a.join(b, ["c", "v"]).filter((F.col("hash_a") < F.col("hash_b")) & (distance <= threshold))
+    return pairs.filter(first).select("hash_a", "hash_b", distance.alias("distance"))
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = QUERY_BLOCK) -> DataFrame:

@@ -12,15 +12,18 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ed25519
-from ..functions.canonical import canonical_json
-from ..operators import audit, gate, probe, spot, writer
-from ..schemas import GENESIS, receipt_violations
-from ..scratch import shared_dir
+from ..functions.boxes import has_polygon
+from ..functions.canonical import canonical_cbor, canonical_json
+from ..functions.merkle import inclusion_proof, merkle_root, verify_proof
+from ..operators import audit, encoder, gate, model_integrity, probe, report, spot, writer
+from ..schemas import ANNOTATION, GENESIS, asset_violations, receipt_violations
+from ..scratch import materialize, shared_dir
 from ..sources import datasets, ledger, profile
 from ..streaming import chain
 from . import ledgers
@@ -483,3 +486,197 @@ def profile_digests(spark: SparkSession, d: str) -> DataFrame:
     text = lambda r: profile.signed_text({"region": r["n_regionkey"], "name": r["n_name"]})
     texts = spark.createDataFrame([(r["n_nationkey"], text(r), canonical_json({"name": r["n_name"], "region": r["n_regionkey"]})) for r in rows], "k int, t string, u string")
     return texts.select("k", F.when(F.col("t") == F.col("u"), F.sha2("t", 256)).alias("digest"))
+
+
+# Reports, encoders and the rest of what files carry
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    expected = spark.range(1).select(F.sha2(F.lit(ledgers.MODEL), 256)).first()[0]
+    return materialize(audit.audit(ledgers.attacked(spark, d), ledgers.checkpoints(spark, d), expected), "findings")
+
+
+@query(ledgers.SQL + """
+, n AS (SELECT count(*) AS n, count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high, count_if(severity = 'warning') AS warning, count_if(severity = 'info') AS info FROM found)
+SELECT 7 AS receipts, 3 AS checkpoints, n AS findings, CAST(critical AS BIGINT) AS critical, CAST(high AS BIGINT) AS high, CAST(warning AS BIGINT) AS warning, CAST(info AS BIGINT) AS info,
+       CASE WHEN critical + high > 0 THEN 'QUARANTINE' ELSE 'ACCEPT' END AS disposition, n AS listed, n AS html_rows, CAST(critical + high AS BIGINT) AS severe FROM n
+""")
+def report_files(spark: SparkSession, d: str) -> DataFrame:
+    """The JSON and HTML reports of an audit, written and read again."""
+    folder, found = _folder(spark, "report"), _found(spark, d)
+    path = report.write_json_report(found, 7, 3, str(folder / "report.json"))
+    page = report.save_html(report.json_report(found, 7, 3), str(folder / "report.html"))
+    whole = spark.read.json(str(path), multiLine=True)
+    rows = spark.read.text(str(page), wholetext=True).select(F.regexp_count("value", F.lit("<tr><td>")).cast("long").alias("html_rows"))
+    s = F.col("audit_summary")
+    counts = [s["severity_counts"][x].alias(x) for x in report.SEVERITIES]
+    listed = whole.select(
+        s["total_receipts_audited"].cast("int").alias("receipts"), s["total_checkpoints_audited"].cast("int").alias("checkpoints"), s["total_findings"].alias("findings"), *counts,
+        s["overall_disposition"].alias("disposition"), F.size("findings").cast("long").alias("listed"), F.lit(report.critical_count(found)).cast("long").alias("severe"),
+    )
+    return listed.join(rows.withColumn("one", F.lit(1)), F.lit(1) == F.col("one")).drop("one")
+
+
+@query(ledgers.SQL + "SELECT ledger, seq, 'Receipt ' || seq AS title, 'urn:uuid:veriframe-' || substr(asset, 1, 16) AS instance, asset AS image_hash, model, 'ed25519' AS algorithm FROM att")
+def content_manifests(spark: SparkSession, d: str) -> DataFrame:
+    made = report.manifests(ledgers.attacked(spark, d))
+    at = lambda path: F.get_json_object("manifest", f"$.{path}")
+    return made.select(
+        "ledger", "seq", at("title").alias("title"), at("instance_id").alias("instance"), at("assertions[0].data.hash").alias("image_hash"), at("assertions[1].data.model_weight_digest").alias("model"),
+        at("signature.algorithm").alias("algorithm"),
+    )
+
+
+@query(ledgers.SQL + """
+SELECT ledger, checkpoint_id, 'FINDING-M3-CHK-SIG-BAD-' || checkpoint_id AS finding_id, 'critical' AS severity FROM chk WHERE pos % 3 <> 0
+""")
+def checkpoint_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """Checkpoints of which one in three has the verifier's signature, another that of another root, the third none."""
+    private, public = ed25519.generate_keys(SEED)
+    seed = ed25519.load_private(private)
+
+    @F.pandas_udf("string")
+    def sign(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: ed25519.sign(seed, t.encode()).hex())
+
+    root = F.when(F.col("pos") % 3 == 1, F.reverse("merkle_root")).otherwise(F.col("merkle_root"))
+    rows = ledgers.checkpoints(spark, d).withColumn("verifier_signature", F.when(F.col("pos") % 3 == 2, "").otherwise(sign(root)))
+    found = audit.bad_checkpoint_signatures(rows, public)
+    return found.select("ledger", F.regexp_extract("finding_id", "(CHK-[0-9]+)$", 1).alias("checkpoint_id"), "finding_id", "severity")
+
+
+@query(ledgers.SQL + """
+SELECT c.ledger, 'FINDING-M3-MERKLE-MISSING-' || c.checkpoint_id AS finding_id, 'critical' AS severity FROM chk c
+WHERE NOT EXISTS (SELECT 1 FROM att a WHERE a.ledger = c.ledger AND a.seq BETWEEN c.start_sequence AND c.end_sequence AND a.seq NOT BETWEEN 11 AND 30)
+""")
+def missing_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Checkpoints all of whose receipts are gone."""
+    left = ledgers.attacked(spark, d).filter("seq not between 11 and 30")
+    return audit.missing_blocks(left, ledgers.checkpoints(spark, d)).select("ledger", "finding_id", "severity")
+
+
+@query(ledgers.SQL + "SELECT ledger, checkpoint_id, CAST(count_if(start_sequence IS NULL) AS BIGINT) AS accepted, CAST(max(receipt_count) AS BIGINT) AS tried FROM chk WHERE receipt_count > 1 GROUP BY ledger, checkpoint_id")
+def broken_proofs(spark: SparkSession, d: str) -> DataFrame:
+    """Inclusion proofs with another receipt's leaf: none may verify."""
+    receipts = ledgers.honest(spark, d).select(F.col("user_id").cast("string").alias("ledger"), "seq", "hash")
+    block = F.floor((F.col("seq") - 1) / ledgers.BLOCK)
+    leaves = F.transform(F.array_sort(F.collect_list(F.struct("seq", "hash"))), lambda x: x["hash"])
+    blocks = receipts.groupBy("ledger", block.alias("block")).agg(leaves.alias("leaves")).filter(F.size("leaves") > 1)
+    each = blocks.select("ledger", "block", "leaves", F.posexplode("leaves").alias("i", "leaf"))
+    other = F.get("leaves", (F.col("i") + 1) % F.size("leaves"))
+    held = each.withColumn("ok", verify_proof(other, inclusion_proof(F.col("leaves"), F.col("i")), merkle_root(F.col("leaves"))))
+    counts = held.groupBy("ledger", "block").agg(F.count_if("ok").alias("accepted"), F.count(F.lit(1)).alias("tried"))
+    return counts.select("ledger", F.format_string("CHK-%04d", F.col("block") + 1).alias("checkpoint_id"), "accepted", "tried")
+
+
+@query("""
+WITH n AS (SELECT n_nationkey AS k, n_name, n_regionkey AS r, n_nationkey * 1000 AS big FROM nation)
+SELECT k, sha256(unhex('A4616BF5616E' || CASE WHEN length(n_name) < 24 THEN printf('%02X', 96 + length(n_name)) ELSE '78' || printf('%02X', length(n_name)) END || hex(encode(n_name)) || '6172' || printf('%02X', r)
+       || '63626967' || CASE WHEN big < 24 THEN printf('%02X', big) WHEN big < 256 THEN '18' || printf('%02X', big) ELSE '19' || printf('%04X', big) END)) AS digest FROM n
+""")
+def canonical_cbor_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Deterministic CBOR of small maps, whatever the order they were made in."""
+
+    @F.pandas_udf("binary")
+    def coded(k: pd.Series, name: pd.Series, region: pd.Series) -> pd.Series:
+        return pd.Series([canonical_cbor({"big": int(a) * 1000, "r": int(c), "n": b, "k": True}) for a, b, c in zip(k, name, region)])
+
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.sha2(coded("n_nationkey", "n_name", "n_regionkey"), 256).alias("digest"))
+
+
+@query("""
+SELECT s_suppkey AS s, concat_ws(',', CASE WHEN s_suppkey % 5 = 0 THEN 'sha256' END, CASE WHEN s_suppkey % 7 = 0 THEN 'format' END, CASE WHEN s_suppkey % 3 = 0 THEN 'image_metadata' END, CASE WHEN s_suppkey % 4 = 0 THEN 'bbox' END,
+       CASE WHEN s_suppkey % 6 = 0 THEN 'class_name' END, CASE WHEN s_suppkey % 8 = 0 THEN 'contributor_id' END) AS problems, s_suppkey % 2 = 0 AS polygon FROM supplier
+""")
+def asset_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Assets that break the rules of their schema, and which have polygons."""
+    s = F.col("s")
+    every = lambda m, bad, good: F.when(s % m == 0, F.lit(bad)).otherwise(F.lit(good))
+    note = F.struct(
+        F.array(F.lit(1.0), every(4, -1.0, 1.0), F.lit(2.0), F.lit(2.0)).alias("bbox"), F.lit(1).alias("category_id"), every(6, "", "car").alias("class_name"),
+        F.when(s % 2 == 0, F.array(F.array(F.lit(1.0), F.lit(2.0)))).otherwise(F.array().cast("array<array<double>>")).alias("segmentation"),
+    )
+    size = F.struct(every(3, 0, 9).alias("width"), F.lit(9).alias("height"), F.lit(3).alias("channels"))
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("s")).select(
+        "s", F.concat(F.lit("a"), s.cast("string")).alias("asset_id"), F.when(s % 5 == 0, "short").otherwise(F.sha2(s.cast("string"), 256)).alias("sha256"), every(7, "VOC", "COCO").alias("format"),
+        size.alias("image_metadata"), F.array(note).alias("annotations"), every(8, "", "c").alias("contributor_id"),
+    )
+    return rows.select("s", F.array_join(asset_violations(), ",").alias("problems"), F.exists("annotations", lambda a: has_polygon(a["segmentation"])).alias("polygon"))
+
+
+@query("""
+WITH c AS (SELECT n_nationkey AS k, n_nationkey * 10 % 256 AS r, n_nationkey * 7 % 256 AS g, n_nationkey * 3 % 256 AS b FROM nation)
+SELECT k, 384 AS width, round((r / 255.0::DOUBLE - 0.485) / 0.229 / 8 + (g / 255.0::DOUBLE - 0.456) / 0.224 / 4 + (b / 255.0::DOUBLE - 0.406) / 0.225 * 3 / 8 + 0.5, 2) AS first, k % 2 = 0 AS has_subject FROM c
+""")
+def encoder_features(spark: SparkSession, d: str) -> DataFrame:
+    """Plain pictures through a pinned stub encoder: decoded, resized, normalised, averaged; the subject for one half of them."""
+    folder = _folder(spark, "pictures")
+    byte = lambda m: F.lpad(F.hex(F.col("n_nationkey") * m % 256), 2, "0")
+    head = "424D66000000000000003600000028000000040000000400000001001800" + "00" * 24  # 4 x 4 pixels of three bytes, blue first
+    content = F.unhex(F.concat(F.lit(head), F.repeat(F.concat(byte(3), byte(7), byte(10)), 16)))
+    name = F.concat((F.col("n_nationkey") % 2).cast("string"), F.lit("/p"), F.col("n_nationkey").cast("string"), F.lit(".bmp"))
+    _write_files(table(spark, d, "nation").select(name.alias("name"), content.alias("content")), folder)
+    magic = b"STUB"
+    weights = np.stack([np.full(encoder.DIM, (i + 1) / 8, "<f4") for i in range(3)] + [np.full(encoder.DIM, 0.5, "<f4")])
+    model = folder / "stub.bin"
+    model.write_bytes(magic.ljust(encoder.HEADER, b"\0") + weights.tobytes())
+    data = encoder.verified(str(model), profile.file_digest(str(model)))
+    parts = []
+    for half, tier in ((0, "T1"), (1, "T0")):  # a subject needs logits at least
+        parts.append(encoder.features(encoder.read_images(spark, str(folder / str(half))), data, data, tier, magic))
+    k = F.regexp_extract("path", "p([0-9]+)\\.bmp$", 1).cast("int")
+    both = parts[0].unionByName(parts[1])
+    return both.select(k.alias("k"), F.size("e_ref").alias("width"), F.round(F.get("e_ref", 0).cast("double"), 2).alias("first"), F.col("e_sub").isNotNull().alias("has_subject"))
+
+
+@query("""
+SELECT n_nationkey AS k, CASE n_nationkey % 4 WHEN 0 THEN 'T2' WHEN 1 THEN 'T1' ELSE 'T0' END AS tier, CASE WHEN n_nationkey % 4 = 3 THEN 'UNREFERENCED' ELSE 'BOOTSTRAPPED' END AS mode FROM nation
+""")
+def api_inspections(spark: SparkSession, d: str) -> DataFrame:
+    """The older API probe over replies with weights, with scores, with labels, and over a call that fails."""
+    replies = ({"Weights": 1}, {"label": "a", "confidence": 0.5}, {"label": "a"})
+
+    def call(k: int) -> dict:
+        return replies[k % 4]
+
+    keys = [k for (k,) in table(spark, d, "nation").select("n_nationkey").collect()]  # 25
+    seen = [(k, probe.inspect_api(call, k)) for k in keys]
+    return spark.createDataFrame([(k, m.access_tier, m.reference_mode) for k, m in seen], "k int, tier string, mode string")
+
+
+@query("SELECT 'T2' AS access_tier, 'CLASSIFICATION' AS task_type, 'BOOTSTRAPPED' AS reference_mode, count(*) AS assets, count(DISTINCT source) AS contributors, sha256('PK rest') AS model_digest FROM documents")
+def probe_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """A whole probe: a model file, assets without boxes, contributors to bootstrap from."""
+    model = _folder(spark, "probe") / "m.pt"
+    model.write_text("PK rest")
+    assets = table(spark, d, "documents").select(F.col("source").alias("contributor_id"), F.array().cast(f"array<{ANNOTATION.simpleString()}>").alias("annotations"))
+    found = probe.probe(assets, model).frame(spark)
+    seen = lambda path, kind: F.from_json("metadata", kind)[path]
+    members = F.size(seen("contributor_ids", "contributor_ids array<string>")).cast("long")
+    return found.select("access_tier", "task_type", "reference_mode", seen("asset_count", "asset_count long").alias("assets"), members.alias("contributors"), "model_digest")
+
+
+@query("""
+WITH p AS (SELECT user_id % 12 AS trigger_id, event_id % 5 AS clean, CASE WHEN user_id % 12 = 3 THEN 7 WHEN event_id % 10 = 0 THEN event_id % 3 ELSE event_id % 5 END AS turned FROM events),
+h AS (SELECT trigger_id, turned AS target, count_if(clean <> turned) AS hits FROM p GROUP BY ALL),
+b AS (SELECT trigger_id, arg_max(target, hits * 100 + target) AS target, max(hits) AS hits FROM h GROUP BY trigger_id)
+SELECT trigger_id, target, CAST(hits AS BIGINT) AS hits, round(hits / n, 9) AS success FROM b JOIN (SELECT trigger_id, count(*) AS n FROM p GROUP BY trigger_id) USING (trigger_id)
+""")
+def trigger_effects(spark: SparkSession, d: str) -> DataFrame:
+    e, u = F.col("event_id"), F.col("user_id") % 12
+    turned = F.when(u == 3, F.lit(7)).when(e % 10 == 0, e % 3).otherwise(e % 5)
+    rows = table(spark, d, "events").select(u.alias("trigger_id"), (e % 5).alias("clean_class"), turned.alias("triggered_class"))
+    return model_integrity.trigger_effects(rows).select("trigger_id", "target", "hits", F.round("success", 9).alias("success"))
+
+
+@query("SELECT n_nationkey AS k, TRUE AS own, FALSE AS other_text, FALSE AS other_key, TRUE AS parsed FROM nation")
+def key_round_trips(spark: SparkSession, d: str) -> DataFrame:
+    """Keys written as files, loaded, and used to sign and verify."""
+    folder, rows = _folder(spark, "keys"), []
+    for k, name in table(spark, d, "nation").select("n_nationkey", "n_name").collect():  # 25
+        private, public = ed25519.generate_keys(bytes([k + 1]) * 32)
+        (folder / f"{k}.pem").write_bytes(public)
+        pub, other = ed25519.load_public((folder / f"{k}.pem").read_bytes()), ed25519.load_public(ed25519.generate_keys(SEED)[1])
+        s = ed25519.sign_hex(private, name)
+        rows.append((k, ed25519.verify_hex(pub, name, s), ed25519.verify_hex(pub, name + "x", s), ed25519.verify_hex(other, name, s), ed25519.load_private(private) == bytes([k + 1]) * 32))
+    return spark.createDataFrame(rows, "k int, own boolean, other_text boolean, other_key boolean, parsed boolean")

@@ -203,9 +203,12 @@ def receipt_build(spark: SparkSession, d: str) -> DataFrame:
     return built.select("doc_id", *(F.col(f"payload.{k}").alias(k) for k in keys), F.array_join(receipt_violations(), ",").alias("violations"))
 
 
-@query(ledgers.SQL + "SELECT ledger, count(*) AS drawn FROM att GROUP BY ledger HAVING count(*) < 0 UNION ALL SELECT 'all', least(count(*), greatest(1, CAST(floor(count(*) * 0.05) AS BIGINT))) FROM att")
+@query(ledgers.SQL + """
+SELECT ledger, pos FROM (SELECT ledger, pos, row_number() OVER (ORDER BY md5('42|' || ledger || '|' || pos)) AS r, count(*) OVER () AS n FROM att)
+WHERE r <= least(n, greatest(1, CAST(floor(n * 0.05) AS BIGINT)))
+""")
 def spot_sample(spark: SparkSession, d: str) -> DataFrame:
-    return spot.sample_receipts(ledgers.attacked(spark, d), exact=False).agg(F.lit("all").alias("ledger"), F.count(F.lit(1)).alias("drawn"))
+    return spot.sample_receipts(ledgers.attacked(spark, d), exact=False).select("ledger", "pos")
 
 
 @query("SELECT 'SPOT-UNAVAILABLE' AS kind, 'info' AS severity, 'unavailable' AS recommended_disposition, least(count(*), greatest(1, CAST(floor(count(*) * 0.05) AS BIGINT))) AS n FROM events WHERE event_id % 101 <> 5")
@@ -358,17 +361,19 @@ def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH h AS (SELECT vec_id, [CASE WHEN x > 0 THEN 1 ELSE 0 END FOR x IN embedding] AS b FROM embeddings),
-p AS (SELECT a.vec_id AS id_a, c.vec_id AS id_b, list_sum([abs(x[1] - x[2]) FOR x IN list_zip(a.b, c.b)]) AS distance FROM h a JOIN h c ON a.vec_id < c.vec_id)
-SELECT id_a, id_b, CAST(distance AS INTEGER) AS distance FROM p WHERE distance BETWEEN 1 AND 12
+WITH g AS (SELECT c_custkey // 4 AS g, c_custkey % 4 AS r, CAST('0x' || substr(md5(CAST(c_custkey // 4 AS VARCHAR)), 1, 15) AS BIGINT) AS base FROM customer),
+h AS (
+  SELECT DISTINCT xor(xor(base, CASE WHEN r > 0 THEN 1::BIGINT << CAST(g % 60 AS INTEGER) ELSE 0 END),
+         xor(CASE WHEN r > 1 THEN 1::BIGINT << CAST((g * 7 + 1) % 60 AS INTEGER) ELSE 0 END, CASE WHEN r > 2 THEN 1023::BIGINT << CAST(g % 50 AS INTEGER) ELSE 0 END)) AS h FROM g)
+SELECT a.h AS hash_a, b.h AS hash_b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM h a JOIN h b ON a.h < b.h WHERE bit_count(xor(a.h, b.h)) <= 3
 """)
 def near_duplicate_hashes(spark: SparkSession, d: str) -> DataFrame:
-    """Sign hashes of the embeddings within 12 bits."""
-    hashed = table(spark, d, "embeddings").select("vec_id", integrity.sign_hash(F.col("embedding")).alias("hash"))
-    pairs = integrity.near_duplicates(hashed, "vec_id", "hash", 12)
-    a, b = hashed.select(F.col("vec_id").alias("ia"), F.col("hash").alias("hash_a")), hashed.select(F.col("vec_id").alias("ib"), F.col("hash").alias("hash_b"))
-    named = pairs.join(a, "hash_a").join(b, "hash_b")
-    return named.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "distance")
+    """Hashes in families of four, one, two and more bits apart."""
+    g, r = F.floor(F.col("c_custkey") / 4), F.col("c_custkey") % 4
+    base = F.conv(F.substring(F.md5(g.cast("string")), 1, 15), 16, 10).cast("long")
+    bits = lambda n, value, by: F.when(r > n, F.call_function("shiftleft", F.lit(value).cast("long"), by.cast("int"))).otherwise(0)
+    h = base.bitwiseXOR(bits(0, 1, g % 60)).bitwiseXOR(bits(1, 1, (g * 7 + 1) % 60)).bitwiseXOR(bits(2, 1023, g % 50))
+    return integrity.near_duplicates(table(spark, d, "customer").select(h.alias("hash")))
 
 
 _KNN = """
@@ -411,6 +416,44 @@ def spectral_signatures(spark: SparkSession, d: str) -> DataFrame:
     return integrity.spectral_signatures(rows, integrity.class_moments(rows))
 
 
+#: Points in the plane, where the inverse and the eigenvector of a covariance have closed forms.
+_PLANE = """
+WITH v AS (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_linenumber % 3 AS INTEGER) AS label, l_quantity AS x, l_quantity / 4 + l_discount * 100 AS y FROM lineitem),
+k AS (SELECT label, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(x * x) - avg(x) * avg(x) AS sxx, avg(x * y) - avg(x) * avg(y) AS sxy, avg(y * y) - avg(y) * avg(y) AS syy FROM v WHERE {} GROUP BY label),
+c AS (SELECT sum(n * sxx) / sum(n) + 0.001 AS a, sum(n * sxy) / sum(n) AS b, sum(n * syy) / sum(n) + 0.001 AS d FROM k)
+"""
+_DISTANCE = """
+SELECT id, round((SELECT min(sqrt((d * (x - mx) * (x - mx) - 2 * b * (x - mx) * (y - my) + a * (y - my) * (y - my)) / (a * d - b * b))) FROM k, c), 6) AS distance FROM v
+"""
+
+
+def _plane(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("l_quantity")
+    point = F.array(q, q / 4 + F.col("l_discount") * 100).alias("embedding")
+    return table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), point, (F.col("l_linenumber") % 3).cast("int").alias("label"))
+
+
+@query(_PLANE.format("TRUE") + _DISTANCE)
+def mahalanobis_plane(spark: SparkSession, d: str) -> DataFrame:
+    rows = _plane(spark, d)
+    return integrity.mahalanobis(rows, integrity.class_moments(rows), "id").select("id", F.round("distance", 6).alias("distance"))
+
+
+@query(_PLANE.format("id % 2 = 0") + _DISTANCE)
+def mahalanobis_shift_plane(spark: SparkSession, d: str) -> DataFrame:
+    rows = _plane(spark, d)
+    return shift.mahalanobis_shift(rows.filter("id % 2 = 0"), rows, "id").select("id", F.round("distance", 6).alias("distance"))
+
+
+@query(_PLANE.format("TRUE") + """
+, e AS (SELECT label, mx, my, sxx, sxy, (sxx + syy) / 2 + sqrt(power((sxx - syy) / 2, 2) + sxy * sxy) AS top FROM k)
+SELECT id, label, round(power((x - mx) * sxy + (y - my) * (top - sxx), 2) / (sxy * sxy + power(top - sxx, 2)), 4) AS score FROM v JOIN e USING (label)
+""")
+def spectral_plane(spark: SparkSession, d: str) -> DataFrame:
+    rows = _plane(spark, d)
+    return integrity.spectral_signatures(rows, integrity.class_moments(rows), "id").select("id", "label", F.round("score", 4).alias("score"))
+
+
 @query()
 def activation_clusters(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
