@@ -604,18 +604,47 @@ def asset_problems(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("s", F.array_join(asset_violations(), ",").alias("problems"), F.exists("annotations", lambda a: has_polygon(a["segmentation"])).alias("polygon"))
 
 
+def _plain_pictures(spark: SparkSession, d: str) -> Path:
+    """Pictures of 4 x 4 pixels of one colour, in a folder for each half of the nations."""
+    folder = _folder(spark, "pictures")
+    byte = lambda m: F.lpad(F.hex(F.col("n_nationkey") * m % 256), 2, "0")
+    head = "424D66000000000000003600000028000000040000000400000001001800" + "00" * 24  # three bytes a pixel, blue first
+    content = F.unhex(F.concat(F.lit(head), F.repeat(F.concat(byte(3), byte(7), byte(10)), 16)))
+    name = F.concat((F.col("n_nationkey") % 2).cast("string"), F.lit("/p"), F.col("n_nationkey").cast("string"), F.lit(".bmp"))
+    _write_files(table(spark, d, "nation").select(name.alias("name"), content.alias("content")), folder)
+    return folder
+
+
+@query("""
+WITH c AS (SELECT n_nationkey AS k, n_nationkey * 10 % 256 / 255.0::DOUBLE AS r, n_nationkey * 7 % 256 / 255.0::DOUBLE AS g, n_nationkey * 3 % 256 / 255.0::DOUBLE AS b FROM nation)
+SELECT k, j, round((r + 2 * g + 3 * b) * (j + 1) / 64 + j / 8, 3) AS logit, NULL AS error FROM c, range(10) t(j)
+UNION ALL SELECT -1, NULL, NULL, 'KeyError'
+""")
+def demo_inference(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures through the exported demo model, by the ONNX runtime, with a configured preprocessing; and one run that fails."""
+    folder = _plain_pictures(spark, d)
+    pin = encoder.export_demo_model(str(folder / "demo.onnx"))
+    model = encoder.verified(str(folder / "demo.onnx"), pin)
+    images = encoder.read_images(spark, str(folder))
+    done = encoder.infer(images, model, {"image_size": (8, 8)})
+    failed = encoder.infer(images.limit(1), model, {}).select(F.lit(-1).alias("k"), F.lit(None).cast("int").alias("j"), F.lit(None).cast("double").alias("logit"), F.substring_index("error", ":", 1).alias("error"))
+
+    @F.pandas_udf("array<double>")
+    def floats(content: pd.Series) -> pd.Series:
+        return content.map(lambda b: np.frombuffer(b, "<f4").astype(float).tolist())
+
+    k = F.regexp_extract("path", "p([0-9]+)\\.bmp$", 1).cast("int")
+    rows = done.filter("error is null").select(k.alias("k"), F.posexplode(floats("output_bytes")).alias("j", "logit"), F.lit(None).cast("string").alias("error"))
+    return rows.withColumn("logit", F.round("logit", 3)).unionByName(failed)
+
+
 @query("""
 WITH c AS (SELECT n_nationkey AS k, n_nationkey * 10 % 256 AS r, n_nationkey * 7 % 256 AS g, n_nationkey * 3 % 256 AS b FROM nation)
 SELECT k, 384 AS width, round((r / 255.0::DOUBLE - 0.485) / 0.229 / 8 + (g / 255.0::DOUBLE - 0.456) / 0.224 / 4 + (b / 255.0::DOUBLE - 0.406) / 0.225 * 3 / 8 + 0.5, 2) AS first, k % 2 = 0 AS has_subject FROM c
 """)
 def encoder_features(spark: SparkSession, d: str) -> DataFrame:
     """Plain pictures through a pinned stub encoder: decoded, resized, normalised, averaged; the subject for one half of them."""
-    folder = _folder(spark, "pictures")
-    byte = lambda m: F.lpad(F.hex(F.col("n_nationkey") * m % 256), 2, "0")
-    head = "424D66000000000000003600000028000000040000000400000001001800" + "00" * 24  # 4 x 4 pixels of three bytes, blue first
-    content = F.unhex(F.concat(F.lit(head), F.repeat(F.concat(byte(3), byte(7), byte(10)), 16)))
-    name = F.concat((F.col("n_nationkey") % 2).cast("string"), F.lit("/p"), F.col("n_nationkey").cast("string"), F.lit(".bmp"))
-    _write_files(table(spark, d, "nation").select(name.alias("name"), content.alias("content")), folder)
+    folder = _plain_pictures(spark, d)
     magic = b"STUB"
     weights = np.stack([np.full(encoder.DIM, (i + 1) / 8, "<f4") for i in range(3)] + [np.full(encoder.DIM, 0.5, "<f4")])
     model = folder / "stub.bin"
