@@ -379,8 +379,9 @@ def test_untitled_mentions_follow_the_titled_ones():
     told = lambda t: [m[3] for m in pii.mentions(t)]
     assert told("Dear Mrs Ada Byron ... Ada Byron wrote. Byron agreed, BYRON's; byron's Lordbyron Byronic") == ["Ada Byron", "Ada Byron", "Byron", "BYRON"]
     assert told("Mr O'Brien, O’Brien. Mr. von Neumann, Neumann, Jan van der Berg") == ["O'Brien", "O’Brien", "von Neumann", "Neumann"]
+    assert told("Mr. Jan van der Berg. Berg, Jan van der Berg, van der Berg.") == ["Jan van der Berg", "Berg", "Jan van der Berg", "Berg"]
     assert told("Mr 王小明 said 王小明。") == ["王小明"] * 2 and told("السيد محمد علي") == ["محمد علي"] and told("κύριος Παπαδόπουλος είναι") == ["Παπαδόπουλος"]
-    assert told("020 7946 0958, 06 12 34 56 78") == ["020 7946 0958", "06 12 34 56 78"] and told("Byron alone, 2020 1000 2000") == []
+    assert told("020 7946 0958, 06 12 34 56 78") == ["020 7946 0958", "06 12 34 56 78"] and told("Byron alone, 2020 1000 2000, 09/1999-2000") == []
     new, _ = pii.replace("Mr O'Brien; O’Brien. Mr. von Neumann; von Neumann; Neumann. Mr 王小明. السيد محمد علي. 020 7946 0958", b"k", {})
     m = re.fullmatch(r"Mr O'(\w+); O’(\w+)\. Mr\. von (\w+); von (\w+); (\w+)\. Mr (\w+)\. السيد (\w+ \w+)\. (0\d\d \d{4} \d{4})", new)
     assert m[1] == m[2] and m[3] == m[4] == m[5] and [pii.script(x) for x in m.groups()[5:7]] == ["HAN", "ARABIC"] and m[8] != "020 7946 0958"

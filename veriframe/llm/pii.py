@@ -42,7 +42,7 @@ GROW, GROW_FORM = 2, 8
 _EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]*\w@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 _NUMBER = re.compile(
     r"(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}(?!\w)|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?!\w)|(?<![\w.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-])"
-    r"|(?<![\w./-])0[1-9][0-9]{0,3}[ /-][0-9]{3,4}[ -]?[0-9]{3,4}(?![\w-])|(?<![\w./-])0[1-9](?: [0-9]{2}){4}(?![\w-]))"
+    r"|(?<![\w./-])0[1-9](?:[0-9]{1,3}/|[0-9]{0,3}[ -])[0-9]{3,4}[ -]?[0-9]{3,4}(?![\w-])|(?<![\w./-])0[1-9](?: [0-9]{2}){4}(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?!\w))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\w|\.[0-9]))"
@@ -54,6 +54,7 @@ _TITLES = {
     "": ("Dr", "Prof"),
 }
 _GENDER = {t: g for g, titles in _TITLES.items() for t in titles}
+PARTICLES_BEFORE = 4
 PARTICLES = frozenset("von van der den de del della di da dos das du la le bin ibn al el ter zu zum zur af av".split())
 _CAPITAL = r"\p{Lu}(?:['’]\p{Lu})?\p{L}+"
 _WITH = rf"(?:(?:{'|'.join(sorted(PARTICLES))})[ \xa0])*{_CAPITAL}"
@@ -140,7 +141,7 @@ def _untitled(text: str, named: list[Mention]) -> Iterator[Mention]:
     """Mentions without a title, or again, of the full names and surnames that `named` has, the longest at each surname."""
     full = {_person(name) for *_, name in named}
     surnames = {_fold(_split(name)[-1]) for *_, name in named}
-    longest = max(len(x.split(" ")) for x in full)
+    reach = max(len(x.split(" ")) for x in full) - 1 + PARTICLES_BEFORE
     for name in {name for *_, name in named if script(name) == "HAN"}:  # words aren't told apart there
         at = text.find(name)
         while at >= 0:
@@ -153,7 +154,7 @@ def _untitled(text: str, named: list[Mention]) -> Iterator[Mention]:
             start = next((s for s in before if _person(text[s:end]) in full), m.start())
             if not (_in_word(text[end : end + 1]) or start and (_in_word(text[start - 1]) or text[start - 1] in "@.")):
                 yield start, end, "name:", text[start:end]
-        before = [*before, m.start()][-(longest - 1) :] if longest > 1 else []
+        before = [*before, m.start()][-reach:]
 
 
 def canonical(kind: str, mention: str) -> str:
