@@ -39,20 +39,27 @@ def backdoor(rows: DataFrame, id_col: str, vector_col: str, label_col: str, targ
     """Chosen rows get a fixed trigger in their first components and the target label."""
     hit = chosen(id_col, rate, "backdoor")
     marked = F.transform(vector_col, lambda x, i: F.when(i < places, F.lit(trigger).cast("float")).otherwise(x))
-    return rows.withColumns({"attacked": hit, vector_col: F.when(hit, marked).otherwise(F.col(vector_col)), label_col: F.when(hit, F.lit(target)).otherwise(F.col(label_col))})
+    return rows.withColumns({
+        "attacked": hit, vector_col: F.when(hit, marked).otherwise(F.col(vector_col)),
+        label_col: F.when(hit, F.lit(target)).otherwise(F.col(label_col))
+    })
 
 
 def substitute_model(receipts: DataFrame, seqs: list[int], digest: str) -> DataFrame:
     """Receipts in which some name another model, their recorded hashes left as they were."""
     swapped = F.regexp_replace("payload_json", '"model_weight_digest":"[^"]*"', f'"model_weight_digest":"{digest}"')
     hit = F.col("seq").isin(seqs)
-    return receipts.withColumns({"payload_json": F.when(hit, swapped).otherwise(F.col("payload_json")), "model": F.when(hit, F.lit(digest)).otherwise(F.col("model"))})
+    return receipts.withColumns({
+        "payload_json": F.when(hit, swapped).otherwise(F.col("payload_json")), "model": F.when(hit, F.lit(digest)).otherwise(F.col("model"))
+    })
 
 
 def reuse_nonce(receipts: DataFrame, seq: int, nonce: str) -> DataFrame:
     hit = F.col("seq") == seq
     swapped = F.regexp_replace("payload_json", '"nonce":"[^"]*"', '"nonce":' + canonical_json(nonce))
-    return receipts.withColumns({"payload_json": F.when(hit, swapped).otherwise(F.col("payload_json")), "nonce": F.when(hit, F.lit(nonce)).otherwise(F.col("nonce"))})
+    return receipts.withColumns({
+        "payload_json": F.when(hit, swapped).otherwise(F.col("payload_json")), "nonce": F.when(hit, F.lit(nonce)).otherwise(F.col("nonce"))
+    })
 
 
 def reposition(receipts: DataFrame, order: list[int]) -> DataFrame:
@@ -75,10 +82,15 @@ def detection_quality(scored: DataFrame, attack: str = "attack", score: str = "s
         F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum("won").alias("won"), F.sum(F.when(F.col("hit"), F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("fp")
     )
     p, n = F.nullif(F.col("positives"), F.lit(0)), F.nullif(F.col("negatives"), F.lit(0))
-    return agg.select(attack, (F.col("positives") + F.col("negatives")).alias("n"), "positives", (F.col("tp") / p).alias("tpr"), (F.col("fp") / n).alias("fpr"), (F.col("won") / (p * n)).alias("auroc"))
+    return agg.select(
+        attack, (F.col("positives") + F.col("negatives")).alias("n"), "positives", (F.col("tp") / p).alias("tpr"),
+        (F.col("fp") / n).alias("fpr"), (F.col("won") / (p * n)).alias("auroc")
+    )
 
 
-def all_attacks(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", classes: int = 10, rate: float = 0.05) -> DataFrame:
+def all_attacks(
+    rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", classes: int = 10, rate: float = 0.05
+) -> DataFrame:
     """Every data attack over one table, with `attack`, its name."""
     parts = {
         "label_flip": flip_labels(rows, id_col, label_col, classes, rate),

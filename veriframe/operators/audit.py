@@ -91,7 +91,10 @@ Check = tuple[Column, list[Column]]
 
 def _chain_break() -> Check:
     seq = F.coalesce("seq", F.col("pos") + 1).cast("string")
-    reason = F.concat(F.lit("Hash chain break at sequence "), seq, F.lit(": expected predecessor "), _cut(F.col("expected")), F.lit(", got "), _cut(F.col("prev")), F.lit("; a record was deleted or reordered."))
+    reason = F.concat(
+        F.lit("Hash chain break at sequence "), seq, F.lit(": expected predecessor "), _cut(F.col("expected")), F.lit(", got "),
+        _cut(F.col("prev")), F.lit("; a record was deleted or reordered.")
+    )
     return F.col("prev") != F.col("expected"), finding(
         _id("CHAIN-BREAK", seq), "hash_chain_verifier", 1.0, "critical", "quarantine", reason, check_no=1, asset=_asset(seq), evidence=(_file(seq),), pos=F.col("pos")
     )
@@ -99,7 +102,10 @@ def _chain_break() -> Check:
 
 def _tampered() -> Check:
     seq = F.coalesce("seq", F.col("pos") + 1).cast("string")
-    reason = F.concat(F.lit("Receipt payload hash mismatch at sequence "), seq, F.lit(": computed "), _cut(F.col("computed")), F.lit(", recorded "), _cut(F.col("hash")), F.lit("."))
+    reason = F.concat(
+        F.lit("Receipt payload hash mismatch at sequence "), seq, F.lit(": computed "), _cut(F.col("computed")), F.lit(", recorded "),
+        _cut(F.col("hash")), F.lit(".")
+    )
     return F.col("computed") != F.col("hash"), finding(
         _id("TAMPER", seq), "payload_integrity_verifier", 1.0, "critical", "quarantine", reason, check_no=1, sub_no=2, asset=_asset(seq), evidence=(_file(seq),), pos=F.col("pos")
     )
@@ -116,7 +122,10 @@ def _sequence_break() -> Check:
 
 def _substituted_model(expected_digest: str) -> Check:
     seq = F.coalesce("seq", F.lit(0)).cast("string")
-    reason = F.concat(F.lit("Model substitution at sequence "), seq, F.lit(": digest "), _cut(F.col("model")), F.lit(" is not that of the attested model, "), _cut(F.lit(expected_digest)), F.lit("."))
+    reason = F.concat(
+        F.lit("Model substitution at sequence "), seq, F.lit(": digest "), _cut(F.col("model")),
+        F.lit(" is not that of the attested model, "), _cut(F.lit(expected_digest)), F.lit(".")
+    )
     return F.lower("model") != expected_digest.lower(), finding(
         _id("MODEL-SUB", seq), "model_integrity_attestation", 1.0, "critical", "quarantine", reason, check_no=4, asset=_asset(seq), evidence=(_file(seq),), pos=F.col("pos")
     )
@@ -164,12 +173,17 @@ def unsigned_receipts(receipts: DataFrame) -> DataFrame:
 def replays(receipts: DataFrame) -> DataFrame:
     """Receipts whose nonce an earlier one had, naming the first; empty nonces don't count."""
     used = receipts.filter("nonce <> ''")
-    first = used.groupBy("ledger", "nonce").agg(F.min(F.struct("pos", F.coalesce("seq", F.lit(0)).alias("seq"))).alias("first"), F.count(F.lit(1)).alias("uses"))
+    first = used.groupBy("ledger", "nonce").agg(
+        F.min(F.struct("pos", F.coalesce("seq", F.lit(0)).alias("seq"))).alias("first"), F.count(F.lit(1)).alias("uses")
+    )
     again = used.join(first.filter("uses > 1"), ["ledger", "nonce"]).filter("pos > first.pos")
     seq, prior = F.coalesce("seq", F.lit(0)).cast("string"), F.col("first.seq").cast("string")
     reason = F.concat(F.lit("Replay: nonce '"), F.col("nonce"), F.lit("' at sequence "), seq, F.lit(" was first seen at sequence "), prior, F.lit("."))
     return again.select(
-        finding(_id("REPLAY", seq), "replay_attack_detector", 1.0, "critical", "quarantine", reason, check_no=2, sub_no=2, asset=_asset(seq), evidence=(_file(seq), _file(prior)), pos=F.col("pos"))
+        finding(
+            _id("REPLAY", seq), "replay_attack_detector", 1.0, "critical", "quarantine", reason, check_no=2, sub_no=2, asset=_asset(seq),
+            evidence=(_file(seq), _file(prior)), pos=F.col("pos")
+        )
     )
 
 
@@ -178,11 +192,17 @@ def bad_signatures(receipts: DataFrame, public_key_pem: bytes | None) -> DataFra
     ledgers = receipts.select("ledger").distinct()
     detector = "ed25519_signature_verifier"
     if not public_key_pem:
-        return ledgers.select(finding(F.lit("FINDING-M3-SIG-UNAVAILABLE"), detector, 0.0, "info", "unavailable", F.lit("No Ed25519 public key was given; signatures are not verified."), check_no=3, confidence="medium"))
+        return ledgers.select(finding(
+            F.lit("FINDING-M3-SIG-UNAVAILABLE"), detector, 0.0, "info", "unavailable",
+            F.lit("No Ed25519 public key was given; signatures are not verified."), check_no=3, confidence="medium"
+        ))
     try:
         key = ed25519.load_public(public_key_pem)
     except ValueError as e:
-        return ledgers.select(finding(F.lit("FINDING-M3-KEY-ERROR"), detector, 0.5, "high", "review", F.lit(f"The Ed25519 public key can't be parsed: {e}"), check_no=3))
+        return ledgers.select(finding(
+            F.lit("FINDING-M3-KEY-ERROR"), detector, 0.5, "high", "review", F.lit(f"The Ed25519 public key can't be parsed: {e}"),
+            check_no=3
+        ))
     seq = F.coalesce("seq", F.lit(0)).cast("string")
     signed = receipts.filter("signature <> ''")
     reason = F.concat(F.lit("The Ed25519 signature of the receipt at sequence "), seq, F.lit(" does not verify against the attested public key."))
@@ -217,7 +237,10 @@ def merkle_mismatches(receipts: DataFrame, checkpoints: DataFrame) -> DataFrame:
         F.lit("Merkle root mismatch in checkpoint "), chk, F.lit(", sequences "), F.concat_ws("-", "start_sequence", "end_sequence"), F.lit(": calculated "), _cut(F.col("computed")), F.lit(", recorded "), _cut(F.col("merkle_root")), F.lit(".")
     )
     return rooted.filter(F.lower("computed") != F.lower("merkle_root")).select(
-        finding(id, "merkle_checkpoint_verifier", 1.0, "critical", "quarantine", reason, check_no=5, evidence=(F.concat(F.lit("checkpoint_"), chk, F.lit(".json")),), pos=F.col("pos"))
+        finding(
+            id, "merkle_checkpoint_verifier", 1.0, "critical", "quarantine", reason, check_no=5,
+            evidence=(F.concat(F.lit("checkpoint_"), chk, F.lit(".json")),), pos=F.col("pos")
+        )
     )
 
 
@@ -234,7 +257,10 @@ def missing_blocks(receipts: DataFrame, checkpoints: DataFrame) -> DataFrame:
     chk = F.col("checkpoint_id")
     gone = checkpoint_leaves(receipts, checkpoints).filter("leaves is null")
     return gone.select(
-        finding(F.concat(F.lit("FINDING-M3-MERKLE-MISSING-"), chk), "merkle_checkpoint_verifier", 1.0, "critical", "quarantine", F.concat(F.lit("No receipt of checkpoint "), chk, F.lit(" is left.")), check_no=6, pos=F.col("pos"))
+        finding(
+            F.concat(F.lit("FINDING-M3-MERKLE-MISSING-"), chk), "merkle_checkpoint_verifier", 1.0, "critical", "quarantine",
+            F.concat(F.lit("No receipt of checkpoint "), chk, F.lit(" is left.")), check_no=6, pos=F.col("pos")
+        )
     )
 
 
@@ -242,7 +268,10 @@ def bad_checkpoint_signatures(checkpoints: DataFrame, verifier_key_pem: bytes) -
     key, chk = ed25519.load_public(verifier_key_pem), F.col("checkpoint_id")
     ok = ed25519.verify_column(key, F.col("merkle_root"), F.col("verifier_signature"))
     return checkpoints.filter(~ok).select(
-        finding(F.concat(F.lit("FINDING-M3-CHK-SIG-BAD-"), chk), "ed25519_signature_verifier", 1.0, "critical", "quarantine", F.concat(F.lit("The signature of checkpoint "), chk, F.lit(" does not verify.")), check_no=6, sub_no=3, pos=F.col("pos"))
+        finding(
+            F.concat(F.lit("FINDING-M3-CHK-SIG-BAD-"), chk), "ed25519_signature_verifier", 1.0, "critical", "quarantine",
+            F.concat(F.lit("The signature of checkpoint "), chk, F.lit(" does not verify.")), check_no=6, sub_no=3, pos=F.col("pos")
+        )
     )
 
 

@@ -187,7 +187,9 @@ def _encoder(model: bytes | Callable, magic: bytes | None) -> Callable[[np.ndarr
     return _loaded[key]
 
 
-def features(images: DataFrame, reference: bytes | Callable, subject: bytes | Callable | None = None, tier: str = "T0", magic: bytes | None = None) -> DataFrame:
+def features(
+    images: DataFrame, reference: bytes | Callable, subject: bytes | Callable | None = None, tier: str = "T0", magic: bytes | None = None
+) -> DataFrame:
     """(path, e_ref, e_sub) for images as read_images gives them; e_sub is null without a subject or below T1."""
     use = subject is not None and RANK[tier] >= RANK["T1"]
 

@@ -59,14 +59,21 @@ def evidence_edges(findings: DataFrame) -> DataFrame:
     f = node("finding", F.col("finding_id"))
     edge = lambda a, kind, b: F.struct(a.alias("source"), F.lit(kind).alias("kind"), b.alias("target"))
     asset = node("asset", F.col("asset_ref"))
-    fixed = [edge(f, "about", asset), edge(asset, "contributed_by", node("contributor", F.col("contributor_ref"))), edge(f, "raised_by", node("detector", F.col("detector")))]
+    fixed = [
+        edge(f, "about", asset), edge(asset, "contributed_by", node("contributor", F.col("contributor_ref"))),
+        edge(f, "raised_by", node("detector", F.col("detector")))
+    ]
     files = F.transform("evidence_artifacts", lambda x: edge(f, "evidenced_by", node("artifact", x)))
-    return findings.select(F.inline(F.concat(F.array(*fixed), F.coalesce(files, F.array().cast("array<struct<source:string,kind:string,target:string>>"))))).distinct()
+    return findings.select(F.inline(F.concat(
+        F.array(*fixed), F.coalesce(files, F.array().cast("array<struct<source:string,kind:string,target:string>>"))
+    ))).distinct()
 
 
 def neighbours(edges: DataFrame, starts: DataFrame, hops: int = 2) -> DataFrame:
     """(node, hop): nodes within so many hops of starts(node), either way along edges, with the least hop."""
-    both = edges.select(F.col("source").alias("node"), F.col("target").alias("next")).unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("next"))).distinct()
+    both = edges.select(
+        F.col("source").alias("node"), F.col("target").alias("next")
+    ).unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("next"))).distinct()
     seen = starts.select("node", F.lit(0).alias("hop")).distinct()
     edge = seen
     for h in range(1, hops + 1):

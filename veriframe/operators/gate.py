@@ -78,7 +78,9 @@ def supports_column(detector_id: Column, tier: Column, tasks: Column, found_tier
     return F.struct(reason.startswith("SUPPORTED: ").alias("allowed"), reason.alias("reason"))
 
 
-def availability_column(detector_id: Column, tier: Column, tasks: Column, needs_reference: Column, found_tier: Column, found_task: Column, found_mode: Column) -> Column:
+def availability_column(
+    detector_id: Column, tier: Column, tasks: Column, needs_reference: Column, found_tier: Column, found_task: Column, found_mode: Column
+) -> Column:
     """A detector's own gate over columns: task, tier, reference; reasons speak of tiers by their long names."""
     name = F.upper(F.regexp_replace(detector_id, "[- ]", "_"))
     long = lambda t: F.when(t == "T0", TIERS["T0"]).when(t == "T1", TIERS["T1"]).when(t == "T2", TIERS["T2"])

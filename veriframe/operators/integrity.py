@@ -23,13 +23,19 @@ QUERY_BLOCK = 2048
 
 def exact_duplicates(assets: DataFrame, id_col: str, content: Column) -> DataFrame:
     """(digest, copies, first_id, last_id) of contents that several rows share."""
-    return assets.groupBy(F.md5(content).alias("digest")).agg(F.count(F.lit(1)).alias("copies"), F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id")).filter("copies > 1")
+    return assets.groupBy(F.md5(content).alias("digest")).agg(
+        F.count(F.lit(1)).alias("copies"), F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id")
+    ).filter("copies > 1")
 
 
 def sign_hash(vector: Column, bits: int = 64) -> Column:
     """Perceptual hash of an embedding: bit i is set where component i is positive."""
     places = F.sequence(F.lit(0), F.lit(bits - 1))
-    return F.aggregate(places, F.lit(0).cast("long"), lambda acc, i: F.when(F.get(vector, i) > 0, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(acc))
+    return F.aggregate(
+        places,
+        F.lit(0).cast("long"),
+        lambda acc, i: F.when(F.get(vector, i) > 0, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(acc),
+    )
 
 
 def near_duplicates(hashed: DataFrame, id_col: str = "id", hash_col: str = "hash", threshold: int = 3, agree: int = 3) -> DataFrame:
@@ -54,7 +60,10 @@ def near_duplicates(hashed: DataFrame, id_col: str = "id", hash_col: str = "hash
     return pairs.filter(first).select("hash_a", "hash_b", distance.alias("distance"))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(
+    queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
+    block: int = QUERY_BLOCK
+) -> DataFrame:
     """(query_id, query_label, id, label, distance2, rank): exact k nearest rows by squared distance, ties by id, itself left out.
 
     Queries go out in blocks of at most `block` rows; each task keeps k candidates a query, and those are merged.
@@ -92,7 +101,9 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id",
     every = reduce(DataFrame.unionByName, found)
     item = F.struct("distance2", "id", "label")
     top = every.groupBy("query_id", "query_label").agg(F.slice(F.array_sort(F.collect_list(item)), 1, k).alias("top"))  # k a task and query
-    return top.select("query_id", "query_label", F.posexplode("top").alias("rank", "n")).select("query_id", "query_label", "n.id", "n.label", "n.distance2", (F.col("rank") + 1).alias("rank"))
+    return top.select("query_id", "query_label", F.posexplode("top").alias("rank", "n")).select(
+        "query_id", "query_label", "n.id", "n.label", "n.distance2", (F.col("rank") + 1).alias("rank")
+    )
 
 
 def label_agreement(neighbours: DataFrame, flag_below: float = 0.5) -> DataFrame:
@@ -146,7 +157,9 @@ def _score(rows: DataFrame, fn, name: str, id_col: str, vector_col: str, label_c
     return rows.select(id_col, label_col, score(vector_col, label_col).alias(name))
 
 
-def mahalanobis(rows: DataFrame, moments: dict, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", ridge: float = 1e-3) -> DataFrame:
+def mahalanobis(
+    rows: DataFrame, moments: dict, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", ridge: float = 1e-3
+) -> DataFrame:
     """Distance of each row to the nearest class mean under the shared covariance (Lee et al. 2018)."""
     total = sum(n for n, *_ in moments.values())
     shared = sum(n * c for n, _, c in moments.values()) / total
@@ -184,7 +197,9 @@ def spectral_signatures(rows: DataFrame, moments: dict, id_col: str = "vec_id",
     return _score(rows, lambda x, y: along(x, y) ** 2, "score", id_col, vector_col, label_col)
 
 
-def activation_clusters(rows: DataFrame, moments: dict, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", rounds: int = 12) -> DataFrame:
+def activation_clusters(
+    rows: DataFrame, moments: dict, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", rounds: int = 12
+) -> DataFrame:
     """(label, n, minority_share, separation): two means along each class's top direction (after Chen et al. 2018).
 
     All classes move in one aggregate a round. A small minority far from the rest points at poisoning.
@@ -196,7 +211,9 @@ def activation_clusters(rows: DataFrame, moments: dict, id_col: str = "vec_id",
     centres = {k: (-s, s) for k, (_, _, s) in tops.items()}
     for _ in range(rounds):
         cut = F.create_map(*(F.lit(x) for k, (a, b) in centres.items() for x in (k, (a + b) / 2)))
-        got = line.groupBy("label", (F.col("p") > F.element_at(cut, F.col("label"))).alias("high")).agg(F.avg("p").alias("m"), F.count(F.lit(1)).alias("n")).collect()
+        got = line.groupBy(
+            "label", (F.col("p") > F.element_at(cut, F.col("label"))).alias("high")
+        ).agg(F.avg("p").alias("m"), F.count(F.lit(1)).alias("n")).collect()
         new = {k: [a, b] for k, (a, b) in centres.items()}
         for r in got:
             new[r["label"]][r["high"]] = r["m"]
@@ -236,7 +253,10 @@ def contributor_binomial(flags: DataFrame, contributor: str = "source", flag: st
     total = per.agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))  # one row
     p = F.col("all_bad") / F.col("all_n")
     sd = F.sqrt(p * (1 - p) / F.col("n"))
-    return per.crossJoin(F.broadcast(total)).select(F.col(contributor).alias("contributor"), "n", "bad", (F.col("bad") / F.col("n")).alias("rate"), ((F.col("bad") / F.col("n") - p) / F.nullif(sd, F.lit(0.0))).alias("z"))
+    return per.crossJoin(F.broadcast(total)).select(
+        F.col(contributor).alias("contributor"), "n", "bad", (F.col("bad") / F.col("n")).alias("rate"),
+        ((F.col("bad") / F.col("n") - p) / F.nullif(sd, F.lit(0.0))).alias("z")
+    )
 
 
 def sybil_pairs(items: DataFrame, contributor: str, item: Column, least: float = 0.3, hashes: int = 64) -> DataFrame:

@@ -33,7 +33,9 @@ def behavioural_fingerprint(answers: DataFrame, stored: DataFrame, model: str =
     ref = stored.select(probe, F.col(answer).alias("want"))
     pairs = answers.select(model).distinct().crossJoin(F.broadcast(ref))  # models x the battery, which is small by design
     got = pairs.join(answers.select(model, probe, F.col(answer).alias("got")), [model, probe], "left")
-    return got.groupBy(model).agg(F.count(F.lit(1)).alias("probes"), F.avg(F.coalesce(F.col("got") == F.col("want"), F.lit(False)).cast("double")).alias("agreement"))
+    return got.groupBy(model).agg(
+        F.count(F.lit(1)).alias("probes"), F.avg(F.coalesce(F.col("got") == F.col("want"), F.lit(False)).cast("double")).alias("agreement")
+    )
 
 
 def mad_outliers(values: DataFrame, key: str, value: str, limit: float = 2.0) -> DataFrame:
@@ -62,7 +64,9 @@ def strip_entropy(predictions: DataFrame, item: str = "item_id", probabilities:
     return per.withColumn("trojaned", F.col("entropy") < limit)
 
 
-def trigger_effects(predictions: DataFrame, trigger: str = "trigger_id", clean: str = "clean_class", triggered: str = "triggered_class", limit: float = 2.0) -> DataFrame:
+def trigger_effects(
+    predictions: DataFrame, trigger: str = "trigger_id", clean: str = "clean_class", triggered: str = "triggered_class", limit: float = 2.0
+) -> DataFrame:
     """(trigger, target, hits, success, anomaly_index, suspect): for boxes predicted with and without each candidate trigger, the
     share that it turns into one class; null classes are boxes that vanish or appear. Suspect are triggers whose best
     target succeeds far more often than the others' (our design; the planned search itself has no published behaviour)."""
@@ -70,6 +74,8 @@ def trigger_effects(predictions: DataFrame, trigger: str = "trigger_id", clean:
     per = turned.groupBy(trigger, F.col(triggered).alias("target")).agg(F.count_if("turned").alias("hits"))
     total = predictions.groupBy(trigger).agg(F.count(F.lit(1)).alias("n"))
     best = per.groupBy(trigger).agg(F.max(F.struct("hits", "target")).alias("b"))
-    rate = best.join(total, trigger).select(trigger, F.col("b.target").alias("target"), F.col("b.hits").alias("hits"), (F.col("b.hits") / F.col("n")).alias("success"))
+    rate = best.join(total, trigger).select(
+        trigger, F.col("b.target").alias("target"), F.col("b.hits").alias("hits"), (F.col("b.hits") / F.col("n")).alias("success")
+    )
     index = mad_outliers(rate.withColumn("low", -F.col("success")), trigger, "low", limit).select(trigger, "anomaly_index", F.col("outlier").alias("suspect"))
     return rate.join(index, trigger)

@@ -235,7 +235,10 @@ def probe(assets: DataFrame, model: str | Path | None = None, profile_path: str
     task, members = task_type(assets).first(), cohort(assets).first()
     mode, profile_digest, ref_details = reference_mode(profile_path, members["contributor_count"], default_key_path)
     task_details = {"reason": task["reason"]} | ({"boxes_present": task["boxes_present"]} if task["task_type"] == "SEGMENTATION" else {})
-    details = {"tier": tier_details, "task": task_details, "reference": ref_details, "asset_count": members["asset_count"], "contributor_ids": list(members["contributor_ids"])}
+    details = {
+        "tier": tier_details, "task": task_details, "reference": ref_details, "asset_count": members["asset_count"],
+        "contributor_ids": list(members["contributor_ids"])
+    }
     return Matrix(tier, task["task_type"], mode, digest, profile_digest, now(), source, details)
 
 

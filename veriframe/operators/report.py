@@ -56,7 +56,10 @@ def json_report(findings: DataFrame, receipts: int, checkpoints: int, limit: int
     """The report of one ledger; limit cuts the listed findings, never the counts."""
     listed = findings.orderBy(*ORDER).drop(*ORDER) if set(ORDER) <= set(findings.columns) else findings
     rows = listed.limit(limit).collect() if limit is not None else listed.collect()
-    return {"module": MODULE, "clause": CLAUSE, "timestamp_utc": datetime.now(UTC).isoformat(), "audit_summary": summary(findings, receipts, checkpoints), "findings": [r.asDict(recursive=True) for r in rows]}
+    return {
+        "module": MODULE, "clause": CLAUSE, "timestamp_utc": datetime.now(UTC).isoformat(),
+        "audit_summary": summary(findings, receipts, checkpoints), "findings": [r.asDict(recursive=True) for r in rows]
+    }
 
 
 def write_json_report(findings: DataFrame, receipts: int, checkpoints: int, path: str) -> Path:
@@ -84,7 +87,10 @@ def html_report(report: dict) -> str:
     """A page with the summary and a table row for each finding."""
     s = report["audit_summary"]
     esc = lambda v: html.escape(str(v))
-    cards = {"Receipts audited": s["total_receipts_audited"], "Checkpoints": s["total_checkpoints_audited"], "Findings": s["total_findings"], "Critical and high": s["severity_counts"]["critical"] + s["severity_counts"]["high"]}
+    cards = {
+        "Receipts audited": s["total_receipts_audited"], "Checkpoints": s["total_checkpoints_audited"], "Findings": s["total_findings"],
+        "Critical and high": s["severity_counts"]["critical"] + s["severity_counts"]["high"]
+    }
     keys = ("finding_id", "detector", "severity", "recommended_disposition", "reason_human_readable")
     rows = "".join("<tr>" + "".join(f"<td>{esc(f[k])}</td>" for k in keys) + f"<td>{esc(', '.join(f['evidence_artifacts'] or ()))}</td></tr>" for f in report["findings"])
     head = "".join(f"<th>{h}</th>" for h in ("Finding", "Detector", "Severity", "Disposition", "Reason", "Evidence"))
@@ -112,11 +118,17 @@ def manifests(receipts: DataFrame, generator: str = "veriframe", namespace: str
     when = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssxxx")
     action = F.to_json(F.struct(F.array(F.struct(lit("c2pa.inference", "action"), lit(generator, "softwareAgent"), when.alias("when"))).alias("actions")))
     part = lambda label, body: F.concat(F.lit(f'{{"label":"{label}","data":'), body, F.lit("}"))
-    assertions = F.concat(F.lit("["), F.concat_ws(",", part("c2pa.hash.data", data), part(f"{namespace}.model.binding", binding), part("c2pa.actions", action)), F.lit("]"))
+    assertions = F.concat(
+        F.lit("["),
+        F.concat_ws(",", part("c2pa.hash.data", data), part(f"{namespace}.model.binding", binding), part("c2pa.actions", action)),
+        F.lit("]")
+    )
     head = F.to_json(
         F.struct(
             lit("2.1.0", "c2pa_version"), F.concat(F.lit("Receipt "), seq).alias("title"), lit("application/json", "format"),
-            F.concat(F.lit(f"urn:uuid:{namespace}-"), F.substring("asset", 1, 16)).alias("instance_id"), lit(generator, "claim_generator"), lit(CAVEAT, "security_caveat"),
+            F.concat(
+                F.lit(f"urn:uuid:{namespace}-"), F.substring("asset", 1, 16)
+            ).alias("instance_id"), lit(generator, "claim_generator"), lit(CAVEAT, "security_caveat"),
             F.struct(lit("ed25519", "algorithm"), F.col("signature").alias("sig_bytes_hex")).alias("signature"),
         )
     )
@@ -131,4 +143,7 @@ def coverage(spark: SparkSession) -> DataFrame:
 
 
 def coverage_statement() -> dict:
-    return {"module": MODULE, "clause": CLAUSE, "supported": list(SUPPORTED), "partial": list(PARTIAL), "unsupported": list(UNSUPPORTED), "assumptions": list(ASSUMPTIONS)}
+    return {
+        "module": MODULE, "clause": CLAUSE, "supported": list(SUPPORTED), "partial": list(PARTIAL), "unsupported": list(UNSUPPORTED),
+        "assumptions": list(ASSUMPTIONS)
+    }

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from .integrity import class_moments, mahalanobis
 
-FAMILIES = {"physical": ("brightness", "contrast", "blur", "noise"), "acquisition": ("width", "height", "channels", "compression"), "semantic": ("label", "objects", "embedding")}
+FAMILIES = {
+    "physical": ("brightness", "contrast", "blur", "noise"), "acquisition": ("width", "height", "channels", "compression"),
+    "semantic": ("label", "objects", "embedding")
+}
 
 
 def ks_statistic(samples: DataFrame, value: str, side: Column) -> DataFrame:

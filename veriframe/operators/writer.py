@@ -62,7 +62,10 @@ def chain_short(entries: DataFrame, chain: str = "chain", seq: str = "seq", payl
     def fold(items: Column, tip: Column) -> Column:
         def step(acc: Column, x: Column) -> Column:
             prev = F.coalesce(last_hash(acc), tip)
-            link = F.struct(x["seq"].cast("long").alias("seq"), x["payload_json"].alias("payload_json"), prev.alias("prev"), receipt_hash_column(x["payload_json"], prev).alias("hash"))
+            link = F.struct(
+                x["seq"].cast("long").alias("seq"), x["payload_json"].alias("payload_json"), prev.alias("prev"),
+                receipt_hash_column(x["payload_json"], prev).alias("hash")
+            )
             return F.concat(acc, F.array(link))
 
         return F.aggregate(items, F.array().cast(block), step)
@@ -92,7 +95,9 @@ def chain_long(entries: DataFrame, chain: str = "chain", seq: str = "seq", paylo
 
     src = entries.select(F.col(chain).alias("chain"), F.col(seq).cast("long").alias("seq"), F.col(payload_json).alias("payload_json"))
     kind = src.schema["chain"].dataType.simpleString()
-    folded = src.repartition("chain").sortWithinPartitions("chain", "seq").mapInPandas(run, f"chain {kind}, seq long, payload_json string, prev string, hash string")
+    folded = src.repartition("chain").sortWithinPartitions("chain", "seq").mapInPandas(
+        run, f"chain {kind}, seq long, payload_json string, prev string, hash string"
+    )
     return folded.withColumnRenamed("chain", chain)
 
 
@@ -101,10 +106,16 @@ def checkpoints_of(chained: DataFrame, interval: int = 10, chain: str = "chain",
     and with flush of the rest. Sequences of a chain run from 1."""
     block = F.floor((F.col(seq) - 1) / interval).cast("long")
     leaves = F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), "hash"))), lambda x: x["hash"])
-    blocks = chained.groupBy(chain, block.alias("block")).agg(F.min(seq).alias("start_sequence"), F.max(seq).alias("end_sequence"), F.count(F.lit(1)).alias("receipt_count"), leaves.alias("leaves"))
+    blocks = chained.groupBy(chain, block.alias("block")).agg(
+        F.min(seq).alias("start_sequence"), F.max(seq).alias("end_sequence"), F.count(F.lit(1)).alias("receipt_count"),
+        leaves.alias("leaves")
+    )
     if not flush:
         blocks = blocks.filter(F.col("receipt_count") == interval)
-    return blocks.select(chain, F.format_string("CHK-%04d", F.col("block") + 1).alias("checkpoint_id"), "start_sequence", "end_sequence", "receipt_count", merkle_root(F.col("leaves")).alias("merkle_root"))
+    return blocks.select(
+        chain, F.format_string("CHK-%04d", F.col("block") + 1).alias("checkpoint_id"), "start_sequence", "end_sequence", "receipt_count",
+        merkle_root(F.col("leaves")).alias("merkle_root")
+    )
 
 
 def _read(path: Path) -> Iterator[str]:

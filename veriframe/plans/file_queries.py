@@ -172,13 +172,17 @@ _YOLO_SQL = f"""
 WITH {_IMAGES},
 c AS (SELECT c_custkey AS k, c_nationkey AS n, c_custkey % (SELECT count(*) FROM supplier) + 1 AS s FROM customer),
 l AS (
-  SELECT s, k, CASE WHEN k % 31 = 0 THEN n + 100 ELSE n END AS cls, (k % 10) / 10.0::DOUBLE AS cx, (k % 8) / 10.0::DOUBLE AS cy, (k % 4) / 10.0::DOUBLE AS nw, (k % 5) / 10.0::DOUBLE AS nh,
+  SELECT s, k, CASE WHEN k % 31 = 0 THEN n + 100 ELSE n END AS cls, (k % 10) / 10.0::DOUBLE AS cx, (k % 8) / 10.0::DOUBLE AS cy, (k % 4) / 10.0::DOUBLE
+    AS nw, (k % 5) / 10.0::DOUBLE AS nh,
          CASE WHEN k % 31 = 0 THEN n + 100 ELSE n END || ' 0.' || k % 10 || ' 0.' || k % 8 || ' 0.' || k % 4 || ' 0.' || k % 5 AS line FROM c),
-t AS (SELECT s, '# boxes' || chr(10) || CASE WHEN s % 23 = 0 THEN 'x 1 2' || chr(10) ELSE '' END || string_agg(line, chr(10) ORDER BY k) || chr(10) AS text FROM l WHERE s % 5 <> 0 GROUP BY s),
-p AS (SELECT l.*, w, h, greatest(0.0, least((cx - nw / 2.0) * w, w)) AS x, greatest(0.0, least((cy - nh / 2.0) * h, h)) AS y FROM l JOIN im USING (s) WHERE s % 5 <> 0),
+t AS (SELECT s, '# boxes' || chr(10) || CASE WHEN s % 23 = 0 THEN 'x 1 2' || chr(10) ELSE '' END || string_agg(line, chr(10) ORDER BY k) || chr(10)
+  AS text FROM l WHERE s % 5 <> 0 GROUP BY s),
+p AS (SELECT l.*, w, h, greatest(0.0, least((cx - nw / 2.0) * w, w)) AS x, greatest(0.0, least((cy - nh / 2.0) * h, h)) AS y FROM l JOIN im USING
+  (s) WHERE s % 5 <> 0),
 q AS (SELECT *, greatest(0.0, least(nw * w, w - x)) AS bw, greatest(0.0, least(nh * h, h - y)) AS bh FROM p),
 b AS (
-  SELECT s, count(*) AS boxes, string_agg(CAST(round(x * 1000) AS BIGINT) || ':' || CAST(round(y * 1000) AS BIGINT) || ':' || CAST(round(bw * 1000) AS BIGINT) || ':' || CAST(round(bh * 1000) AS BIGINT)
+  SELECT s, count(*) AS boxes, string_agg(CAST(round(x * 1000) AS BIGINT) || ':' || CAST(round(y * 1000) AS BIGINT) || ':' || CAST(round(bw *
+    1000) AS BIGINT) || ':' || CAST(round(bh * 1000) AS BIGINT)
          || ':' || coalesce(n_name, 'class_' || cls), '|' ORDER BY k) AS listed
   FROM q LEFT JOIN nation ON n_nationkey = cls WHERE bw > 0 AND bh > 0 GROUP BY s),
 yolo AS (
@@ -196,9 +200,19 @@ def _yolo(spark: SparkSession, d: str) -> Path:
     k = F.col("c_custkey")
     kind = F.when(k % 31 == 0, F.col("c_nationkey") + 100).otherwise(F.col("c_nationkey"))
     line = F.concat(kind.cast("string"), *(x for m in (10, 8, 4, 5) for x in (F.lit(" 0."), (k % m).cast("string"))))
-    rows = table(spark, d, "customer").select((k % F.lit(table(spark, d, "supplier").count()) + 1).alias("s"), F.struct(k, line.alias("line")).alias("l")).filter("s % 5 <> 0")
+    rows = table(spark, d, "customer").select(
+        (k % F.lit(table(spark, d, "supplier").count()) + 1).alias("s"), F.struct(k, line.alias("line")).alias("l")
+    ).filter("s % 5 <> 0")
     lines = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n")
-    _write_files(rows.groupBy("s").agg(lines.alias("lines")).select(place("labels", ".txt"), F.concat(F.lit("# boxes\n"), F.when(F.col("s") % 23 == 0, "x 1 2\n").otherwise(""), F.col("lines"), F.lit("\n")).cast("binary").alias("content")), folder)
+    _write_files(
+        rows.groupBy("s").agg(lines.alias("lines")).select(
+            place("labels", ".txt"),
+            F.concat(
+                F.lit("# boxes\n"), F.when(F.col("s") % 23 == 0, "x 1 2\n").otherwise(""), F.col("lines"), F.lit("\n")
+            ).cast("binary").alias("content")
+        ),
+        folder
+    )
     names = [r["n_name"] for r in table(spark, d, "nation").orderBy("n_nationkey").collect()]  # 25
     (folder / "data.yaml").write_text("train: images/train\nval: images/val\nnames: " + json.dumps(names) + "\n")
     return folder
@@ -215,12 +229,15 @@ def yolo_unreadable(spark: SparkSession, d: str) -> DataFrame:
     return found.select("asset_id", F.substring_index("bad_record", ":", 1).alias("problem"))
 
 
-@query(_YOLO_SQL + ", n AS (SELECT count(*) AS n, sum(boxes) AS boxes FROM yolo) SELECT 'm0.ingest.asset' AS event_type, n AS events, CAST(boxes AS BIGINT) AS boxes, NULL::BIGINT AS n, TRUE AS linked FROM n UNION ALL SELECT 'm0.ingest.dataset', 1, NULL, n, TRUE FROM n")
+@query(_YOLO_SQL + ", n AS (SELECT count(*) AS n, sum(boxes) AS boxes FROM yolo) SELECT 'm0.ingest.asset' AS event_type, n AS events, "
+    "CAST(boxes AS BIGINT) AS boxes, NULL::BIGINT AS n, TRUE AS linked FROM n UNION ALL SELECT 'm0.ingest.dataset', 1, NULL, n, TRUE FROM n")
 def yolo_ingest_ledger(spark: SparkSession, d: str) -> DataFrame:
     folder = _yolo(spark, d)
     datasets.ingest(spark, folder, "auto", CONTRIBUTOR, ledger=str(folder / "ledger.jsonl"))
     rows = _events(spark, str(folder / "ledger.jsonl"))
-    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("boxes").alias("boxes"), F.max("n").alias("n"), F.bool_and("linked").alias("linked"))
+    return rows.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("events"), F.sum("boxes").alias("boxes"), F.max("n").alias("n"), F.bool_and("linked").alias("linked")
+    )
 
 
 # Ledgers
@@ -230,7 +247,9 @@ def _ledger_files(receipts: DataFrame, folder: Path) -> str:
     """Write receipts (ledger, pos, payload_json, prev, hash, signature) as JSON lines, a file a ledger, with lines between
     that are no receipts; the pattern of the files."""
     line = F.format_string(LINE, "payload_json", "prev", "hash", "signature")
-    noise = F.when(F.col("pos") % 9 == 4, F.array(F.lit(""), F.lit("{not json"), F.lit('["receipt"]'), F.lit('{"record_type":"note"}'))).otherwise(F.array().cast("array<string>"))
+    noise = F.when(
+        F.col("pos") % 9 == 4, F.array(F.lit(""), F.lit("{not json"), F.lit('["receipt"]'), F.lit('{"record_type":"note"}'))
+    ).otherwise(F.array().cast("array<string>"))
     rows = receipts.repartition("ledger").sortWithinPartitions("ledger", "pos")
     rows.select("ledger", F.explode(F.concat(noise, F.array(line))).alias("value")).write.partitionBy("ledger").text(str(folder / "receipts"))
     return str(folder / "receipts" / "*")
@@ -258,7 +277,9 @@ def ledger_file_receipts(spark: SparkSession, d: str) -> DataFrame:
 @query(ledgers.SQL + "SELECT ledger, pos, checkpoint_id, start_sequence, end_sequence, receipt_count, merkle_root FROM chk")
 def ledger_file_checkpoints(spark: SparkSession, d: str) -> DataFrame:
     files = _checkpoint_files(spark, d, _folder(spark, "ledgers"))
-    return _named(ledger.read_checkpoints(spark, files, files)).select("ledger", "pos", "checkpoint_id", "start_sequence", "end_sequence", "receipt_count", "merkle_root")
+    return _named(ledger.read_checkpoints(spark, files, files)).select(
+        "ledger", "pos", "checkpoint_id", "start_sequence", "end_sequence", "receipt_count", "merkle_root"
+    )
 
 
 @query(ledgers.SQL + f"SELECT {_COLS} FROM found")
@@ -291,7 +312,9 @@ def ledger_sink(spark: SparkSession, d: str) -> DataFrame:
     found = audit.audit(receipts.withColumn("ledger", F.lit("l")), checkpoints, model, public, public, strict=True)
     sound = F.lit(found.isEmpty())
     blocks = checkpoints.select("pos", F.explode(F.sequence("start_sequence", "end_sequence")).alias("seq"))
-    return receipts.join(blocks.withColumnRenamed("pos", "block"), "seq").select("seq", "asset", "block", sound.alias("sound"), (F.length("signature") == 128).alias("signed"))
+    return receipts.join(blocks.withColumnRenamed("pos", "block"), "seq").select(
+        "seq", "asset", "block", sound.alias("sound"), (F.length("signature") == 128).alias("signed")
+    )
 
 
 def _signed(spark: SparkSession, d: str) -> tuple[DataFrame, bytes]:
@@ -323,7 +346,8 @@ def signature_key_error(spark: SparkSession, d: str) -> DataFrame:
     return audit.bad_signatures(ledgers.attacked(spark, d), b"-----BEGIN PUBLIC KEY-----\nAAAA\n-----END PUBLIC KEY-----\n").select(*_FOUND)
 
 
-@query(ledgers.SQL + "SELECT ledger, pos, 6 AS check_no, 2 AS sub_no, 'FINDING-M3-UNSIGNED-SEQ-' || seq AS finding_id, 'ed25519_signature_verifier' AS detector, 0.5::DOUBLE AS score, 'warning' AS severity FROM att WHERE seq % 7 <> 5 AND seq % 7 <> 3")
+@query(ledgers.SQL + "SELECT ledger, pos, 6 AS check_no, 2 AS sub_no, 'FINDING-M3-UNSIGNED-SEQ-' || seq AS finding_id, "
+    "'ed25519_signature_verifier' AS detector, 0.5::DOUBLE AS score, 'warning' AS severity FROM att WHERE seq % 7 <> 5 AND seq % 7 <> 3")
 def unsigned_receipts(spark: SparkSession, d: str) -> DataFrame:
     return audit.unsigned_receipts(_signed(spark, d)[0]).select(*_FOUND)
 
@@ -366,13 +390,16 @@ def _pictured(spark: SparkSession, d: str) -> DataFrame:
     """Attacked receipts with image paths and outputs, every third of which isn't what the model gives."""
     path = F.concat_ws("/", F.lit("img"), "ledger", F.col("pos").cast("string"))
     real = F.sha2(F.concat(F.lit("m:8:"), path), 256)
-    rows = ledgers.attacked(spark, d).withColumns({"image_path": path, "output": F.when(F.col("pos") % 3 == 0, F.sha2(F.lit("made up"), 256)).otherwise(F.upper(real))})
+    rows = ledgers.attacked(spark, d).withColumns({
+        "image_path": path, "output": F.when(F.col("pos") % 3 == 0, F.sha2(F.lit("made up"), 256)).otherwise(F.upper(real))
+    })
     return rows.withColumn("draw", F.col("pos"))
 
 
 _SPOT = "SELECT ledger, pos, 'FINDING-M3-SPOT-' || kind || '-SEQ-' || seq AS finding_id, severity, disposition AS recommended_disposition FROM "
 _SPOT_CASES = """(
-  SELECT *, CASE WHEN pos % 10 = 0 THEN '{0}' ELSE 'FABRICATION' END AS kind, CASE WHEN pos % 10 = 0 THEN 'warning' ELSE 'critical' END AS severity, CASE WHEN pos % 10 = 0 THEN 'review' ELSE 'quarantine' END AS disposition
+  SELECT *, CASE WHEN pos % 10 = 0 THEN '{0}' ELSE 'FABRICATION' END AS kind, CASE WHEN pos % 10 = 0 THEN 'warning' ELSE 'critical' END AS severity,
+    CASE WHEN pos % 10 = 0 THEN 'review' ELSE 'quarantine' END AS disposition
   FROM att WHERE pos % 10 = 0 OR pos % 3 = 0)"""
 
 
@@ -383,7 +410,10 @@ def spot_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return spot.spot_findings(done).select("ledger", "pos", "finding_id", "severity", "recommended_disposition")
 
 
-@query(ledgers.SQL + "SELECT 'FINDING-M3-SPOT-' || kind || '-SEQ-' || seq AS finding_id, severity, disposition AS recommended_disposition FROM " + _SPOT_CASES.format("EXEC-FAILED").replace("pos % 3 = 0)", "pos % 3 = 0)").replace("FROM att", "FROM (SELECT * FROM att WHERE ledger = '1' AND pos % 10 <> 7)") + " UNION ALL SELECT 'FINDING-M3-SPOT-UNAVAILABLE-SEQ-' || seq, 'info', 'unavailable' FROM att WHERE ledger = '1' AND pos % 10 = 7")
+@query(ledgers.SQL + "SELECT 'FINDING-M3-SPOT-' || kind || '-SEQ-' || seq AS finding_id, severity, disposition AS recommended_disposition "
+    "FROM " + _SPOT_CASES.format("EXEC-FAILED").replace("pos % 3 = 0)", "pos % 3 = 0)").replace(
+    "FROM att", "FROM (SELECT * FROM att WHERE ledger = '1' AND pos % 10 <> 7)"
+) + " UNION ALL SELECT 'FINDING-M3-SPOT-UNAVAILABLE-SEQ-' || seq, 'info', 'unavailable' FROM att WHERE ledger = '1' AND pos % 10 = 7")
 def spot_inference(spark: SparkSession, d: str) -> DataFrame:
     """All receipts of one ledger against outputs of inference, of which some failed and some are absent."""
     rows = _pictured(spark, d).filter("ledger = '1'")
@@ -396,13 +426,18 @@ def spot_inference(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH r AS (SELECT s_suppkey AS s, [CASE WHEN s_suppkey % 3 = 0 THEN 'input_image_sha256' END, CASE WHEN s_suppkey % 4 = 0 THEN 'model_weight_digest' END,
   CASE WHEN s_suppkey < 1 THEN 'sequence_number' END] AS bad FROM supplier)
-SELECT s, len(list_filter(bad, lambda x: x IS NOT NULL)) AS n, list_contains(bad, 'input_image_sha256') AS image, list_contains(bad, 'model_weight_digest') AS model FROM r
+SELECT s, len(list_filter(bad, lambda x: x IS NOT NULL)) AS n, list_contains(bad, 'input_image_sha256') AS image, list_contains(bad, 'model_weight_digest')
+  AS model FROM r
 """)
 def receipt_problems(spark: SparkSession, d: str) -> DataFrame:
     """Receipts with digests that are none, and with a number below 1."""
     s = F.col("s_suppkey")
     sha = F.sha2("s_name", 256)
-    src = table(spark, d, "supplier").select(s.alias("s"), s.alias("sequence_number"), *(F.col("s_name").cast("binary").alias(n) for n in ("input_bytes", "output_bytes", "model_bytes")), F.lit(None).cast("string").alias("image_path"))
+    src = table(spark, d, "supplier").select(
+        s.alias("s"), s.alias("sequence_number"),
+        *(F.col("s_name").cast("binary").alias(n) for n in ("input_bytes", "output_bytes", "model_bytes")),
+        F.lit(None).cast("string").alias("image_path")
+    )
     built = writer.build_receipts(src, {"width": 8}, timestamp=F.lit("2024-01-01T00:00:00+00:00"))
     short = lambda name, m: F.when(F.col("s") % m == 0, F.lit("abc")).otherwise(F.col(f"payload.{name}"))
     spoilt = F.col("payload").withField("input_image_sha256", short("input_image_sha256", 3)).withField("model_weight_digest", short("model_weight_digest", 4))
@@ -416,17 +451,23 @@ def receipt_problems(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH m AS (
-  SELECT n_nationkey AS k, n_nationkey % 9 AS kind, CASE n_nationkey % 9 WHEN 0 THEN '{"endpoint":"https://api.example.org/v1"}' WHEN 1 THEN '{"outputs":["logits"]}' WHEN 2 THEN '{"state_dict":1}' WHEN 3 THEN '{"a":1}' WHEN 4 THEN 'PKrest'
+  SELECT n_nationkey AS k, n_nationkey % 9 AS kind, CASE n_nationkey % 9 WHEN 0 THEN '{"endpoint":"https://api.example.org/v1"}' WHEN 1 THEN
+    '{"outputs":["logits"]}' WHEN 2 THEN '{"state_dict":1}' WHEN 3 THEN '{"a":1}' WHEN 4 THEN 'PKrest'
     WHEN 5 THEN 'no container' WHEN 6 THEN 'short' WHEN 7 THEN 'bytes' END AS text FROM nation)
-SELECT k, CASE WHEN kind IN (2, 4) THEN 'T2' WHEN kind IN (0, 1) THEN 'T1' ELSE 'T0' END AS tier, CASE WHEN kind IN (4, 5, 6, 7, 2) THEN 'local_file' WHEN kind = 8 THEN 'unknown' ELSE 'remote_api' END AS source,
-       CASE kind WHEN 0 THEN 'API_ENDPOINT' WHEN 1 THEN 'API_RETURNS_LOGITS' WHEN 2 THEN 'API_RETURNS_WEIGHTS' WHEN 3 THEN 'API_LABELS_ONLY' WHEN 4 THEN 'WEIGHTS_READABLE' WHEN 7 THEN 'UNSUPPORTED_ARTIFACT' WHEN 8 THEN 'MISSING_MODEL' ELSE 'WEIGHTS_UNREADABLE' END AS reason,
+SELECT k, CASE WHEN kind IN (2, 4) THEN 'T2' WHEN kind IN (0, 1) THEN 'T1' ELSE 'T0' END AS tier, CASE WHEN kind IN (4, 5, 6, 7, 2) THEN 'local_file'
+  WHEN kind = 8 THEN 'unknown' ELSE 'remote_api' END AS source,
+       CASE kind WHEN 0 THEN 'API_ENDPOINT' WHEN 1 THEN 'API_RETURNS_LOGITS' WHEN 2 THEN 'API_RETURNS_WEIGHTS' WHEN 3 THEN 'API_LABELS_ONLY'
+         WHEN 4 THEN 'WEIGHTS_READABLE' WHEN 7 THEN 'UNSUPPORTED_ARTIFACT' WHEN 8 THEN 'MISSING_MODEL' ELSE 'WEIGHTS_UNREADABLE' END AS reason,
        sha256(text) AS digest FROM m
 """)
 def model_files(spark: SparkSession, d: str) -> DataFrame:
     """Access tiers of model files: descriptors, containers, broken and missing ones."""
     folder = _folder(spark, "models")
     ends = (".json", ".json", ".json", ".json", ".pt", ".pth", ".safetensors", ".bin", ".onnx")
-    texts = ('{"endpoint":"https://api.example.org/v1"}', '{"outputs":["logits"]}', '{"state_dict":1}', '{"a":1}', "PKrest", "no container", "short", "bytes", None)
+    texts = (
+        '{"endpoint":"https://api.example.org/v1"}', '{"outputs":["logits"]}', '{"state_dict":1}', '{"a":1}', "PKrest", "no container",
+        "short", "bytes", None
+    )
     rows = []
     for (k,) in table(spark, d, "nation").select("n_nationkey").collect():  # 25
         path = folder / f"m{k}{ends[k % 9]}"
@@ -439,7 +480,8 @@ def model_files(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT n_nationkey AS k, CASE n_nationkey % 5 WHEN 0 THEN 'ATTESTED' WHEN 1 THEN 'BOOTSTRAPPED' WHEN 2 THEN 'BOOTSTRAPPED' ELSE 'UNREFERENCED' END AS mode,
-       CASE n_nationkey % 5 WHEN 0 THEN 'ATTESTATION_VALID' WHEN 1 THEN 'PROFILE_UNSIGNED_BOOTSTRAP_FROM_COHORTS' WHEN 2 THEN 'BOOTSTRAPPED_FROM_CONTRIBUTOR_COHORTS' WHEN 3 THEN 'PROFILE_PRESENT_BUT_NOT_ATTESTED_OR_BOOTSTRAPPABLE' ELSE 'NO_REFERENCE_PROFILE' END AS reason
+       CASE n_nationkey % 5 WHEN 0 THEN 'ATTESTATION_VALID' WHEN 1 THEN 'PROFILE_UNSIGNED_BOOTSTRAP_FROM_COHORTS' WHEN 2 THEN 'BOOTSTRAPPED_FROM_CONTRIBUTOR_COHORTS'
+         WHEN 3 THEN 'PROFILE_PRESENT_BUT_NOT_ATTESTED_OR_BOOTSTRAPPABLE' ELSE 'NO_REFERENCE_PROFILE' END AS reason
 FROM nation
 """)
 def reference_profiles(spark: SparkSession, d: str) -> DataFrame:
@@ -465,7 +507,8 @@ def reference_profiles(spark: SparkSession, d: str) -> DataFrame:
 WITH m AS (SELECT n_nationkey AS k, 'T' || (n_nationkey % 3) AS tier FROM nation)
 SELECT k, 'output_signature_verifier' AS detector_id, 'SUCCESS' AS status, NULL AS reason, 0.99::DOUBLE AS score FROM m
 UNION ALL SELECT k, 'fragile_watermark_detector', CASE WHEN tier = 'T2' THEN 'SUCCESS' ELSE 'UNAVAILABLE' END,
-  CASE tier WHEN 'T0' THEN 'UNAVAILABLE_AT_TIER: requires T2_WEIGHTS, found T0_LABELS' WHEN 'T1' THEN 'UNAVAILABLE_AT_TIER: requires T2_WEIGHTS, found T1_LOGITS' END, CASE WHEN tier = 'T2' THEN 0.95::DOUBLE END FROM m
+  CASE tier WHEN 'T0' THEN 'UNAVAILABLE_AT_TIER: requires T2_WEIGHTS, found T0_LABELS' WHEN 'T1' THEN 'UNAVAILABLE_AT_TIER: requires T2_WEIGHTS, found T1_LOGITS'
+    END, CASE WHEN tier = 'T2' THEN 0.95::DOUBLE END FROM m
 """)
 def detector_runs(spark: SparkSession, d: str) -> DataFrame:
     """Gated detectors over matrices of each tier, read from their JSON."""
@@ -484,7 +527,10 @@ def profile_digests(spark: SparkSession, d: str) -> DataFrame:
     """Canonical bytes of profiles, without what their signature stands in."""
     rows = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()  # 25
     text = lambda r: profile.signed_text({"region": r["n_regionkey"], "name": r["n_name"]})
-    texts = spark.createDataFrame([(r["n_nationkey"], text(r), canonical_json({"name": r["n_name"], "region": r["n_regionkey"]})) for r in rows], "k int, t string, u string")
+    texts = spark.createDataFrame(
+        [(r["n_nationkey"], text(r), canonical_json({"name": r["n_name"], "region": r["n_regionkey"]})) for r in rows],
+        "k int, t string, u string"
+    )
     return texts.select("k", F.when(F.col("t") == F.col("u"), F.sha2("t", 256)).alias("digest"))
 
 
@@ -497,9 +543,12 @@ def _found(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(ledgers.SQL + """
-, n AS (SELECT count(*) AS n, count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high, count_if(severity = 'warning') AS warning, count_if(severity = 'info') AS info FROM found)
-SELECT 7 AS receipts, 3 AS checkpoints, n AS findings, CAST(critical AS BIGINT) AS critical, CAST(high AS BIGINT) AS high, CAST(warning AS BIGINT) AS warning, CAST(info AS BIGINT) AS info,
-       CASE WHEN critical + high > 0 THEN 'QUARANTINE' ELSE 'ACCEPT' END AS disposition, n AS listed, n AS html_rows, CAST(critical + high AS BIGINT) AS severe FROM n
+, n AS (SELECT count(*) AS n, count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high, count_if(severity = 'warning')
+  AS warning, count_if(severity = 'info') AS info FROM found)
+SELECT 7 AS receipts, 3 AS checkpoints, n AS findings, CAST(critical AS BIGINT) AS critical, CAST(high AS BIGINT) AS high, CAST(warning AS BIGINT)
+  AS warning, CAST(info AS BIGINT) AS info,
+       CASE WHEN critical + high > 0 THEN 'QUARANTINE' ELSE 'ACCEPT' END AS disposition, n AS listed, n AS html_rows, CAST(critical + high AS
+         BIGINT) AS severe FROM n
 """)
 def report_files(spark: SparkSession, d: str) -> DataFrame:
     """The JSON and HTML reports of an audit, written and read again."""
@@ -517,7 +566,8 @@ def report_files(spark: SparkSession, d: str) -> DataFrame:
     return listed.join(rows.withColumn("one", F.lit(1)), F.lit(1) == F.col("one")).drop("one")
 
 
-@query(ledgers.SQL + "SELECT ledger, seq, 'Receipt ' || seq AS title, 'urn:uuid:veriframe-' || substr(asset, 1, 16) AS instance, asset AS image_hash, model, 'ed25519' AS algorithm FROM att")
+@query(ledgers.SQL + "SELECT ledger, seq, 'Receipt ' || seq AS title, 'urn:uuid:veriframe-' || substr(asset, 1, 16) AS instance, asset AS "
+    "image_hash, model, 'ed25519' AS algorithm FROM att")
 def content_manifests(spark: SparkSession, d: str) -> DataFrame:
     made = report.manifests(ledgers.attacked(spark, d))
     at = lambda path: F.get_json_object("manifest", f"$.{path}")
@@ -555,7 +605,8 @@ def missing_blocks(spark: SparkSession, d: str) -> DataFrame:
     return audit.missing_blocks(left, ledgers.checkpoints(spark, d)).select("ledger", "finding_id", "severity")
 
 
-@query(ledgers.SQL + "SELECT ledger, checkpoint_id, CAST(count_if(start_sequence IS NULL) AS BIGINT) AS accepted, CAST(max(receipt_count) AS BIGINT) AS tried FROM chk WHERE receipt_count > 1 GROUP BY ledger, checkpoint_id")
+@query(ledgers.SQL + "SELECT ledger, checkpoint_id, CAST(count_if(start_sequence IS NULL) AS BIGINT) AS accepted, CAST(max(receipt_count) "
+    "AS BIGINT) AS tried FROM chk WHERE receipt_count > 1 GROUP BY ledger, checkpoint_id")
 def broken_proofs(spark: SparkSession, d: str) -> DataFrame:
     """Inclusion proofs with another receipt's leaf: none may verify."""
     receipts = ledgers.honest(spark, d).select(F.col("user_id").cast("string").alias("ledger"), "seq", "hash")
@@ -571,8 +622,10 @@ def broken_proofs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH n AS (SELECT n_nationkey AS k, n_name, n_regionkey AS r, n_nationkey * 1000 AS big FROM nation)
-SELECT k, sha256(unhex('A4616BF5616E' || CASE WHEN length(n_name) < 24 THEN printf('%02X', 96 + length(n_name)) ELSE '78' || printf('%02X', length(n_name)) END || hex(encode(n_name)) || '6172' || printf('%02X', r)
-       || '63626967' || CASE WHEN big < 24 THEN printf('%02X', big) WHEN big < 256 THEN '18' || printf('%02X', big) ELSE '19' || printf('%04X', big) END)) AS digest FROM n
+SELECT k, sha256(unhex('A4616BF5616E' || CASE WHEN length(n_name) < 24 THEN printf('%02X', 96 + length(n_name)) ELSE '78' || printf('%02X', length(n_name))
+  END || hex(encode(n_name)) || '6172' || printf('%02X', r)
+       || '63626967' || CASE WHEN big < 24 THEN printf('%02X', big) WHEN big < 256 THEN '18' || printf('%02X', big) ELSE '19' || printf('%04X',
+         big) END)) AS digest FROM n
 """)
 def canonical_cbor_digests(spark: SparkSession, d: str) -> DataFrame:
     """Deterministic CBOR of small maps, whatever the order they were made in."""
@@ -585,8 +638,10 @@ def canonical_cbor_digests(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT s_suppkey AS s, concat_ws(',', CASE WHEN s_suppkey % 5 = 0 THEN 'sha256' END, CASE WHEN s_suppkey % 7 = 0 THEN 'format' END, CASE WHEN s_suppkey % 3 = 0 THEN 'image_metadata' END, CASE WHEN s_suppkey % 4 = 0 THEN 'bbox' END,
-       CASE WHEN s_suppkey % 6 = 0 THEN 'class_name' END, CASE WHEN s_suppkey % 8 = 0 THEN 'contributor_id' END) AS problems, s_suppkey % 2 = 0 AS polygon FROM supplier
+SELECT s_suppkey AS s, concat_ws(',', CASE WHEN s_suppkey % 5 = 0 THEN 'sha256' END, CASE WHEN s_suppkey % 7 = 0 THEN 'format' END, CASE WHEN
+  s_suppkey % 3 = 0 THEN 'image_metadata' END, CASE WHEN s_suppkey % 4 = 0 THEN 'bbox' END,
+       CASE WHEN s_suppkey % 6 = 0 THEN 'class_name' END, CASE WHEN s_suppkey % 8 = 0 THEN 'contributor_id' END) AS problems, s_suppkey % 2 =
+         0 AS polygon FROM supplier
 """)
 def asset_problems(spark: SparkSession, d: str) -> DataFrame:
     """Assets that break the rules of their schema, and which have polygons."""
@@ -601,7 +656,10 @@ def asset_problems(spark: SparkSession, d: str) -> DataFrame:
         "s", F.concat(F.lit("a"), s.cast("string")).alias("asset_id"), F.when(s % 5 == 0, "short").otherwise(F.sha2(s.cast("string"), 256)).alias("sha256"), every(7, "VOC", "COCO").alias("format"),
         size.alias("image_metadata"), F.array(note).alias("annotations"), every(8, "", "c").alias("contributor_id"),
     )
-    return rows.select("s", F.array_join(asset_violations(), ",").alias("problems"), F.exists("annotations", lambda a: has_polygon(a["segmentation"])).alias("polygon"))
+    return rows.select(
+        "s", F.array_join(asset_violations(), ",").alias("problems"),
+        F.exists("annotations", lambda a: has_polygon(a["segmentation"])).alias("polygon")
+    )
 
 
 def _plain_pictures(spark: SparkSession, d: str) -> Path:
@@ -616,7 +674,8 @@ def _plain_pictures(spark: SparkSession, d: str) -> Path:
 
 
 @query("""
-WITH c AS (SELECT n_nationkey AS k, n_nationkey * 10 % 256 / 255.0::DOUBLE AS r, n_nationkey * 7 % 256 / 255.0::DOUBLE AS g, n_nationkey * 3 % 256 / 255.0::DOUBLE AS b FROM nation)
+WITH c AS (SELECT n_nationkey AS k, n_nationkey * 10 % 256 / 255.0::DOUBLE AS r, n_nationkey * 7 % 256 / 255.0::DOUBLE AS g, n_nationkey * 3
+  % 256 / 255.0::DOUBLE AS b FROM nation)
 SELECT k, j, round((r + 2 * g + 3 * b) * (j + 1) / 64 + j / 8, 3) AS logit, NULL AS error FROM c, range(10) t(j)
 UNION ALL SELECT -1, NULL, NULL, 'KeyError'
 """)
@@ -627,20 +686,26 @@ def demo_inference(spark: SparkSession, d: str) -> DataFrame:
     model = encoder.verified(str(folder / "demo.onnx"), pin)
     images = encoder.read_images(spark, str(folder))
     done = encoder.infer(images, model, {"image_size": (8, 8)})
-    failed = encoder.infer(images.limit(1), model, {}).select(F.lit(-1).alias("k"), F.lit(None).cast("int").alias("j"), F.lit(None).cast("double").alias("logit"), F.substring_index("error", ":", 1).alias("error"))
+    failed = encoder.infer(images.limit(1), model, {}).select(
+        F.lit(-1).alias("k"), F.lit(None).cast("int").alias("j"), F.lit(None).cast("double").alias("logit"),
+        F.substring_index("error", ":", 1).alias("error")
+    )
 
     @F.pandas_udf("array<double>")
     def floats(content: pd.Series) -> pd.Series:
         return content.map(lambda b: np.frombuffer(b, "<f4").astype(float).tolist())
 
     k = F.regexp_extract("path", "p([0-9]+)\\.bmp$", 1).cast("int")
-    rows = done.filter("error is null").select(k.alias("k"), F.posexplode(floats("output_bytes")).alias("j", "logit"), F.lit(None).cast("string").alias("error"))
+    rows = done.filter("error is null").select(
+        k.alias("k"), F.posexplode(floats("output_bytes")).alias("j", "logit"), F.lit(None).cast("string").alias("error")
+    )
     return rows.withColumn("logit", F.round("logit", 3)).unionByName(failed)
 
 
 @query("""
 WITH c AS (SELECT n_nationkey AS k, n_nationkey * 10 % 256 AS r, n_nationkey * 7 % 256 AS g, n_nationkey * 3 % 256 AS b FROM nation)
-SELECT k, 384 AS width, round((r / 255.0::DOUBLE - 0.485) / 0.229 / 8 + (g / 255.0::DOUBLE - 0.456) / 0.224 / 4 + (b / 255.0::DOUBLE - 0.406) / 0.225 * 3 / 8 + 0.5, 2) AS first, k % 2 = 0 AS has_subject FROM c
+SELECT k, 384 AS width, round((r / 255.0::DOUBLE - 0.485) / 0.229 / 8 + (g / 255.0::DOUBLE - 0.456) / 0.224 / 4 + (b / 255.0::DOUBLE - 0.406)
+  / 0.225 * 3 / 8 + 0.5, 2) AS first, k % 2 = 0 AS has_subject FROM c
 """)
 def encoder_features(spark: SparkSession, d: str) -> DataFrame:
     """Plain pictures through a pinned stub encoder: decoded, resized, normalised, averaged; the subject for one half of them."""
@@ -655,11 +720,15 @@ def encoder_features(spark: SparkSession, d: str) -> DataFrame:
         parts.append(encoder.features(encoder.read_images(spark, str(folder / str(half))), data, data, tier, magic))
     k = F.regexp_extract("path", "p([0-9]+)\\.bmp$", 1).cast("int")
     both = parts[0].unionByName(parts[1])
-    return both.select(k.alias("k"), F.size("e_ref").alias("width"), F.round(F.get("e_ref", 0).cast("double"), 2).alias("first"), F.col("e_sub").isNotNull().alias("has_subject"))
+    return both.select(
+        k.alias("k"), F.size("e_ref").alias("width"), F.round(F.get("e_ref", 0).cast("double"), 2).alias("first"),
+        F.col("e_sub").isNotNull().alias("has_subject")
+    )
 
 
 @query("""
-SELECT n_nationkey AS k, CASE n_nationkey % 4 WHEN 0 THEN 'T2' WHEN 1 THEN 'T1' ELSE 'T0' END AS tier, CASE WHEN n_nationkey % 4 = 3 THEN 'UNREFERENCED' ELSE 'BOOTSTRAPPED' END AS mode FROM nation
+SELECT n_nationkey AS k, CASE n_nationkey % 4 WHEN 0 THEN 'T2' WHEN 1 THEN 'T1' ELSE 'T0' END AS tier, CASE WHEN n_nationkey % 4 = 3 THEN 'UNREFERENCED'
+  ELSE 'BOOTSTRAPPED' END AS mode FROM nation
 """)
 def api_inspections(spark: SparkSession, d: str) -> DataFrame:
     """The older API probe over replies with weights, with scores, with labels, and over a call that fails."""
@@ -673,23 +742,31 @@ def api_inspections(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, m.access_tier, m.reference_mode) for k, m in seen], "k int, tier string, mode string")
 
 
-@query("SELECT 'T2' AS access_tier, 'CLASSIFICATION' AS task_type, 'BOOTSTRAPPED' AS reference_mode, count(*) AS assets, count(DISTINCT source) AS contributors, sha256('PK rest') AS model_digest FROM documents")
+@query("SELECT 'T2' AS access_tier, 'CLASSIFICATION' AS task_type, 'BOOTSTRAPPED' AS reference_mode, count(*) AS assets, count(DISTINCT "
+    "source) AS contributors, sha256('PK rest') AS model_digest FROM documents")
 def probe_matrix(spark: SparkSession, d: str) -> DataFrame:
     """A whole probe: a model file, assets without boxes, contributors to bootstrap from."""
     model = _folder(spark, "probe") / "m.pt"
     model.write_text("PK rest")
-    assets = table(spark, d, "documents").select(F.col("source").alias("contributor_id"), F.array().cast(f"array<{ANNOTATION.simpleString()}>").alias("annotations"))
+    assets = table(spark, d, "documents").select(
+        F.col("source").alias("contributor_id"), F.array().cast(f"array<{ANNOTATION.simpleString()}>").alias("annotations")
+    )
     found = probe.probe(assets, model).frame(spark)
     seen = lambda path, kind: F.from_json("metadata", kind)[path]
     members = F.size(seen("contributor_ids", "contributor_ids array<string>")).cast("long")
-    return found.select("access_tier", "task_type", "reference_mode", seen("asset_count", "asset_count long").alias("assets"), members.alias("contributors"), "model_digest")
+    return found.select(
+        "access_tier", "task_type", "reference_mode", seen("asset_count", "asset_count long").alias("assets"),
+        members.alias("contributors"), "model_digest"
+    )
 
 
 @query("""
-WITH p AS (SELECT user_id % 12 AS trigger_id, event_id % 5 AS clean, CASE WHEN user_id % 12 = 3 THEN 7 WHEN event_id % 10 = 0 THEN event_id % 3 ELSE event_id % 5 END AS turned FROM events),
+WITH p AS (SELECT user_id % 12 AS trigger_id, event_id % 5 AS clean, CASE WHEN user_id % 12 = 3 THEN 7 WHEN event_id % 10 = 0 THEN event_id %
+  3 ELSE event_id % 5 END AS turned FROM events),
 h AS (SELECT trigger_id, turned AS target, count_if(clean <> turned) AS hits FROM p GROUP BY ALL),
 b AS (SELECT trigger_id, arg_max(target, hits * 100 + target) AS target, max(hits) AS hits FROM h GROUP BY trigger_id)
-SELECT trigger_id, target, CAST(hits AS BIGINT) AS hits, round(hits / n, 9) AS success FROM b JOIN (SELECT trigger_id, count(*) AS n FROM p GROUP BY trigger_id) USING (trigger_id)
+SELECT trigger_id, target, CAST(hits AS BIGINT) AS hits, round(hits / n, 9) AS success FROM b JOIN (SELECT trigger_id, count(*) AS n FROM p GROUP
+  BY trigger_id) USING (trigger_id)
 """)
 def trigger_effects(spark: SparkSession, d: str) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id") % 12
@@ -707,5 +784,8 @@ def key_round_trips(spark: SparkSession, d: str) -> DataFrame:
         (folder / f"{k}.pem").write_bytes(public)
         pub, other = ed25519.load_public((folder / f"{k}.pem").read_bytes()), ed25519.load_public(ed25519.generate_keys(SEED)[1])
         s = ed25519.sign_hex(private, name)
-        rows.append((k, ed25519.verify_hex(pub, name, s), ed25519.verify_hex(pub, name + "x", s), ed25519.verify_hex(other, name, s), ed25519.load_private(private) == bytes([k + 1]) * 32))
+        rows.append((
+            k, ed25519.verify_hex(pub, name, s), ed25519.verify_hex(pub, name + "x", s), ed25519.verify_hex(other, name, s),
+            ed25519.load_private(private) == bytes([k + 1]) * 32
+        ))
     return spark.createDataFrame(rows, "k int, own boolean, other_text boolean, other_key boolean, parsed boolean")

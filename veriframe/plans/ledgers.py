@@ -17,7 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def payload_json(asset: Column, model: Column, nonce: Column, seq: Column) -> Column:
     """Canonical JSON of a payload of four members."""
-    return F.concat(F.lit('{"input_image_sha256":"'), asset, F.lit('","model_weight_digest":"'), model, F.lit('","nonce":"'), nonce, F.lit('","sequence_number":'), seq.cast("string"), F.lit("}"))
+    return F.concat(
+        F.lit('{"input_image_sha256":"'), asset, F.lit('","model_weight_digest":"'), model, F.lit('","nonce":"'), nonce,
+        F.lit('","sequence_number":'), seq.cast("string"), F.lit("}")
+    )
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +28,9 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
     text = F.col("event_id").cast("string")
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", seq.alias("seq"), F.sha2(text, 256).alias("asset"), F.md5(text).alias("nonce"))
-    return rows.withColumn("model", F.sha2(F.lit(MODEL), 256)).withColumn("payload_json", payload_json(F.col("asset"), F.col("model"), F.col("nonce"), F.col("seq")))
+    return rows.withColumn("model", F.sha2(F.lit(MODEL), 256)).withColumn(
+        "payload_json", payload_json(F.col("asset"), F.col("model"), F.col("nonce"), F.col("seq"))
+    )
 
 
 def honest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +41,10 @@ def honest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = checkpoints_of(honest(spark, sf_dir), BLOCK, chain="user_id")
     pos = F.row_number().over(Window.partitionBy("user_id").orderBy("start_sequence")) - 1
-    return found.select(F.col("user_id").cast("string").alias("ledger"), pos.cast("long").alias("pos"), "checkpoint_id", "start_sequence", "end_sequence", "receipt_count", "merkle_root")
+    return found.select(
+        F.col("user_id").cast("string").alias("ledger"), pos.cast("long").alias("pos"), "checkpoint_id", "start_sequence", "end_sequence",
+        "receipt_count", "merkle_root"
+    )
 
 
 def attacked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +60,9 @@ def attacked(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     return hit.select(
-        F.col("user_id").cast("string").alias("ledger"), "pos", payload_json(F.col("asset"), F.col("model"), F.col("nonce"), F.col("seq")).alias("payload_json"),
+        F.col("user_id").cast("string").alias("ledger"), "pos", payload_json(
+            F.col("asset"), F.col("model"), F.col("nonce"), F.col("seq")
+        ).alias("payload_json"),
         "seq", "prev", "hash", F.lit("").alias("signature"), "nonce", "model", "asset", F.lit("").alias("output"), F.lit(None).cast("string").alias("image_path"),
     )
 
@@ -63,7 +73,8 @@ WITH RECURSIVE base AS (
   SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, sha256(CAST(event_id AS VARCHAR)) AS asset,
          md5(CAST(event_id AS VARCHAR)) AS nonce, sha256('attested model') AS model FROM events),
 pl AS (
-  SELECT *, '{"input_image_sha256":"' || asset || '","model_weight_digest":"' || model || '","nonce":"' || nonce || '","sequence_number":' || seq || '}' AS payload_json FROM base),
+  SELECT *, '{"input_image_sha256":"' || asset || '","model_weight_digest":"' || model || '","nonce":"' || nonce || '","sequence_number":' ||
+    seq || '}' AS payload_json FROM base),
 chain AS (
   SELECT user_id, event_id, seq, payload_json, repeat('0', 64) AS prev,
          sha256('{"payload":' || payload_json || ',"prev_receipt_hash":"' || repeat('0', 64) || '"}') AS hash FROM pl WHERE seq = 1
@@ -76,7 +87,8 @@ tree AS (
   SELECT x.user_id, x.blk, x.i // 2, sha256(unhex(x.h) || unhex(coalesce(y.h, x.h))), (x.n + 1) // 2
   FROM tree x LEFT JOIN tree y ON x.user_id = y.user_id AND x.blk = y.blk AND x.n = y.n AND y.i = x.i + 1 WHERE x.i % 2 = 0 AND x.n > 1),
 chk AS (
-  SELECT CAST(c.user_id AS VARCHAR) AS ledger, c.blk AS pos, 'CHK-' || lpad(CAST(c.blk + 1 AS VARCHAR), 4, '0') AS checkpoint_id, c.start_sequence, c.end_sequence, c.receipt_count, t.h AS merkle_root
+  SELECT CAST(c.user_id AS VARCHAR) AS ledger, c.blk AS pos, 'CHK-' || lpad(CAST(c.blk + 1 AS VARCHAR), 4, '0') AS checkpoint_id, c.start_sequence,
+    c.end_sequence, c.receipt_count, t.h AS merkle_root
   FROM (SELECT user_id, (seq - 1) // 10 AS blk, min(seq) AS start_sequence, max(seq) AS end_sequence, count(*) AS receipt_count FROM chain GROUP BY ALL) c
   JOIN tree t ON t.user_id = c.user_id AND t.blk = c.blk AND t.n = 1),
 att0 AS (
@@ -86,21 +98,28 @@ att0 AS (
          CASE WHEN c.event_id % 107 = 3 THEN sha256('other model') ELSE b.model END AS model
   FROM chain c JOIN base b USING (user_id, seq) WHERE c.event_id % 101 <> 5),
 att AS (
-  SELECT *, '{"input_image_sha256":"' || asset || '","model_weight_digest":"' || model || '","nonce":"' || nonce || '","sequence_number":' || seq || '}' AS payload_json,
+  SELECT *, '{"input_image_sha256":"' || asset || '","model_weight_digest":"' || model || '","nonce":"' || nonce || '","sequence_number":' ||
+    seq || '}' AS payload_json,
          lag(hash, 1, repeat('0', 64)) OVER w AS expected, lag(seq, 1, 0) OVER w AS last_seq
   FROM att0 WINDOW w AS (PARTITION BY ledger ORDER BY pos)),
-k1 AS (SELECT *, 1 AS check_no, 1 AS sub_no, 'FINDING-M3-CHAIN-BREAK-SEQ-' || seq AS finding_id, 'hash_chain_verifier' AS detector, 1.0::DOUBLE AS score, 'critical' AS severity FROM att WHERE prev <> expected),
+k1 AS (SELECT *, 1 AS check_no, 1 AS sub_no, 'FINDING-M3-CHAIN-BREAK-SEQ-' || seq AS finding_id, 'hash_chain_verifier' AS detector, 1.0::DOUBLE
+  AS score, 'critical' AS severity FROM att WHERE prev <> expected),
 k2 AS (
-  SELECT *, 1 AS check_no, 2 AS sub_no, 'FINDING-M3-TAMPER-SEQ-' || seq AS finding_id, 'payload_integrity_verifier' AS detector, 1.0::DOUBLE AS score, 'critical' AS severity
+  SELECT *, 1 AS check_no, 2 AS sub_no, 'FINDING-M3-TAMPER-SEQ-' || seq AS finding_id, 'payload_integrity_verifier' AS detector, 1.0::DOUBLE
+    AS score, 'critical' AS severity
   FROM att WHERE sha256('{"payload":' || payload_json || ',"prev_receipt_hash":"' || prev || '"}') <> hash),
-k3 AS (SELECT *, 2 AS check_no, 1 AS sub_no, 'FINDING-M3-SEQ-BREAK-SEQ-' || seq AS finding_id, 'sequence_monotonicity_checker' AS detector, 0.95::DOUBLE AS score, 'high' AS severity FROM att WHERE seq <= last_seq),
+k3 AS (SELECT *, 2 AS check_no, 1 AS sub_no, 'FINDING-M3-SEQ-BREAK-SEQ-' || seq AS finding_id, 'sequence_monotonicity_checker' AS detector, 0.95::DOUBLE
+  AS score, 'high' AS severity FROM att WHERE seq <= last_seq),
 rep AS (
   SELECT *, row_number() OVER w AS use_no, first_value(seq) OVER w AS first_seq FROM att WINDOW w AS (PARTITION BY ledger, nonce ORDER BY pos)),
-k4 AS (SELECT *, 2 AS check_no, 2 AS sub_no, 'FINDING-M3-REPLAY-SEQ-' || seq AS finding_id, 'replay_attack_detector' AS detector, 1.0::DOUBLE AS score, 'critical' AS severity FROM rep WHERE use_no > 1),
-k6 AS (SELECT *, 4 AS check_no, 1 AS sub_no, 'FINDING-M3-MODEL-SUB-SEQ-' || seq AS finding_id, 'model_integrity_attestation' AS detector, 1.0::DOUBLE AS score, 'critical' AS severity FROM att WHERE model <> sha256('attested model')),
+k4 AS (SELECT *, 2 AS check_no, 2 AS sub_no, 'FINDING-M3-REPLAY-SEQ-' || seq AS finding_id, 'replay_attack_detector' AS detector, 1.0::DOUBLE
+  AS score, 'critical' AS severity FROM rep WHERE use_no > 1),
+k6 AS (SELECT *, 4 AS check_no, 1 AS sub_no, 'FINDING-M3-MODEL-SUB-SEQ-' || seq AS finding_id, 'model_integrity_attestation' AS detector, 1.0::DOUBLE
+  AS score, 'critical' AS severity FROM att WHERE model <> sha256('attested model')),
 lastdup AS (SELECT ledger, seq, arg_max(hash, pos) AS hash FROM att GROUP BY ledger, seq),
 leaf AS (
-  SELECT c.ledger, c.pos, row_number() OVER (PARTITION BY c.ledger, c.pos ORDER BY l.seq) - 1 AS i, l.hash AS h, count(*) OVER (PARTITION BY c.ledger, c.pos) AS n
+  SELECT c.ledger, c.pos, row_number() OVER (PARTITION BY c.ledger, c.pos ORDER BY l.seq) - 1 AS i, l.hash AS h, count(*) OVER (PARTITION BY
+    c.ledger, c.pos) AS n
   FROM chk c JOIN lastdup l ON l.ledger = c.ledger AND l.seq BETWEEN c.start_sequence AND c.end_sequence),
 tree2 AS (
   SELECT ledger, pos, i, h, n FROM leaf
@@ -108,10 +127,12 @@ tree2 AS (
   SELECT x.ledger, x.pos, x.i // 2, sha256(unhex(x.h) || unhex(coalesce(y.h, x.h))), (x.n + 1) // 2
   FROM tree2 x LEFT JOIN tree2 y ON x.ledger = y.ledger AND x.pos = y.pos AND x.n = y.n AND y.i = x.i + 1 WHERE x.i % 2 = 0 AND x.n > 1),
 k7 AS (
-  SELECT c.ledger, c.pos, c.checkpoint_id, t.h AS computed, c.merkle_root, 5 AS check_no, 1 AS sub_no, 'FINDING-M3-MERKLE-MISMATCH-' || c.checkpoint_id AS finding_id, 'merkle_checkpoint_verifier' AS detector,
+  SELECT c.ledger, c.pos, c.checkpoint_id, t.h AS computed, c.merkle_root, 5 AS check_no, 1 AS sub_no, 'FINDING-M3-MERKLE-MISMATCH-' || c.checkpoint_id
+    AS finding_id, 'merkle_checkpoint_verifier' AS detector,
          1.0::DOUBLE AS score, 'critical' AS severity
   FROM chk c JOIN tree2 t ON t.ledger = c.ledger AND t.pos = c.pos AND t.n = 1 WHERE t.h <> c.merkle_root),
-k5 AS (SELECT DISTINCT ledger, 0::BIGINT AS pos, 3 AS check_no, 1 AS sub_no, 'FINDING-M3-SIG-UNAVAILABLE' AS finding_id, 'ed25519_signature_verifier' AS detector, 0.0::DOUBLE AS score, 'info' AS severity FROM att),
+k5 AS (SELECT DISTINCT ledger, 0::BIGINT AS pos, 3 AS check_no, 1 AS sub_no, 'FINDING-M3-SIG-UNAVAILABLE' AS finding_id, 'ed25519_signature_verifier'
+  AS detector, 0.0::DOUBLE AS score, 'info' AS severity FROM att),
 found AS (
   SELECT ledger, pos, check_no, sub_no, finding_id, detector, score, severity FROM k1
   UNION ALL SELECT ledger, pos, check_no, sub_no, finding_id, detector, score, severity FROM k2

@@ -37,7 +37,9 @@ def run_shift(samples: DataFrame, features: list[str], side: str) -> DataFrame:
     out = None
     for c in features:
         ks = shift.ks_statistic(samples, c, F.col(side))
-        one = ks.crossJoin(shift.mmd_quadratic(samples, c, F.col(side)).select("mmd2")).select(F.lit(c).alias("feature"), F.lit(family[c]).alias("family"), "n_a", "n_b", "ks", "mmd2")
+        one = ks.crossJoin(shift.mmd_quadratic(samples, c, F.col(side)).select("mmd2")).select(
+            F.lit(c).alias("feature"), F.lit(family[c]).alias("family"), "n_a", "n_b", "ks", "mmd2"
+        )
         out = one if out is None else out.unionByName(one)
     return out
 

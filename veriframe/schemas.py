@@ -35,7 +35,9 @@ ASSET = T.StructType(
 )
 MATRIX = T.StructType(
     [
-        *(T.StructField(n, T.StringType()) for n in ("access_tier", "task_type", "reference_mode", "model_digest", "reference_profile_digest", "probe_timestamp", "source")),
+        *(T.StructField(n, T.StringType()) for n in (
+            "access_tier", "task_type", "reference_mode", "model_digest", "reference_profile_digest", "probe_timestamp", "source"
+        )),
         T.StructField("metadata", T.StringType()),  # JSON
     ]
 )

@@ -86,7 +86,10 @@ def _number(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), text.cast("double"))
 
 
-def read_coco(spark: SparkSession, annotations_json: str | Path, image_root: str | Path, contributor: str, strict: bool = False, keep_bad: bool = False) -> DataFrame:
+def read_coco(
+    spark: SparkSession, annotations_json: str | Path, image_root: str | Path, contributor: str, strict: bool = False,
+    keep_bad: bool = False
+) -> DataFrame:
     """Assets of a COCO file: images left-joined with their usable annotations in file order, categories by id, the last of a
     repeated id. Images that are not on disk or can't be read are dropped, or raise in strict reads; unusable boxes are
     passed over in either."""
@@ -97,8 +100,12 @@ def read_coco(spark: SparkSession, annotations_json: str | Path, image_root: str
         raise MissingAssetError(f"no image folder {root}")
     # the document is parsed once; what it lists is a table of rows from then on
     doc = spark.read.text(str(path), wholetext=True).select(F.try_parse_json("value").alias("v"))
-    lists = F.array(*(F.struct(F.lit(k).alias("part"), F.try_variant_get("v", f"$.{k}", "array<variant>").alias("rows")) for k in ("images", "annotations", "categories")))
-    listed = doc.select(F.col("v").isNotNull().alias("json"), F.explode(lists).alias("l")).select("json", "l.part", F.posexplode_outer("l.rows").alias("at", "r"))
+    lists = F.array(*(F.struct(
+        F.lit(k).alias("part"), F.try_variant_get("v", f"$.{k}", "array<variant>").alias("rows")
+    ) for k in ("images", "annotations", "categories")))
+    listed = doc.select(
+        F.col("v").isNotNull().alias("json"), F.explode(lists).alias("l")
+    ).select("json", "l.part", F.posexplode_outer("l.rows").alias("at", "r"))
     every = materialize(listed.select("json", "part", "at", F.to_json("r").alias("r")), "coco")
     if every.filter("json").isEmpty():
         raise CorruptAnnotationError(f"{path} is no JSON")
@@ -106,15 +113,27 @@ def read_coco(spark: SparkSession, annotations_json: str | Path, image_root: str
         raise CorruptAnnotationError(f"{path} lists no images")
     rows = lambda key: every.filter((F.col("part") == key) & F.col("at").isNotNull()).select("at", F.try_parse_json("r").alias("r"))
     get = lambda k, kind: F.try_variant_get("r", f"$.{k}", kind)
-    names = rows("categories").select(get("id", "int").alias("category_id"), F.struct("at", F.coalesce(get("name", "string"), F.concat(F.lit("class_"), get("id", "string"))).alias("name")).alias("n"))
+    names = rows("categories").select(
+        get("id", "int").alias("category_id"),
+        F.struct("at", F.coalesce(get("name", "string"), F.concat(F.lit("class_"), get("id", "string"))).alias("name")).alias("n")
+    )
     names = names.filter("category_id is not null").groupBy("category_id").agg(F.max("n").alias("n")).select("category_id", F.col("n.name").alias("class_name"))
-    notes = rows("annotations").select("at", get("image_id", "long").alias("image_id"), get("category_id", "int").alias("category_id"), coco_box(get("bbox", "array<double>")).alias("bbox"))
+    notes = rows("annotations").select(
+        "at", get("image_id", "long").alias("image_id"), get("category_id", "int").alias("category_id"),
+        coco_box(get("bbox", "array<double>")).alias("bbox")
+    )
     if strict and not notes.filter("image_id is null").isEmpty():
         raise CorruptAnnotationError(f"{path} has an annotation without image_id")
     notes = notes.filter("bbox is not null and category_id is not null and image_id is not null").join(names, "category_id", "left")
-    note = F.struct("bbox", "category_id", F.coalesce("class_name", F.concat(F.lit("class_"), F.col("category_id").cast("string"))).alias("class_name"), F.lit(None).cast("array<array<double>>").alias("segmentation"))
+    note = F.struct(
+        "bbox", "category_id", F.coalesce("class_name", F.concat(F.lit("class_"), F.col("category_id").cast("string"))).alias("class_name"),
+        F.lit(None).cast("array<array<double>>").alias("segmentation")
+    )
     grouped = notes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("at", note.alias("note")))).alias("notes"))
-    images = rows("images").select(F.col("at").alias("order"), get("id", "string").alias("id"), get("id", "long").alias("image_id"), get("file_name", "string").alias("name"))
+    images = rows("images").select(
+        F.col("at").alias("order"), get("id", "string").alias("id"), get("id", "long").alias("image_id"),
+        get("file_name", "string").alias("name")
+    )
     found = images.join(_images(spark, root), "name", "left").join(grouped, "image_id", "left")
     where = F.concat(F.lit(f"{root}/"), "name")
     bad = (
@@ -206,7 +225,10 @@ def _labels(spark: SparkSession, folder: Path) -> DataFrame:
     return files.select(stem.alias("stem"), F.sha2("content", 256).alias("label_sha256"), fields.alias("rows"), F.when(wrong, plain).alias("label_error"))
 
 
-def read_yolo(spark: SparkSession, root: str | Path, contributor: str, data_yaml: str | Path | None = None, strict: bool = False, keep_bad: bool = False) -> DataFrame:
+def read_yolo(
+    spark: SparkSession, root: str | Path, contributor: str, data_yaml: str | Path | None = None, strict: bool = False,
+    keep_bad: bool = False
+) -> DataFrame:
     """Assets of a YOLO data set, with `label_sha256`. An image in several split folders counts once, as of the first. One
     line that can't be read makes its whole image unusable; boxes without area are dropped."""
     root = Path(root).resolve()
@@ -228,7 +250,10 @@ def read_yolo(spark: SparkSession, root: str | Path, contributor: str, data_yaml
         if labels.is_dir():
             images = images.join(_labels(spark, labels), "stem", "left")
         else:
-            images = images.withColumns({"label_sha256": F.lit(None).cast("string"), "rows": F.lit(None).cast("array<array<double>>"), "label_error": F.lit(None).cast("string")})
+            images = images.withColumns({
+                "label_sha256": F.lit(None).cast("string"), "rows": F.lit(None).cast("array<array<double>>"),
+                "label_error": F.lit(None).cast("string")
+            })
         parts.append(images.withColumn("order", F.lit(order)))
     every = reduce(DataFrame.unionByName, parts)
     first = every.groupBy("path").agg(F.min("order").alias("order")) if len(parts) > 1 else None
@@ -261,7 +286,10 @@ def read_yolo(spark: SparkSession, root: str | Path, contributor: str, data_yaml
 
 def ingest_events(assets: DataFrame) -> DataFrame:
     """(order, file_path, payload): the ledger events of assets, payload being JSON."""
-    cols = [F.col("asset_id"), F.col("file_path"), F.col("format"), F.col("contributor_id"), F.col("sha256").alias("image_sha256"), F.size("annotations").alias("annotation_count")]
+    cols = [
+        F.col("asset_id"), F.col("file_path"), F.col("format"), F.col("contributor_id"), F.col("sha256").alias("image_sha256"),
+        F.size("annotations").alias("annotation_count")
+    ]
     if "label_sha256" in assets.columns:
         cols.append(F.col("label_sha256"))
     return assets.select("order", "file_path", F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("payload"))
