@@ -68,7 +68,9 @@ def _occurrences(docs: DataFrame, block: DataFrame, with_end: bool) -> DataFrame
     start = F.col("p") - F.col("at")
     fits = (start >= 0) & (start + F.size("win") <= F.size("w"))
     same = F.slice("w", start + 1, F.size("win")) == F.col("win")
-    return hit.filter(F.col("win_key").isNull() | (fits & same)).select("id", "h", F.size("w").alias("n"), start.alias("start"), F.size("win").alias("m"), "win_key")
+    return hit.filter(F.col("win_key").isNull() | (fits & same)).select(
+        "id", "h", F.size("w").alias("n"), start.alias("start"), F.size("win").alias("m"), "win_key"
+    )
 
 
 def decontaminate(

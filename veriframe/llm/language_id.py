@@ -306,11 +306,17 @@ def fit(
                 texts.setdefault(lang, []).append(text)
         for lang, own in texts.items():
             codes, n = count_grams(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], names=["lang", "code", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], names=["lang", "code", "n"]
+            )
 
     counted = picked.filter(~F.col("check")).select("text", "lang").mapInArrow(count, "lang string, code long, n long")
     total = counted.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    m = build({x: (g["code"].to_numpy(np.int64).view(np.uint64)[o], g["n"].to_numpy(np.float64)[o]) for x, g in total.groupby("lang") for o in [np.argsort(g["code"].to_numpy(np.int64).view(np.uint64))]})
+    m = build({
+        x: (g["code"].to_numpy(np.int64).view(np.uint64)[o], g["n"].to_numpy(np.float64)[o])
+        for x, g in total.groupby("lang")
+        for o in [np.argsort(g["code"].to_numpy(np.int64).view(np.uint64))]
+    })
     send = docs.sparkSession.sparkContext.broadcast(m)
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +325,9 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(h), pa.list_(pa.float64())), pa.array(n)], names=["lang", "h", "n"])
 
     checks = picked.filter("check").select("text", "lang").mapInArrow(measure, "lang string, h array<double>, n long").toPandas()
-    few = calibrate(m, checks["lang"].to_numpy(object), np.stack(checks["h"].to_list()), checks["n"].to_numpy(np.int64), false_reject) if len(checks) else m.langs
+    few = calibrate(
+        m, checks["lang"].to_numpy(object), np.stack(checks["h"].to_list()), checks["n"].to_numpy(np.int64), false_reject
+    ) if len(checks) else m.langs
     if few:
         unseen = m.unseen
 
@@ -353,7 +361,10 @@ def _predictor(send) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordB
             score = np.where(some, 1 / weight.sum(axis=1), 0.0)
             reject = ~some | (m.standardised(win, n, best) > m.limit[best])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(np.where(some, names[best], UNDETERMINED), pa.string()), pa.array(score), pa.array(np.where(some, win, np.nan), from_pandas=True), pa.array(reject)],
+                [
+                    *batch.columns[:-1], pa.array(np.where(some, names[best], UNDETERMINED), pa.string()), pa.array(score),
+                    pa.array(np.where(some, win, np.nan), from_pandas=True), pa.array(reject)
+                ],
                 names=[*batch.schema.names[:-1], "lang_pred", "score", "cross_entropy", "rejected"],
             )
 
@@ -382,7 +393,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     try:
         m = fit(docs, fold(F.col(id_col), FOLDS) != 0, id_col, text_col, lang_col, **fitting)
     except ValueError:
-        none = [F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected")]
+        none = [
+            F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"),
+            F.lit(True).alias("rejected")
+        ]
         return docs.select(id_col, held_out, *none)
     return predict(docs, m, id_col, text_col, (held_out,))
 

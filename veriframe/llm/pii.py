@@ -350,7 +350,10 @@ def _entities(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         seen[e] = e[1]
                     elif e not in seen or mention < seen[e]:
                         seen[e] = mention
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.string()) for rows in [[(*e, m) for e, m in seen.items()]] for k in range(3)], names=["kind", "entity", "mention"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[k] for x in rows], pa.string()) for rows in [[(*e, m) for e, m in seen.items()]] for k in range(3)],
+            names=["kind", "entity", "mention"]
+        )
 
 
 def _new(kind: str, entity: str, mention: str, key: bytes, draw: int) -> str:
@@ -414,7 +417,10 @@ def _persons(key: bytes):
                 if "-" in genders and untold != guess:
                     rows.append(("gender", person, person, "fm".index(untold)))
                 rows += [("given", f"{g}:{person}", f"{g}:{person}", 0) for g in sorted({*known, *([untold] if "-" in genders else [])})]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32()))], names=["kind", "entity", "mention", "draw"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32()))],
+                names=["kind", "entity", "mention", "draw"]
+            )
 
     return run
 
@@ -453,7 +459,9 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     entities = src.select("text").mapInArrow(_entities, "kind string, entity string, mention string").groupBy("kind", "entity").agg(F.min("mention").alias("mention"))
     entities = materialize(entities, "entities")
     named = entities.filter("kind = 'given'").select(F.expr("substring(entity, 3)").alias("person"), F.expr("substring(entity, 1, 1)").alias("gender"))
-    persons = named.groupBy("person").agg(F.collect_set("gender").alias("genders")).mapInArrow(_persons(key), "kind string, entity string, mention string, draw int")
+    persons = named.groupBy("person").agg(F.collect_set("gender").alias("genders")).mapInArrow(
+        _persons(key), "kind string, entity string, mention string, draw int"
+    )
     given = persons.filter("kind = 'given'").select("kind", "entity", "mention")
     drawn = assign(entities.filter("kind <> 'given'").unionByName(given), key)
     exceptions = materialize(drawn.unionByName(persons.filter("kind = 'gender'").select("kind", "entity", "draw")), "exceptions")
@@ -468,8 +476,16 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
 
         def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in _sliced(batches):
-                pairs = {(r, *e) for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in mentions(t or "") for e in _keys(m[2], m[3])}
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["row", "kind", "entity"])
+                pairs = {
+                    (r, *e)
+                    for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                    for m in mentions(t or "")
+                    for e in _keys(m[2], m[3])
+                }
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p[k] for p in pairs], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))],
+                    names=["row", "kind", "entity"]
+                )
 
         of_row = src.select(row.alias("row"), "text").mapInArrow(held, "row long, kind string, entity string").distinct()
         draws = of_row.join(exceptions, ["kind", "entity"]).groupBy("row").agg(F.collect_list(F.struct("kind", "entity", "draw")).alias("draws"))

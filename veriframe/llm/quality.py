@@ -156,7 +156,9 @@ def fit(
     """
     has_columns(docs, (id_col, text_col))
     has_columns(labels, (id_col, label_col))
-    known = labels.filter(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
+    known = labels.filter(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")
+    )
     rate = min(1.0, sample / max(1, known.count()))
     draw = F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1 << 20)) / float(1 << 20)
     chosen = known.filter(draw < rate)  # `sample` rows but for chance, so it may be broadcast
@@ -194,7 +196,10 @@ def score(docs: DataFrame, w: np.ndarray, id_col: str = "doc_id", text_col: str
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = score_texts(batch.column(batch.num_columns - 1).to_pylist(), send.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
+                names=[*batch.schema.names[:-1], "score", "predicted"]
+            )
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
     return src.mapInArrow(run, f"{kept}, score double, predicted int")

@@ -64,7 +64,10 @@ def list_entries(pages: DataFrame) -> DataFrame:
     up, most of them dropped later, half of those taken up again; one in eleven is on an allowing list."""
     h, first = host(F.col("url")), F.regexp_extract(path(F.col("url")), "^/([^/]+)/", 1)
     domain = F.array_join(F.slice(F.split(h, r"\."), -2, 2), ".")
-    of_url = F.array(F.concat(F.lit("host:"), h), F.when(h.contains("."), F.concat(F.lit("domain:"), domain)), F.when(first != "", F.concat(F.lit("prefix:"), h, F.lit("/"), first, F.lit("/"))))
+    of_url = F.array(
+        F.concat(F.lit("host:"), h), F.when(h.contains("."), F.concat(F.lit("domain:"), domain)),
+        F.when(first != "", F.concat(F.lit("prefix:"), h, F.lit("/"), first, F.lit("/")))
+    )
     patterns = pages.select(F.explode(of_url).alias("pattern")).filter("pattern is not null").distinct()
     x = F.conv(F.substring(F.md5("pattern"), 1, 7), 16, 10).cast("long")
     on = F.floor(F.col("x") / 7) % 300
@@ -141,10 +144,12 @@ FROM documents d LEFT JOIN per_doc p USING (doc_id)
 """,
     "op3_decontamination": r"""
 WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+    AS w
   FROM documents),
 b AS (
-  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+    AS w
   FROM benchmark),
 bw AS (
   SELECT DISTINCT item_id, least(len(w), 8) AS m, array_to_string(w[i:i + least(len(w), 8) - 1], ' ') AS win

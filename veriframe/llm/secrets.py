@@ -32,10 +32,16 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_WEAK_ID = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:name)?|login|client_?id|account_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{4,})""", re.IGNORECASE | re.ASCII)
+_WEAK_ID = re.compile(
+    r"""(?<![A-Za-z0-9])(?:user(?:name)?|login|client_?id|account_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{4,})""",
+    re.IGNORECASE | re.ASCII
+)
 _ID_WORDS = ("user", "login", "client", "account", "access")
 _WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/=])")
-_ENDPOINT = re.compile(r"(?:https?|ftp|jdbc:[a-z]+|mongodb|postgres(?:ql)?|amqps?|redis)://[^\s\"'<>]+|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)+:\d{2,5}(?!\d)", re.ASCII)
+_ENDPOINT = re.compile(
+    r"(?:https?|ftp|jdbc:[a-z]+|mongodb|postgres(?:ql)?|amqps?|redis)://[^\s\"'<>]+|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)+:\d{2,5}(?!\d)",
+    re.ASCII
+)
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 
 Span = tuple[int, int, str]

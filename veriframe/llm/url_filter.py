@@ -40,7 +40,10 @@ def keys(url: Column) -> Column:
     'prefix:h/a/' for the directories of its path and 'prefix:h/a/b' for the whole of it."""
     h, parts = host(url), F.filter(F.split(path(url), "/"), lambda x: x != "")
     labels = F.split(h, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    domains = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
+        lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    )
     dirs = F.transform(
         F.filter(F.sequence(F.lit(0), F.size(parts)), lambda i: i > 0),
         lambda i: F.concat(F.lit("prefix:"), h, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/"), F.when(i < F.size(parts), "/").otherwise("")),
@@ -91,7 +94,9 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     total = F.lit(counts.agg(F.sum("count")).first()[0] or 0)
     limit = F.greatest(F.lit(HOT_ROWS), total / HOT_SHARE)
     hot = F.broadcast(counts.filter(F.col("count") > limit).select("pattern", F.ceil(F.col("count") / limit).cast("int").alias("salts")))
-    salted = wide.join(hot, "pattern", "left").withColumn("salt", F.coalesce(F.pmod("row.a", F.col("salts")), F.lit(0)).cast("int")).withColumn("slice", _slice(F.col("at")))
+    salted = wide.join(hot, "pattern", "left").withColumn(
+        "salt", F.coalesce(F.pmod("row.a", F.col("salts")), F.lit(0)).cast("int")
+    ).withColumn("slice", _slice(F.col("at")))
     spread = cut.join(hot, "pattern", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
     hit = salted.join(spread.select("pattern", "slice", "salt", "list", "effect", "from", "to"), ["pattern", "slice", "salt"])
     hit = hit.filter((F.col("at") >= F.col("from")) & (F.col("to").isNull() | (F.col("at") < F.col("to"))))
