@@ -86,6 +86,37 @@ def test_held_out_rows_teach_nothing(spark, docs):
     assert language_id.identify(a).filter("lang_pred = 'zz'").isEmpty()
 
 
+def test_only_the_most_frequent_languages_are_learned(docs):
+    stray = docs.limit(3).withColumn("lang", F.concat(F.lit("x"), F.col("doc_id").cast("string")))
+    m = language_id.fit(docs.unionByName(stray), F.lit(True), max_langs=4)
+    assert m.langs == ["de", "en", "es", "fr"]
+
+
+def test_tail_level_is_exceeded_by_its_share():
+    rng = np.random.default_rng(1)
+    z = rng.exponential(size=400_000)
+    for share in (1e-2, 1e-3, 1e-4):
+        assert (z > language_id.tail_level(z[:20_000], share)).mean() == pytest.approx(share, rel=0.5)
+    few, many = (np.median([language_id.tail_level(rng.exponential(size=n), 1e-6) for _ in range(200)]) for n in (20, 2000))
+    assert few > many > np.log(1e6)  # fewer texts, a wider limit
+    assert np.isfinite(language_id.tail_level(np.zeros(1), 1e-6)) and language_id.tail_level(np.zeros(50), 1e-6) > 0
+
+
+def test_letters_above_the_bmp_are_told_apart():
+    symbols = lambda t: language_id.normalise([t])[0].tolist()
+    a, b, emoji = chr(0x10400), chr(0x10402), chr(0x1F600)
+    assert symbols(a) != symbols(b) and symbols(a) == symbols(a.lower()) and symbols(f"x{emoji}y") == symbols("x y")
+
+
+def test_a_long_text_scores_as_its_parts_do(docs):
+    m = language_id.fit(docs, F.lit(True))
+    text = " ".join(r["text"] for r in docs.filter("lang = 'en'").select("text").limit(40).collect() if r["text"])
+    long = " ".join([text] * (1 + 600_000 // len(text)))
+    h, n = m.entropies([long, text])
+    assert n[0] > 2 * language_id.BLOCK_CHARS and m.langs[int(h[0].argmin())] == m.langs[int(h[1].argmin())] == "en"
+    assert h[0] == pytest.approx(h[1], rel=1e-3)
+
+
 def test_language_of_odd_texts(odd, empty, docs):
     m = language_id.fit(docs, F.lit(True))
     by = {r["doc_id"]: r for r in language_id.predict(odd, m).filter("doc_id is not null").collect()}

@@ -12,7 +12,8 @@ the number of those documents, so the level is carried on from their upper tenth
 is raised by one standard error: the fewer documents, the further out the level. A language with fewer than LEAST_CHECKS of
 them is cross-validated on all its documents, in pieces if there are few.
 
-The models are fitted on a bounded sample: of each language about `docs_per_lang` documents, chosen by a hash of the id.
+The models are fitted on a bounded sample: of each of the `max_langs` most frequent languages about `docs_per_lang`
+documents, chosen by a hash of the id.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ UNDETERMINED = "und"
 EDGE = 1
 SPACE = 32
 FOLDS = 5
-DOCS_PER_LANG = 1500
+DOCS_PER_LANG, MAX_LANGS = 1500, 200
 FALSE_REJECT = 1e-6
 #: A tail has so many documents at least, and a mean excess of half a standard deviation, about that of a normal one.
 LEAST_TAIL, LEAST_EXCESS = 5, 0.5
@@ -281,8 +282,10 @@ def fit(
     lang_col: str = "lang",
     docs_per_lang: int = DOCS_PER_LANG,
     false_reject: float = FALSE_REJECT,
+    max_langs: int = MAX_LANGS,
 ) -> Models:
-    """Fit on rows where `learn` holds and lang is not null, about docs_per_lang a language.
+    """Fit on rows where `learn` holds and lang is not null, about docs_per_lang a language, of the max_langs languages with
+    the most documents: models are held whole by every worker, so a lang column with stray values may not add to them.
 
     Counting is distributed; what reaches the driver is distinct grams with counts of that bounded sample, and three
     numbers for each of its calibration documents (every fifth by hash), or of the pieces of a rare language. Raises ValueError without any such row.
@@ -290,7 +293,8 @@ def fit(
     has_columns(docs, (id_col, text_col, lang_col))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), learn.alias("learn"))
     rows = rows.filter(F.col("learn") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
+    sizes = {r["lang"]: r["count"] for r in counts.collect()}
     if not sizes:
         raise ValueError("no labelled text to learn from")
     rate = F.lit(None).cast("double")
