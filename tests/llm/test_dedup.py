@@ -51,6 +51,13 @@ def test_exact_dedup_of_a_hot_text(spark, monkeypatch, key):
     assert got.filter("group_size = 1000 and keep_id = 2997").count() == 1000 and got.filter("kept").count() == 2001
 
 
+def test_a_long_text_of_many_copies_is_hot(spark, monkeypatch):
+    monkeypatch.setattr(exact, "HOT_LOAD", 100)
+    df = spark.range(40).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.repeat(F.lit("x"), 50_000)).otherwise(F.col("id").cast("string")).alias("text"))
+    index = exact.build_index(df, "doc_id", "text")
+    assert index.filter("bucket is null").count() == 20 and exact_dedup(df).filter("group_size = 20 and keep_id = 38").count() == 20
+
+
 def test_texts_move_once_to_the_owners_of_their_buckets(spark, docs):
     src = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
     entries = exact.owned(src, 3, [0, 0, 1, 1, 2, 3, 4, 4], 3)

@@ -7,8 +7,8 @@
 3. Each text goes once, to the task that owns the range of buckets its key is in. The owner sorts by key and bytes, so
    equal bytes stand together, and different texts of one key form a chain there, whose links are numbered. It needs no
    other exchange. What it writes to the shared folder is the index: an entry a row, by bucket, and the result is read off it.
-4. A key with over a HOT_SHARE-th of all rows (there are fewer than HOT_SHARE) doesn't go to one owner: its texts are
-   aggregated map side first, as text and count, and its rows are marked where they lie.
+4. A key with over a HOT_SHARE-th of all rows or of all bytes (there are fewer than twice HOT_SHARE) doesn't go to one
+   owner: its texts are aggregated map side first, as text and count, and its rows are marked where they lie.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from .common import has_columns
 CAPACITY, BLOCK = 1 << 12, 4096
 #: Ranges whose loads the driver takes: 2**MAX_DEPTH at most.
 MAX_DEPTH = 20
-HOT_SHARE, HOT_ROWS = 1000, 10_000
+#: The least rows and the least load of a hot key.
+HOT_SHARE, HOT_ROWS, HOT_LOAD = 1000, 10_000, 8192
 
 
 def grow_directory(counts: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH) -> tuple[int, list[int]]:
@@ -70,7 +71,8 @@ def plan(keys: DataFrame, capacity: int) -> tuple[int, list[int], list[int]]:
     """(depth, bucket of each slot, hot keys) for keys (h, n, load)."""
     total = keys.agg(F.sum("n"), F.sum("load")).first()
     n, load = (int(x or 0) for x in total)
-    hot = [r["h"] for r in keys.filter(F.col("n") > max(HOT_ROWS, n // HOT_SHARE)).select("h").collect()]  # under HOT_SHARE rows
+    many = (F.col("n") > max(HOT_ROWS, n // HOT_SHARE)) | (F.col("load") > max(HOT_LOAD, load // HOT_SHARE))
+    hot = [r["h"] for r in keys.filter(many & (F.col("n") > 1)).select("h").collect()]  # under 2 * HOT_SHARE rows
     ranges = min(MAX_DEPTH, max(load // capacity, 1).bit_length() + 2)  # 2**ranges is 4 to 8 times the buckets that are needed
     cold = keys.filter(~F.col("h").isin(hot)) if hot else keys
     cells = cold.groupBy(_prefix(F.col("h"), ranges).alias("p")).agg(F.sum("load").alias("load")).collect()
@@ -98,7 +100,7 @@ def _hot_entries(src: DataFrame) -> DataFrame:
     texts = materialize(src.groupBy("h", "t").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "hot")
     chain = Window.partitionBy("h").orderBy("t")
     links = texts.select("h", "t", "keep_id", "n", F.dense_rank().over(chain).alias("link"))
-    if links.filter("link > 1").isEmpty():  # a row a hot key, fewer than HOT_SHARE: small enough to be sent
+    if links.filter("link > 1").isEmpty():  # a row a hot key, fewer than 2 * HOT_SHARE: small enough to be sent
         both = src.join(F.broadcast(links.drop("t")), "h")
     else:
         both = src.join(links, ["h", "t"])
