@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_CHARS, blocks, fold, has_columns
+from .common import BLOCK_CHARS, blocks, fold, has_columns, in_arrow
 
 ORDER = 4
 UNDETERMINED = "und"
@@ -314,7 +314,7 @@ def fit(
                 [pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], names=["lang", "code", "n"]
             )
 
-    counted = picked.filter(~F.col("check")).select("text", "lang").mapInArrow(count, "lang string, code long, n long")
+    counted = picked.filter(~F.col("check")).select("text", "lang").transform(in_arrow(count, "lang string, code long, n long"))
     total = counted.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     m = build({
         x: (g["code"].to_numpy(np.int64).view(np.uint64)[o], g["n"].to_numpy(np.float64)[o])
@@ -328,7 +328,7 @@ def fit(
             h, n = send.value.entropies(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(h), pa.list_(pa.float64())), pa.array(n)], names=["lang", "h", "n"])
 
-    checks = picked.filter("check").select("text", "lang").mapInArrow(measure, "lang string, h array<double>, n long").toPandas()
+    checks = picked.filter("check").select("text", "lang").transform(in_arrow(measure, "lang string, h array<double>, n long")).toPandas()
     few = calibrate(
         m, checks["lang"].to_numpy(object), np.stack(checks["h"].to_list()), checks["n"].to_numpy(np.int64), false_reject
     ) if len(checks) else m.langs
@@ -385,7 +385,7 @@ def predict(docs: DataFrame, m: Models, id_col: str = "doc_id", text_col: str =
     send = docs.sparkSession.sparkContext.broadcast(m)  # bounded by the sample the models were fitted on
     src = docs.select(F.col(id_col), *extra, F.col(text_col).alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(_predictor(send), f"{kept}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return src.transform(in_arrow(_predictor(send), f"{kept}, lang_pred string, score double, cross_entropy double, rejected boolean"))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **fitting) -> DataFrame:
@@ -422,4 +422,4 @@ def keep_identified(docs: DataFrame, m: Models | None, text_col: str = "text") -
             z = m.standardised(h[np.arange(len(h)), best], n, best)
             yield batch.filter(pa.array((n > 0) & (z <= m.limit[best])))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_arrow(run, docs.schema))

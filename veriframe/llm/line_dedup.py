@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialize, release
-from .common import has_columns
+from .common import has_columns, in_arrow
 
 NEAR_CHARS = 5
 _ROW = ("d1", "d2")
@@ -139,7 +139,7 @@ def _of(batch: pa.RecordBatch, held: list[tuple[int, np.ndarray, np.ndarray]]) -
 def _near(candidates: DataFrame) -> DataFrame:
     """(d1, d2, no) of the candidates that an earlier line is within one edit of, verified."""
     id_type = candidates.schema["id"].dataType.simpleString()
-    emitted = candidates.mapInArrow(_variant_rows, f"id {id_type}, d1 long, d2 long, no int, role int, k1 long, k2 long")
+    emitted = candidates.transform(in_arrow(_variant_rows, f"id {id_type}, d1 long, d2 long, no int, role int, k1 long, k2 long"))
     rows = emitted.select("k1", "k2", "role", F.struct("id", *_ROW, "no").alias("pos"))
     group = Window.partitionBy("k1", "k2")  # bounded, see above; one sorted pass, no table of variants
     least = lambda role: F.min(F.when(F.col("role") == role, F.col("pos"))).over(group)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialize, release
-from .common import has_columns
+from .common import has_columns, in_arrow
 
 KINDS = ("email", "phone", "ssn", "card", "ip", "name")
 EXCEPTIONS = 50_000
@@ -387,7 +387,7 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
     settled: list[DataFrame] = []
     again = entities.withColumn("draw", F.lit(0))
     while True:
-        drawn = again.mapInArrow(_draw(key), shape)
+        drawn = again.transform(in_arrow(_draw(key), shape))
         first = F.min("entity").over(Window.partitionBy("kind", "surrogate"))  # each draw shares its space by chance alone
         taken = reduce(DataFrame.unionByName, [t.filter("not bad").select("kind", "surrogate") for t in settled], real).withColumn("taken", F.lit(True))
         checked = drawn.withColumn("first", first).join(taken.distinct(), ["kind", "surrogate"], "left")
@@ -456,12 +456,12 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     """
     has_columns(docs, (id_col, text_col))
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    entities = src.select("text").mapInArrow(_entities, "kind string, entity string, mention string").groupBy("kind", "entity").agg(F.min("mention").alias("mention"))
+    entities = src.select("text").transform(in_arrow(_entities, "kind string, entity string, mention string")).groupBy("kind", "entity").agg(F.min("mention").alias("mention"))
     entities = materialize(entities, "entities")
     named = entities.filter("kind = 'given'").select(F.expr("substring(entity, 3)").alias("person"), F.expr("substring(entity, 1, 1)").alias("gender"))
-    persons = named.groupBy("person").agg(F.collect_set("gender").alias("genders")).mapInArrow(
+    persons = named.groupBy("person").agg(F.collect_set("gender").alias("genders")).transform(in_arrow(
         _persons(key), "kind string, entity string, mention string, draw int"
-    )
+    ))
     given = persons.filter("kind = 'given'").select("kind", "entity", "mention")
     drawn = assign(entities.filter("kind <> 'given'").unionByName(given), key)
     exceptions = materialize(drawn.unionByName(persons.filter("kind = 'gender'").select("kind", "entity", "draw")), "exceptions")
@@ -470,7 +470,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     few = exceptions.limit(exceptions_limit + 1).collect()
     if len(few) <= exceptions_limit:
         send = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["entity"]): r["draw"] for r in few})
-        out = src.mapInArrow(_replacer(key, lambda: send.value), schema)
+        out = src.transform(in_arrow(_replacer(key, lambda: send.value), schema))
     else:
         row = F.xxhash64("id", "text")
 
@@ -487,7 +487,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
                     names=["row", "kind", "entity"]
                 )
 
-        of_row = src.select(row.alias("row"), "text").mapInArrow(held, "row long, kind string, entity string").distinct()
+        of_row = src.select(row.alias("row"), "text").transform(in_arrow(held, "row long, kind string, entity string")).distinct()
         draws = of_row.join(exceptions, ["kind", "entity"]).groupBy("row").agg(F.collect_list(F.struct("kind", "entity", "draw")).alias("draws"))
-        out = src.withColumn("row", row).join(draws, "row", "left").select("id", "text", "draws").mapInArrow(_replacer(key, None), schema)
+        out = src.withColumn("row", row).join(draws, "row", "left").select("id", "text", "draws").transform(in_arrow(_replacer(key, None), schema))
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "spans")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, fold, has_columns
+from .common import blocks, fold, has_columns, in_arrow
 
 BITS = 18
 SCALE = 20.0
@@ -165,9 +165,9 @@ def fit(
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = src.join(F.broadcast(chosen), "id").select("text", "y", draw.alias("draw"), "id", F.xxhash64("text").alias("h"))
     id_type = src.schema["id"].dataType.simpleString()
-    hashed = rows.mapInArrow(_hash(bits), f"y double, draw double, id {id_type}, h long, slots array<int>, x array<float>")
+    hashed = rows.transform(in_arrow(_hash(bits), f"y double, draw double, id {id_type}, h long, slots array<int>, x array<float>"))
     ordered = hashed.repartition(1).sortWithinPartitions("draw", "id", "y", "h").select("slots", "x", "y")
-    got = ordered.mapInArrow(_train(bits, epochs), "slot int, weight double").toPandas()
+    got = ordered.transform(in_arrow(_train(bits, epochs), "slot int, weight double")).toPandas()
     w = np.zeros((1 << bits) + 1)
     w[got["slot"]] = got["weight"]
     return w
@@ -202,7 +202,7 @@ def score(docs: DataFrame, w: np.ndarray, id_col: str = "doc_id", text_col: str
             )
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(run, f"{kept}, score double, predicted int")
+    return src.transform(in_arrow(run, f"{kept}, score double, predicted int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **fitting) -> DataFrame:

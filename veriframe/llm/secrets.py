@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import has_columns
+from .common import has_columns, in_arrow
 
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -138,7 +138,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     has_columns(docs, (id_col, text_col))
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     spans = "array<struct<kind:string,start:int,end:int,base:boolean>>"
-    return src.mapInArrow(_scan(reach), f"id {src.schema['id'].dataType.simpleString()}, spans {spans}").withColumnRenamed("id", id_col)
+    return src.transform(in_arrow(_scan(reach), f"id {src.schema['id'].dataType.simpleString()}, spans {spans}")).withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, has_columns
+from .common import blocks, has_columns, in_arrow
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -217,7 +217,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     has_columns(docs, (id_col, text_col))
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {src.schema['id'].dataType.simpleString()}, ids array<int>" + ", round_trip boolean" * verify
-    return src.mapInArrow(_encode(_Model(docs, model), verify), schema).withColumnRenamed("id", id_col)
+    return src.transform(in_arrow(_encode(_Model(docs, model), verify), schema)).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
@@ -232,4 +232,4 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mod
             texts = [None if not x.is_valid else codec.decode(x.values.to_pylist()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
+    return src.transform(in_arrow(run, f"id {src.schema['id'].dataType.simpleString()}, text string")).withColumnRenamed("id", id_col)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .common import has_columns, unused
+from .common import has_columns, in_arrow, unused
 from ..operators.components import components
 from .golay import GOLAY, HAMMING
 
@@ -106,7 +106,7 @@ def near_links(fps: DataFrame, threshold: int = 2, groups: int | None = None) ->
     if groups is None:
         n = fps.count()
         groups = sum(n >= least for least in GROUPS_FROM)
-    reps = fps.select("fp").mapInArrow(_replicas(groups, threshold), "anchor long, fp long, home boolean")
+    reps = fps.select("fp").transform(in_arrow(_replicas(groups, threshold), "anchor long, fp long, home boolean"))
     at_home = reps.filter("home").select("anchor", F.col("fp").alias("u"))
     pairs = at_home.join(reps.select("anchor", F.col("fp").alias("v")), "anchor")
     return pairs.filter((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= threshold)).select("u", "v")
@@ -124,7 +124,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     has_columns(docs, (id_col, text_col))
     src = docs.select(F.col(id_col).alias("id"), row_hash(docs, id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     id_type = src.schema["id"].dataType.simpleString()
-    marked = materialize(src.mapInArrow(_fingerprints, f"id {id_type}, row {_ROW_TYPE}, fp long"), "simhash")
+    marked = materialize(src.transform(in_arrow(_fingerprints, f"id {id_type}, row {_ROW_TYPE}, fp long")), "simhash")
     first = F.struct(F.isnull("id").alias("none"), "id", "row")
     distinct = materialize(marked.groupBy("fp").agg(F.min(first).alias("least")), "fingerprints")
     nodes = components(near_links(distinct, threshold, groups))
