@@ -5,6 +5,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,10 +13,24 @@ from llm_helpers import rows
 from pyspark.sql import functions as F
 
 from veriframe.llm import language_id, pii, quality, secrets, url_filter
-from veriframe.llm.common import blocks, fold
+from veriframe.llm.common import blocks, fold, in_arrow
 from veriframe.llm.decontamination import decontaminate, drop_contaminated
 from veriframe.llm.sentencepiece import MODEL, SPACE, Codec, decode, encode
 
+def test_texts_come_in_bounded_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    got = [r["n"] for r in spark.range(5000).coalesce(1).transform(in_arrow(sizes, "n long")).collect()]
+    assert max(got) <= 1024 and sum(got) == 5000
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")  # a smaller one stays
+    assert max(r["n"] for r in spark.range(500).transform(in_arrow(sizes, "n long")).collect()) <= 100
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 # Decontamination
 
 
