@@ -47,8 +47,8 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of two or more benchmark items."""
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without a passage of the benchmark: a window of eight words of any item, or two items that may be shorter."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), one_window=True)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,25 @@ def test_columns_and_run(spark, sf, docs, stages):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_dedup", "decontamination", "sentencepiece"]
 
 
+def test_documents_with_a_passage_of_one_item_are_dropped(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten eleven"
+    spark.createDataFrame([(1, item), (2, "short item"), (3, "other")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = {
+        1: f"before it {item} and after it", 2: "so Four, five six\nseven eight nine ten ELEVEN it ends", 3: "just two three four five six seven eight, no more",
+        4: "a short item alone", 5: "a short item and the other", 6: "nothing of it", 7: "", 8: None,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    clean = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert rows(clean, "doc_id", "text") == [(i, texts[i]) for i in (3, 4, 6, 7, 8)]
+
+
+def test_no_planted_passage_is_left(spark, sf, stages):
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    near, clean = ({r["doc_id"]: r["text"] for r in s.collect()} for s in stages[2:4])
+    hit = {r[0] for r in contaminated_by_hand(near.items(), items) if r[2]}
+    assert hit and set(clean) == set(near) - hit
+
+
 def test_odd_and_empty_tables_pass_through(spark, sf, odd, empty):
     for start in (odd, empty):
         docs = start

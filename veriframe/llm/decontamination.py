@@ -130,9 +130,18 @@ def decontaminate(
     return out.drop("_copy")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns, that aren't contaminated."""
-    found = decontaminate(docs, benchmark, id_col, text_col, **options).filter("contaminated")
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, one_window: bool = False, **options
+) -> DataFrame:
+    """The rows of docs, all columns, that aren't contaminated. one_window: nor hold a window of `window` words, of whatever item.
+
+    Shorter items, which can be a single common word, count towards min_items only.
+    """
+    found = decontaminate(docs, benchmark, id_col, text_col, window=window, **options)
+    bad = F.col("contaminated")
+    if one_window:
+        bad = bad | F.exists("spans", lambda s: s["m"] >= window)
+    found = found.filter(bad)
     gone = materialize(found.select(F.col(id_col).alias("_id"), "text_hash").distinct(), "contaminated")
     same = docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["text_hash"])
     return docs.join(gone, same, "left_anti")
