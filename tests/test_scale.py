@@ -63,6 +63,18 @@ def test_near_duplicates_against_all_pairs(spark, threshold, agree):
     assert len(got) == len(want) > 30 and set(map(tuple, got)) == want
 
 
+def test_exploded_sides_are_never_broadcast(spark):
+    """Of rows that an explode multiplies the planner knows the size before it only."""
+    hashes = spark.range(100).select(F.col("id").alias("hash"))
+    chk = spark.createDataFrame([("l", 0, 1, 10**12)], "ledger string, pos long, start_sequence long, end_sequence long")
+    made = (
+        integrity.near_duplicates(hashes), integrity.sybil_pairs(hashes, "hash", F.col("hash")), audit.checkpoint_leaves(_receipts(spark, 3), chk)
+    )
+    for df, joined in zip(made, ("[c#", "[k#", "[ledger#")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert any("SortMergeJoin " + joined in line for line in plan.splitlines()), plan
+
+
 def _receipts(spark, n):
     rows = [("l", k, "{}", k + 1, "", f"{k:064x}", "", f"n{k}", "m", "a", "o", None) for k in range(n)]
     names = "ledger string, pos long, payload_json string, seq long, prev string, hash string, signature string, nonce string, model string, asset string, output string, image_path string"

@@ -223,7 +223,7 @@ def checkpoint_leaves(receipts: DataFrame, checkpoints: DataFrame) -> DataFrame:
     levels = [r["level"] for r in sliced.select("level").distinct().collect()] or [0]  # 55 at most
     blocks = sliced.withColumn("slice", F.explode(F.sequence(shift("a", "level"), shift("b", "level"))))
     placed = last.withColumn("level", F.explode(F.array(*map(F.lit, sorted(levels))))).withColumn("slice", shift("seq", "level"))
-    met = blocks.join(placed, ["ledger", "level", "slice"]).filter("seq between a and b")
+    met = blocks.hint("merge").join(placed, ["ledger", "level", "slice"]).filter("seq between a and b")
     held = met.groupBy("ledger", "chk").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("last.hash").alias("hash")))).alias("leaves"))
     named = held.select("ledger", F.col("chk").alias("pos"), F.transform("leaves", lambda x: x["hash"]).alias("leaves"))
     return checkpoints.join(named, ["ledger", "pos"], "left")

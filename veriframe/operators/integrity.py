@@ -43,7 +43,8 @@ def near_duplicates(hashed: DataFrame, id_col: str = "id", hash_col: str = "hash
 
     Of threshold + agree bands at least `agree` are equal, so pairs meet on the equal values of so many bands, and the first
     of those that agree report them. A key has 64 * agree / (threshold + agree) bits: more bands to agree on are more keys a
-    hash, but fewer that meet by chance. Equal hashes are one row, however many ids have it.
+    hash, but fewer that meet by chance. Equal hashes are one row, however many ids have it. Sizes are estimated without
+    the rows that an explode adds, so a merge join is asked for: a side that looks small enough may not fit to be broadcast.
     """
     n = threshold + agree
     edges = [64 * k // n for k in range(n + 1)]
@@ -56,7 +57,7 @@ def near_duplicates(hashed: DataFrame, id_col: str = "id", hash_col: str = "hash
     equal = F.filter(F.array(*(F.when(band(differ, k) == 0, F.lit(k)) for k in range(n))), lambda k: k.isNotNull())
     first = F.slice(equal, 1, agree) == F.get(chosen, F.col("c"))  # also false where the bands' hashes met by chance
     distance = F.bit_count(differ)
-    pairs = a.join(b, ["c", "v"]).filter((F.col("hash_a") < F.col("hash_b")) & (distance <= threshold))
+    pairs = a.hint("merge").join(b, ["c", "v"]).filter((F.col("hash_a") < F.col("hash_b")) & (distance <= threshold))
     return pairs.filter(first).select("hash_a", "hash_b", distance.alias("distance"))
 
 
@@ -269,7 +270,7 @@ def sybil_pairs(items: DataFrame, contributor: str, item: Column, least: float =
     mins = keyed.groupBy("who").agg(*(F.min(salted(k)).alias(f"m{k}") for k in range(hashes)))
     rows = mins.select("who", F.posexplode(F.array(*(f"m{k}" for k in range(hashes)))).alias("k", "m"))
     a, b = rows.withColumnRenamed("who", "a"), rows.withColumnRenamed("who", "b")
-    same = a.join(b, ["k", "m"]).filter("a < b").groupBy("a", "b").agg((F.count(F.lit(1)) / hashes).alias("similarity"))
+    same = a.hint("merge").join(b, ["k", "m"]).filter("a < b").groupBy("a", "b").agg((F.count(F.lit(1)) / hashes).alias("similarity"))
     return same.filter(F.col("similarity") >= least)
 
 
