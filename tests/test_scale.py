@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from veriframe import scratch
 from veriframe.functions import ed25519
-from veriframe.operators import audit, encoder, integrity, report, spot
+from veriframe.operators import audit, encoder, integrity, report, shift, spot
 from veriframe.operators.components import components
+from veriframe.plans import queries
 
 
 def test_scratch_tables_are_written_and_released(spark):
@@ -75,6 +76,25 @@ def test_exploded_sides_are_never_broadcast(spark):
         assert any("SortMergeJoin " + joined in line for line in plan.splitlines()), plan
 
 
+def test_ranges_agree_however_partitions_are_joined(spark, tmp_path):
+    rows = [(k, k * 7919 % 1000, float(k * 7919 % 1000)) for k in range(40_000)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, value double").repartition(8)
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    want = [(k, c, last) for (k, c, _), last in zip(rows, [0, *(c for _, c, _ in rows)]) if c <= last]
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b"}
+    before = {n: spark.conf.get(n, None) for n in conf}
+    try:
+        for n, value in conf.items():
+            spark.conf.set(n, value)
+        got = sorted(map(tuple, queries.QUERIES["sequence_by_position"](spark, str(tmp_path)).collect()))
+        found = shift.ks_statistic(spark.read.parquet(f"{tmp_path}/orders.parquet"), "value", F.col("value") < 300).first()
+    finally:
+        for n, value in before.items():
+            spark.conf.unset(n) if value is None else spark.conf.set(n, value)
+    assert got == want
+    assert tuple(found) == (12_000, 28_000, pytest.approx(1.0))
+
+
 def _receipts(spark, n):
     rows = [("l", k, "{}", k + 1, "", f"{k:064x}", "", f"n{k}", "m", "a", "o", None) for k in range(n)]
     names = "ledger string, pos long, payload_json string, seq long, prev string, hash string, signature string, nonce string, model string, asset string, output string, image_path string"

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import in_ranges
 from .integrity import class_moments, mahalanobis
 
 FAMILIES = {
@@ -24,7 +25,7 @@ def ks_statistic(samples: DataFrame, value: str, side: Column) -> DataFrame:
     and put on the ranges' totals, so no task holds all values.
     """
     counted = samples.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
-    ranged = counted.repartitionByRange("x").withColumn("part", F.spark_partition_id())
+    ranged = in_ranges(counted, "x", "part")
     inner = Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     local = ranged.withColumns({"ca": F.sum("a").over(inner), "cb": F.sum("b").over(inner)})

@@ -16,6 +16,8 @@ from ..functions.canonical import canonical_payload
 from ..functions.merkle import inclusion_proof, merkle_root, verify_proof
 from ..operators import attacks, audit, fusion, gate, integrity, model_integrity, probe, report, shift, spot, writer
 from ..schemas import TASKS, clean_digest, receipt_violations, tier_rank
+from ..scratch import in_ranges
+from ..sources.ledger import dense_positions
 from . import ledgers
 from .ledgers import table
 
@@ -195,10 +197,8 @@ def replay_first_seen(spark: SparkSession, d: str) -> DataFrame:
     "last_key FROM orders) WHERE o_custkey <= last_key")
 def sequence_by_position(spark: SparkSession, d: str) -> DataFrame:
     """W2 over one long ledger: positions are dense by ranges, the predecessor comes by an equi-join."""
-    from ..sources.ledger import dense_positions
-
-    ranged = table(spark, d, "orders").select("o_orderkey", "o_custkey").repartitionByRange("o_orderkey").withColumns({"one": F.lit(1), "run": F.spark_partition_id()})
-    rows = dense_positions(ranged, "one", ("run", "o_orderkey"))
+    src = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    rows = dense_positions(in_ranges(src, "o_orderkey", "run").withColumn("one", F.lit(1)), "one", ("run", "o_orderkey"))
     before = rows.select((F.col("pos") + 1).alias("pos"), F.col("o_custkey").alias("last_key"))
     return rows.join(before, "pos", "left").withColumn("last_key", F.coalesce("last_key", F.lit(0))).filter("o_custkey <= last_key").select("o_orderkey", "o_custkey", "last_key")
 

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 
@@ -56,3 +57,12 @@ def release(spark: SparkSession, df: DataFrame) -> None:
     for name in df.inputFiles()[:1]:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
+
+
+def in_ranges(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df as a table cut into ranges of key, whose number, in the order of the ranges, is column `name`.
+
+    It is written because a plan that reads ranges twice may have their partitions joined together in two ways, so that
+    partition numbers don't agree.
+    """
+    return materialize(df.repartitionByRange(key).withColumn(name, F.spark_partition_id()), "ranges")
