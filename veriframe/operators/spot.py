@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .audit import finding
+from .audit import finding, row_checks
 
 RATE, LEAST, SEED = 0.05, 1, 42
 #: Takes the path of an image, or the path, the model and its configuration.
@@ -80,27 +80,23 @@ def spot_findings(executed: DataFrame, runner: bool = False) -> DataFrame:
     common = {"check_no": 7, "asset": asset, "pos": F.col("draw")}
     cut = lambda c: F.concat(F.lit("'"), F.substring(c, 1, 12), F.lit("...'"))
     say: Callable[[str], Column] = lambda text: F.concat(F.lit(text), seq)
-    failed = executed.filter("ran and error is not null").select(
-        finding(
-            id("EXEC-FAILED" if runner else "EXEC-ERROR"), "spot_re_executor", 0.5, "warning", "review",
-            F.concat(say("Re-execution failed at sequence "), F.lit(": "), F.col("error")), confidence="medium", **common
-        )
+    failed = F.expr("ran and error is not null"), finding(
+        id("EXEC-FAILED" if runner else "EXEC-ERROR"), "spot_re_executor", 0.5, "warning", "review",
+        F.concat(say("Re-execution failed at sequence "), F.lit(": "), F.col("error")), confidence="medium", **common
     )
-    absent = executed.filter("not ran").select(
-        finding(
-            id("UNAVAILABLE"), "spot_re_executor", 0.0, "info", "unavailable",
-            F.concat(say("No re-execution of sequence "), F.lit(": model or image is not at hand.")), confidence="medium", **common
-        )
+    absent = F.expr("not ran"), finding(
+        id("UNAVAILABLE"), "spot_re_executor", 0.0, "info", "unavailable",
+        F.concat(say("No re-execution of sequence "), F.lit(": model or image is not at hand.")), confidence="medium", **common
     )
     log = F.concat(F.lit("spot_reexec_seq_"), seq, F.lit(".log"))
     reason = F.concat(
         say("Fabricated output at sequence "), F.lit(": re-execution gives "), cut(F.col("actual")), F.lit(", the receipt says "),
         cut(F.col("output")), F.lit(".")
     )
-    differs = executed.filter("ran and error is null and lower(actual) <> lower(output)").select(
-        finding(id("FABRICATION"), "spot_re_executor", 1.0, "critical", "quarantine", reason, evidence=(log,), **common)
+    differs = F.expr("ran and error is null and lower(actual) <> lower(output)"), finding(
+        id("FABRICATION"), "spot_re_executor", 1.0, "critical", "quarantine", reason, evidence=(log,), **common
     )
-    return failed.unionByName(absent).unionByName(differs)
+    return row_checks(executed, [failed, absent, differs])  # in one pass: what was run isn't run again
 
 
 def spot_check(receipts: DataFrame, evaluate: Evaluator | None = None, rate: float = RATE, least: int = LEAST, seed: int = SEED) -> DataFrame:
