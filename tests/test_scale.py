@@ -10,7 +10,7 @@ from veriframe import scratch
 from veriframe.functions import ed25519
 from veriframe.operators import audit, encoder, integrity, report, shift, spot
 from veriframe.operators.components import components
-from veriframe.plans import queries
+from veriframe.plans import ledgers, queries
 
 
 def test_scratch_tables_are_written_and_released(spark):
@@ -95,6 +95,24 @@ def test_ranges_agree_however_partitions_are_joined(spark, tmp_path):
     assert tuple(found) == (12_000, 28_000, pytest.approx(1.0))
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ledgers_move_only_ids_and_once(spark, sf):
+    moved = [line for line in _plan(ledgers.attacked(spark, sf)).splitlines() if "Exchange" in line]
+    assert len(moved) == 1 and "Join" not in _plan(ledgers.attacked(spark, sf))
+    below = _plan(ledgers.attacked(spark, sf)).split("Exchange")[1]
+    assert "sha2" not in below and "md5" not in below
+
+
+def test_checks_of_two_rows_move_no_payload(spark):
+    rows = _receipts(spark, 12)
+    plan = audit.audit(rows, store=False)._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan.split("Join LeftOuter")[1].split("Join")[0].split("Union")[0]
+    assert "payload_json" not in joined.split("LogicalRDD")[0]
+
+
 def _receipts(spark, n):
     rows = [("l", k, "{}", k + 1, "", f"{k:064x}", "", f"n{k}", "m", "a", "o", None) for k in range(n)]
     names = "ledger string, pos long, payload_json string, seq long, prev string, hash string, signature string, nonce string, model string, asset string, output string, image_path string"

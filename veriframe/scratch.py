@@ -36,17 +36,18 @@ def clear_scratch(spark: SparkSession) -> None:
 _CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives a lost executor.
 
-    The shuffle files of the write are of no use once the table is there, so they are deleted as it ends.
+    The shuffle files of the write are of no use once the table is there, so they are deleted as it ends. codec names a
+    compression other than the session's.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/veriframe/{tag}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN_SHUFFLES, "false")
     spark.conf.set(_CLEAN_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.set(_CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
