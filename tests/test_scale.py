@@ -103,6 +103,23 @@ def test_ledger_files_are_as_many_as_tasks(spark, sf, tmp_path):
     assert 1 <= len(found) <= receipts.rdd.getNumPartitions() < n
 
 
+def test_class_areas_have_a_known_size(spark):
+    note = F.struct(F.array(F.lit(1.0), F.lit(1.0), F.lit(2.0), F.col("id") % 3 * 1.0).alias("bbox"), F.lit("c").alias("class_name"))
+    size = F.struct(F.lit(9).alias("width"), F.lit(9).alias("height"))
+    assets = spark.range(30).select(F.col("id").alias("asset_id"), size.alias("image_metadata"), F.array(note).alias("annotations"))
+    found = integrity.annotation_anomalies(assets)
+    assert found.count() == 10 and any("class-areas" in name for name in found.inputFiles())
+
+
+def test_vectors_as_a_matrix():
+    import pyarrow as pa
+
+    got = integrity._matrix(pa.array([[0.0], [1, 2], [3, 4]], pa.list_(pa.float32())).slice(1))
+    assert got.tolist() == [[1, 2], [3, 4]]
+    with pytest.raises(ValueError, match="length"):
+        integrity._matrix(pa.array([[1.0], [2, 3, 4]]))
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

@@ -12,6 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,20 +122,34 @@ def confusion(neighbours: DataFrame) -> DataFrame:
     return neighbours.filter("rank = 1").groupBy(F.col("query_label").alias("label"), F.col("label").alias("nn_label")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as a matrix, without an object for each."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    width = len(flat) // max(len(vectors), 1)
+    if width * len(vectors) != len(flat) or not (vectors.value_lengths().to_numpy() == width).all():
+        raise ValueError("vectors differ in length")
+    return flat.reshape(len(vectors), width)
+
+
 def class_moments(rows: DataFrame, vector_col: str = "embedding", label_col: str = "label") -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
     """{label: (count, mean, covariance)}: each task adds up sums and outer products, of fixed size a class."""
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict = {}
-        for f in frames:
-            for label, g in f.groupby("label"):
-                x = np.stack(g["v"].to_list()).astype(np.float64)
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, labels = _matrix(batch.column("v")), batch.column("label").to_numpy(zero_copy_only=False)
+            for label in np.unique(labels).tolist():
+                own = x[labels == label]
                 n, s, o = acc.get(label, (0, 0.0, 0.0))
-                acc[label] = n + len(x), s + x.sum(axis=0), o + x.T @ x
-        yield pd.DataFrame([(k, n, s.tolist(), o.ravel().tolist()) for k, (n, s, o) in acc.items()], columns=["label", "n", "s", "o"])
+                acc[label] = n + len(own), s + own.sum(axis=0), o + own.T @ own
+        rows = [{"label": k, "n": n, "s": s.tolist(), "o": o.ravel().tolist()} for k, (n, s, o) in acc.items()]
+        doubles = pa.list_(pa.float64())
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("label", pa.int32()), ("n", pa.int64()), ("s", doubles), ("o", doubles)]))
 
     src = rows.select(F.col(vector_col).alias("v"), F.col(label_col).alias("label")).filter("v is not null and label is not null")
-    parts = src.mapInPandas(run, "label int, n long, s array<double>, o array<double>")
+    parts = src.mapInArrow(run, "label int, n long, s array<double>, o array<double>")
     out: dict = {}
     for r in parts.toLocalIterator():  # a row for each task and class
         n, s, o = out.get(r["label"], (0, 0.0, 0.0))
@@ -147,13 +162,13 @@ def class_moments(rows: DataFrame, vector_col: str = "embedding", label_col: str
 
 
 def _score(rows: DataFrame, fn, name: str, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    @F.pandas_udf("double")
-    def score(v: pd.Series, label: pd.Series) -> pd.Series:
-        known = v.notna().to_numpy()
+    @F.arrow_udf("double")
+    def score(v: pa.Array, label: pa.Array) -> pa.Array:
+        known = v.is_valid().to_numpy(zero_copy_only=False)
         out = np.full(len(v), np.nan)
         if known.any():  # a batch at a time: fn takes a matrix and its rows' labels
-            out[known] = fn(np.stack(v[known].to_list()).astype(np.float64), label[known].to_numpy())
-        return pd.Series(out)
+            out[known] = fn(_matrix(v.drop_null()), label.to_numpy(zero_copy_only=False)[known])
+        return pa.array(out)
 
     return rows.select(id_col, label_col, score(vector_col, label_col).alias(name))
 
@@ -245,7 +260,8 @@ def annotation_anomalies(assets: DataFrame, z_limit: float = 4.0) -> DataFrame:
         .when(F.col("w") * F.col("h") > 0.98 * w * h, "whole_image")
         .when(F.abs(z) > z_limit, "odd_area")
     )
-    return area.join(stats, "class_name").select("asset_id", "position", "class_name", problem.alias("problem")).filter("problem is not null")
+    known = materialize(stats, "class-areas")  # of a known size: classes are few as a rule, so boxes stay where they are
+    return area.join(known, "class_name").select("asset_id", "position", "class_name", problem.alias("problem")).filter("problem is not null")
 
 
 def contributor_binomial(flags: DataFrame, contributor: str = "source", flag: str = "bad") -> DataFrame:
